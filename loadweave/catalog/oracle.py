@@ -194,7 +194,7 @@ full_days as (
   from days d cross join (select unnest(range(96)) as ix) g
   left join (select *, {DAY} as date, {IDX} as ix from comm) c using (community_code, date, ix)),
 base as (
-  select community_code, dayofweek(date) + 1 as day_of_week, cast(ix as integer) as interval_idx,
+  select community_code, cast(dayofweek(date) + 1 as integer) as day_of_week, cast(ix as integer) as interval_idx,
     {fn} as hist_global, {rec} as hist_recent, coalesce({rec}, {fn}) as hist
   from full_days group by community_code, dayofweek(date) + 1, ix)"""
 
@@ -240,8 +240,8 @@ def circle(name: str, e: str, period: int) -> str:
 SEASONAL = ", ".join(
     (
         "hour(datetime_15min) + minute(datetime_15min) / 60.0::double as hour",
-        "isodow(datetime_15min) - 1 as day_of_week",
-        "month(datetime_15min) as month",
+        "cast(isodow(datetime_15min) - 1 as integer) as day_of_week",
+        "cast(month(datetime_15min) as integer) as month",
         circle("hour", "hour(datetime_15min) + minute(datetime_15min) / 60.0::double", 24),
         circle("dow", "isodow(datetime_15min) - 1", 7),
         circle("month", "month(datetime_15min)", 12),
@@ -310,7 +310,7 @@ WEEKLY = f"""weekly as (
 
 def _by(key: str, name: str) -> str:
     return f"""with {NAIVE_PAIRS}, g as (
-  select {key} as {name}, {favg('actual', 6)} as actual_mean, {favg('prediction', 6)} as prediction_mean from pairs group by {key})
+  select cast({key} as integer) as {name}, {favg('actual', 6)} as actual_mean, {favg('prediction', 6)} as prediction_mean from pairs group by {key})
 select *, prediction_mean - actual_mean as error_mean, (prediction_mean - actual_mean) / actual_mean * 100.0 as error_pct from g"""
 
 
@@ -410,10 +410,10 @@ left join hh on hh.community_code = b.community_code and hh.k = date_trunc('hour
 left join ww on ww.community_code = b.community_code and ww.k = date_trunc('week', datetime_15min)
 left join mm on mm.community_code = b.community_code and mm.k = date_trunc('month', datetime_15min)""",
     "time_parts": f"""select datetime_15min, {DAY} as date, cast(date_trunc('week', datetime_15min) as timestamp) as week_start,
-  cast(date_trunc('month', datetime_15min) as timestamp) as month_start, hour(datetime_15min) as hour, minute(datetime_15min) as minute,
-  day(datetime_15min) as day_of_month, month(datetime_15min) as month, year(datetime_15min) as year, {IDX} as interval_idx,
-  cast(floor(minute(datetime_15min) / 15) as integer) as quarter_of_hour, isodow(datetime_15min) - 1 as dow_mon0,
-  dayofweek(datetime_15min) + 1 as dow_sun1, dayofweek(datetime_15min) + 1 as dow_from_mon0, dayname(datetime_15min) as day_name
+  cast(date_trunc('month', datetime_15min) as timestamp) as month_start, cast(hour(datetime_15min) as integer) as hour, cast(minute(datetime_15min) as integer) as minute,
+  cast(day(datetime_15min) as integer) as day_of_month, cast(month(datetime_15min) as integer) as month, cast(year(datetime_15min) as integer) as year, {IDX} as interval_idx,
+  cast(floor(minute(datetime_15min) / 15) as integer) as quarter_of_hour, cast(isodow(datetime_15min) - 1 as integer) as dow_mon0,
+  cast(dayofweek(datetime_15min) + 1 as integer) as dow_sun1, cast(dayofweek(datetime_15min) + 1 as integer) as dow_from_mon0, dayname(datetime_15min) as day_name
 from (select distinct {SLOT} as datetime_15min from events)""",
     "cyclic_features": f"""select datetime_15min, kw as total_kw, {SEASONAL}, case when isodow(datetime_15min) >= 6 then 1 else 0 end as is_weekend from ({TOTAL})""",
     "daily_profile": _wide(TOTAL, ""),
@@ -421,14 +421,14 @@ from (select distinct {SLOT} as datetime_15min from events)""",
     "community_daily_profile": _wide(COMM, "community_code", fill=True),
     "feed_profile": _feed_profile(),
     "daily_conditions": f"""with {FEEDS}, k as ({_joined(TOTAL)})
-select date, dayofweek(date) + 1 as day_of_week, month(date) as month, case when isodow(date) >= 6 then 1 else 0 end as is_weekend,
+select date, cast(dayofweek(date) + 1 as integer) as day_of_week, cast(month(date) as integer) as month, case when isodow(date) >= 6 then 1 else 0 end as is_weekend,
   {favg('demand_fc')} as demand_fc_mean, max(demand_fc) as demand_fc_max, min(demand_fc) as demand_fc_min,
   {favg('pv_fc')} as pv_fc_mean, max(pv_fc) as pv_fc_max, {favg('wind_fc')} as wind_fc_mean, max(wind_fc) as wind_fc_max
 from k group by date""",
     "client_conditions": f"""with {FEEDS}, k as ({_joined(CLIENT)})
-select client_id, date, dayofweek(date) + 1 as day_of_week, month(date) as month, {CLIENT_MEANS} from k group by client_id, date""",
+select client_id, date, cast(dayofweek(date) + 1 as integer) as day_of_week, cast(month(date) as integer) as month, {CLIENT_MEANS} from k group by client_id, date""",
     "client_conditioned_profiles": f"""with {FEEDS}, k as ({_joined(CLIENT)})
-select client_id, community_code, date, dayofweek(date) + 1 as day_of_week, month(date) as month,
+select client_id, community_code, date, cast(dayofweek(date) + 1 as integer) as day_of_week, cast(month(date) as integer) as month,
   {', '.join(f"coalesce({favg(f'{f}_fc')}, 0.0) as {f}_fc_mean" for f in ('demand', 'pv', 'wind'))},
   {', '.join(f'coalesce(max(case when ix = {n} then kw end), 0.0) as "{n}"' for n in range(96))}
 from k group by client_id, community_code, date""",
@@ -438,10 +438,10 @@ from k group by client_id, community_code, date""",
     + ", ".join(f"case when month(date) = {n} then 1 else 0 end as month_{n}" for n in range(1, 13))
     + " from (select distinct cast(ts as date) as date from events)",
     "median_baseline": f"with comm as ({COMM}), {_medians(DISC, '2024-01-15')} select * from base",
-    "median_baseline_exact": f"with comm as ({COMM}), {_medians('round(quantile_cont(kw, 0.5), 4)'.replace('round(quantile_cont(kw, 0.5), 4)', 'quantile_cont(kw, 0.5)'), '2024-01-15')} "
+    "median_baseline_exact": f"with comm as ({COMM}), {_medians('quantile_cont(kw, 0.5)', '2024-01-15')} "
     "select community_code, day_of_week, interval_idx, round(hist_global, 4) as hist_global, round(hist_recent, 4) as hist_recent, round(hist, 4) as hist from base",
     "baseline_on_slots": f"""with comm as ({COMM}), {_medians(DISC, None)},
-rows as (select community_code, datetime_15min, kw as total_active_kw, {DAY} as date, {IDX} as interval_idx, dayofweek(datetime_15min) + 1 as day_of_week from comm)
+rows as (select community_code, datetime_15min, kw as total_active_kw, {DAY} as date, {IDX} as interval_idx, cast(dayofweek(datetime_15min) + 1 as integer) as day_of_week from comm)
 select rows.*, coalesce(hist, 0.0) as hist from rows left join base using (community_code, day_of_week, interval_idx)""",
     "weekday_lag_profiles": _lag_profiles(),
     "clock_lags": f"""with t as ({TOTAL}) select t.datetime_15min, t.kw as total_kw, a.kw as lag_1d, b.kw as lag_7d, c.kw as lag_2d, d.kw as lag_3d from t
@@ -470,12 +470,12 @@ left join t c on c.datetime_15min = t.datetime_15min - interval 2 day left join
   greatest(0.0, coalesce(temperature_2m - 22.0, 0.0)) as cdd_hourly from weather""",
     "degree_daily_mean": f"with {WD} select date, {favg('hdd_hourly')} as hdd_hourly, {favg('cdd_hourly')} as cdd_hourly from hours group by date",
     "degree_index": f"with {REG_HOURS}, {DEGREE_INDEX} select * from didx",
-    "degree_monthly": f"""with {REG_HOURS} select nuts2_code, year(date) as year, month(date) as month, coalesce({fsum('hdd_hourly')}, 0.0) as hdd_monthly,
+    "degree_monthly": f"""with {REG_HOURS} select nuts2_code, cast(year(date) as integer) as year, cast(month(date) as integer) as month, coalesce({fsum('hdd_hourly')}, 0.0) as hdd_monthly,
   coalesce({fsum('cdd_hourly')}, 0.0) as cdd_monthly from rh where nuts2_code is not null group by nuts2_code, year(date), month(date)""",
     "region_month_pattern": f"""with {REG_HOURS}, d as (
   select nuts2_code, date, {favg('temperature_2m')} as a, coalesce({fsum('hdd_hourly')}, 0.0) as h, coalesce({fsum('cdd_hourly')}, 0.0) as c
   from rh where nuts2_code is not null group by nuts2_code, date)
-select nuts2_code, month(date) as month, round({favg('a', 6)}, 1) as avg_temp, round({fsum('h')}, 1) as total_hdd, round({fsum('c')}, 1) as total_cdd
+select nuts2_code, cast(month(date) as integer) as month, round({favg('a', 6)}, 1) as avg_temp, round({fsum('h')}, 1) as total_hdd, round({fsum('c')}, 1) as total_cdd
 from d group by nuts2_code, month(date)""",
     "degree_summary": f"""with {REG_HOURS} select count(*) as records, count(distinct nuts2_code) as regions, count(distinct datetime_local) as hours,
   min(date) as min_date, max(date) as max_date, {favg('temperature_2m')} as avg_temperature, min(temperature_2m) as min_temperature,

@@ -11,6 +11,7 @@ from ..functions.numeric import mean
 from ..operators import calendar as cal
 from ..operators import encode, feeds as fd, grid, lags, profile, quality, region, rollup as ru, sampling, scale, weather as wx
 from ..plans import boosting, evaluate as ev, features as ft, forecast as fc, linear
+from ..session import materialize
 from ..sources import readers
 from . import inputs as i
 
@@ -88,12 +89,13 @@ def median_baseline_exact(s, d):
 
 
 def baseline_on_slots(s, d):
-    slots = _community(s, d)
+    slots = materialize(_community(s, d))
     return profile.attach_baseline(slots, profile.median_baseline(slots))
 
 
 def weekday_lag_profiles(s, d):
-    out = profile.weekday_lag_profiles(profile.daily_arrays(_total(s, d), value="total_kw", fill=0.0))
+    days = materialize(profile.daily_arrays(_total(s, d), value="total_kw", fill=0.0))
+    out = profile.weekday_lag_profiles(days)
     for c in ("profile", "lag7", "lag14"):
         out = profile.to_wide(out, c, prefix=f"{c}_")
     return out
@@ -306,7 +308,7 @@ def time_parts(s, d):
 
 
 def _long_profiles(s, d):
-    return profile.to_long(profile.daily_arrays(_community(s, d), CC, fill=0.0), value="kw")
+    return profile.to_long(profile.daily_arrays(materialize(_community(s, d)), CC, fill=0.0), value="kw")
 
 
 def _roundtrip(s, d, log: bool):
@@ -317,14 +319,14 @@ def _roundtrip(s, d, log: bool):
 
 
 def scaled_columns(s, d):
-    rows = fd.merge_feeds(i.feeds(s, d))
+    rows = materialize(fd.merge_feeds(i.feeds(s, d)))
     train = rows.where(F.col("datetime_local") < t.ntz(START))
     out = scale.scale_columns(rows, train, ["demand_fc", "pv_fc", "wind_fc"])
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in out.columns if c.endswith("_scaled")})
 
 
 def imputed_features(s, d):
-    feed = fd.merge_feeds(i.feeds(s, d))
+    feed = materialize(fd.merge_feeds(i.feeds(s, d)))
     train = feed.where(F.col("datetime_local") < t.ntz(START)).dropna()
     rows = feed.where(F.col("datetime_local") >= t.ntz(START))
     out = quality.impute_medians(rows, train, ["demand_fc", "pv_fc", "wind_fc"])
@@ -430,11 +432,12 @@ def daily_error_summary(s, d):
 
 def weekly_drift(s, d):
     pairs = ev.matched(naive_long_horizon(s, d), ev.actuals(i.meter(s, d), "2024-01-15 00:00:00", "2024-02-05 00:00:00", decimals=D))
-    return ev.weekly_drift(pairs, E)
+    return ev.weekly_drift(materialize(pairs), E)
 
 
 def verdict(s, d):
-    out = ev.verdict(daily_error(s, d), ev.weekly_drift(_pairs(s, d), E))
+    pairs = materialize(_pairs(s, d))
+    out = ev.verdict(ev.daily_error(pairs, E), ev.weekly_drift(pairs, E))
     return out.withColumns({c: F.round(c, 6) for c in ("bias_std", "drift")})
 
 
@@ -460,7 +463,7 @@ def describe(s, d):
 
 def all_grains(s, d):
     """The five rollups from one 15-minute frame, stacked."""
-    frames = ru.all_grains(_community(s, d), CC, decimals=D)
+    frames = ru.all_grains(materialize(_community(s, d)), CC, decimals=D)
     parts = [
         df.select(F.lit(g).alias("grain"), "community_code", F.col(ru.GRAIN_COLUMN[g]).cast("timestamp_ntz").alias("bucket"), "total_active_kw")
         for g, df in frames.items()
@@ -477,7 +480,7 @@ def ensemble_forecast(s, d):
 
 
 def gbt_importance(s, d):
-    train = boosting.materialize(boosting.layout(ft.training_rows(matrix(s, d), START)))
+    train = materialize(boosting.layout(ft.training_rows(matrix(s, d), START)))
     return boosting.importance(boosting.fit_boosting(train, settings=TREES), train)
 
 
@@ -500,7 +503,7 @@ def next_day_ols(s, d):
 def next_day_boosting(s, d):
     """Train and test MAE of boosted trees on the next-day target."""
     feats = ["community_code_label", "quarter_of_hour"]
-    rows = boosting.materialize(_next_day_rows(s, d).repartitionByRange("datetime_15min"))
+    rows = materialize(_next_day_rows(s, d).repartitionByRange("datetime_15min"))
     train, test = sampling.random_split(rows, ["community_code", "datetime_15min"], 0.9)
     model = boosting.fit_boosting(train, feats, "target", boosting.BoostingSettings(rounds=3, depth=5, learning_rate=0.1, subsample=1.0))
     parts = None

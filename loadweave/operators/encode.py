@@ -29,7 +29,7 @@ def label_ids(df: DataFrame, key: str, out: str, width: int = 100_000) -> DataFr
     most `width` distinct ids, and the running count covers ranges, not ids.
     """
     bucket = F.floor(F.col(key) / F.lit(width))
-    ids = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__range", bucket)
+    ids = df.select(key).distinct().withColumn("__range", bucket).where(F.col("__range").isNotNull())
     ranked = ids.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(key)))
     sizes = ids.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))

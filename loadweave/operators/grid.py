@@ -85,7 +85,7 @@ def carry(
     src = df.select(ts, *values)
     if not carry_nulls:
         src = src.dropna(how="all", subset=list(values))
-    src = src.where(F.col(ts).isNotNull()).withColumn("__day", F.to_date(ts))
+    src = src.withColumn("__day", F.to_date(ts)).where(F.col("__day").isNotNull())
     probe = F.count_if(F.coalesce(*[F.col(v).cast("string") for v in values]).isNull())
     firsts = src.groupBy("__day").agg(F.min(ts).alias("__first"), probe.alias("__nulls")).where("__nulls >= 0")
     next_first = F.lead("__first").over(Window.orderBy("__day"))

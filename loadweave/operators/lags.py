@@ -49,9 +49,12 @@ def row_index(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), out:
 
     Rows are numbered inside their day and shifted by the number of rows on
     earlier days.  The running count sees one row per day, never the series.
-    `value` is counted so that both branches share one upstream aggregate.
+    `value` is counted, and the day filtered, so that both branches have the
+    same upstream aggregate and Spark reuses its shuffle.
     """
-    src = df.withColumn("__day", F.to_date(ts))
+    src = df.withColumn("__day", F.to_date(ts)).where(F.col("__day").isNotNull())
+    for k in keys:
+        src = src.where(F.col(k).isNotNull())
     n = F.count(value) + F.count_if(F.col(value).isNull())
     days = src.groupBy(*keys, "__day").agg(n.alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))

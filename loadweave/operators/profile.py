@@ -201,6 +201,7 @@ def weekday_lag_profiles(profiles: DataFrame, profile: str = "profile") -> DataF
     the row max(i - 7, 0) for lag 14.  Only the dates are ranked in one place;
     the profiles move in one shuffle.
     """
+    profiles = profiles.where(F.col("date").isNotNull())
     days = profiles.groupBy("date").agg(F.count(profile).alias("__n")).where("__n >= 0")
     ranked = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
     rows = profiles.join(ranked, "date")

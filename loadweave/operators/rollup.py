@@ -42,10 +42,11 @@ def rollup(
     """Sum per (keys, bucket): one scan of the needed columns, one shuffle of partial sums.
 
     Partial aggregation runs before the shuffle, so a key that holds a third of
-    the readings still sends one row per task and bucket.
+    the readings still sends one row per task and bucket.  Readings without a
+    time belong to no bucket.
     """
     col = GRAIN_COLUMN[grain]
-    src = with_grain(df.select(*keys, ts, value), grain, ts, col)
+    src = with_grain(df.select(*keys, ts, value), grain, ts, col).where(F.col(col).isNotNull())
     return src.groupBy(*keys, col).agg(total(value, decimals).alias(out))
 
 
@@ -91,10 +92,11 @@ def multigrain(df: DataFrame, labels: DataFrame | None = None, decimals: int | N
 
     The coarser totals are window sums over the small 15-minute frame, so the
     readings are scanned once; the largest window group is one community-month
-    (2,976 rows), whatever the number of readings.
+    (2,976 rows), whatever the number of readings.  Hours and days nest in
+    months, so those three windows share one shuffle and one sort.
     """
     key = "community_code"
-    slots = rollup(df, "15min", [key], decimals=decimals)
+    slots = rollup(df, "15min", [key], decimals=decimals).where(F.col(key).isNotNull())
     base = slots.withColumn("__hour", t.slot_start("datetime_15min", 60))
     base = base.withColumns(
         {
@@ -103,8 +105,14 @@ def multigrain(df: DataFrame, labels: DataFrame | None = None, decimals: int | N
             "__month": t.month_start("datetime_15min"),
         }
     )
-    for name, col in (("day", "__date"), ("hour", "__hour"), ("week", "__week"), ("month", "__month")):
-        w = Window.partitionBy(key, col)
+    nesting = {
+        "hour": ["__month", "__date", "__hour"],
+        "day": ["__month", "__date"],
+        "month": ["__month"],
+        "week": ["__week"],
+    }
+    for name, cols in nesting.items():
+        w = Window.partitionBy(key, *cols)
         base = base.withColumn(f"{name}_total_active_kw", total("total_active_kw", decimals, over=w))
     base = base.withColumns(
         {
