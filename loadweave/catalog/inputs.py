@@ -36,8 +36,17 @@ RULES = (
 )
 
 
+# the columns of the test tables that the model inputs come from
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def meter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,18 +83,14 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         slot_start("ts", 60).alias("datetime_local"), F.col("event_type").alias("community_code"), "event_id", "value"
     )
     hours = ev.groupBy("datetime_local", "community_code").agg(F.sum(_cents()).alias("s"), F.min("event_id").alias("e"))
-
-    def scaled(modulus: int, offset: float) -> F.Column:
-        return (F.col("s") % modulus).cast("double") / 100.0 - F.lit(offset)
-
-    return hours.select(
+    return hours.selectExpr(
         "datetime_local",
         "community_code",
-        F.when(F.col("e") % 17 != 0, scaled(4000, 5.0)).alias("temperature_2m"),
-        scaled(3000, 10.0).alias("dew_point_2m"),
-        (F.col("s") % 101).cast("double").alias("cloud_cover"),
-        (F.col("s") % 97).cast("double").alias("relative_humidity_2m"),
-        F.to_date("datetime_local").alias("date"),
+        "case when e % 17 <> 0 then double(s % 4000) / 100 - 5.0D end as temperature_2m",
+        "double(s % 3000) / 100 - 10.0D as dew_point_2m",
+        "double(s % 101) as cloud_cover",
+        "double(s % 97) as relative_humidity_2m",
+        "to_date(datetime_local) as date",
     )
 
 

@@ -44,16 +44,15 @@ def month_pivot(s, d):
 
 
 def daily_profile(s, d):
-    return profile.wide_profiles(_total(s, d), value="total_kw")
+    return profile.wide_profiles(i.meter(s, d), decimals=D)
 
 
 def client_daily_profile(s, d):
-    keys = ["client_id", "community_code"]
-    return profile.wide_profiles(ru.rollup(i.meter(s, d), "15min", keys, decimals=D), keys, fill=0.0)
+    return profile.wide_profiles(i.meter(s, d), ["client_id", "community_code"], fill=0.0, decimals=D)
 
 
 def community_daily_profile(s, d):
-    return profile.wide_profiles(_community(s, d), CC, fill=0.0)
+    return profile.wide_profiles(i.meter(s, d), CC, fill=0.0, decimals=D)
 
 
 def feed_profile(s, d):

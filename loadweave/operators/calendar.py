@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import timeparts as t
 
@@ -21,26 +21,27 @@ class HolidayRule:
     region: str | None = None
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter (the anonymous computus) as column arithmetic."""
-
-    def div(a, b):
-        return F.floor(a / F.lit(b)).cast("int")
-
-    a, b, c = year % 19, div(year, 100), year % 100
-    d, e = div(b, 4), b % 4
-    g = div(b - div(b + 8, 25) + 1, 3)
-    h = (a * 19 + b - d - g + 15) % 30
-    i, k = div(c, 4), c % 4
-    l = (e * 2 + i * 2 - h - k + 32) % 7
-    m = div(a + h * 11 + l * 22, 451)
-    n = h + l - m * 7 + 114
-    return F.make_date(year, div(n, 31), n % 31 + 1)
+def easter_sunday(year: str = "year") -> str:
+    """Gregorian Easter of a year column (the anonymous computus), as a SQL expression."""
+    a, b, c = f"({year} % 19)", f"({year} div 100)", f"({year} % 100)"
+    g = f"(({b} - ({b} + 8) div 25 + 1) div 3)"
+    h = f"((19 * {a} + {b} - {b} div 4 - {g} + 15) % 30)"
+    l = f"((32 + 2 * ({b} % 4) + 2 * ({c} div 4) - {h} - {c} % 4) % 7)"
+    m = f"(({a} + 11 * {h} + 22 * {l}) div 451)"
+    n = f"({h} + {l} - 7 * {m} + 114)"
+    return f"make_date({year}, cast({n} div 31 as int), cast({n} % 31 + 1 as int))"
 
 
 def years_of(df: DataFrame, ts: str) -> DataFrame:
     """The distinct years of a time column."""
-    return df.select(F.year(ts).alias("year")).where(F.col("year").isNotNull()).distinct()
+    return df.select(F.year(ts).alias("year")).where("year is not null").distinct()
+
+
+def _text(value: str | None) -> str:
+    if value is None:
+        return "cast(null as string)"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def holidays(years: DataFrame, rules: Sequence[HolidayRule]) -> DataFrame:
@@ -48,21 +49,24 @@ def holidays(years: DataFrame, rules: Sequence[HolidayRule]) -> DataFrame:
 
     The rules are a literal list unfolded on each year, so no join is needed.
     """
-    y = F.col("year")
     entries = []
     for r in rules:
-        first = F.make_date(y, F.lit(r.month or 1), F.lit(1))
-        # 29 February exists in leap years only
-        fixed = F.when(F.dayofmonth(F.last_day(first)) >= (r.day or 1), F.date_add(first, (r.day or 1) - 1))
-        date = fixed if r.easter_offset is None else F.date_add(F.col("easter"), r.easter_offset)
-        region = F.lit(r.region).cast("string")
-        entries.append(F.struct(date.alias("date"), F.lit(r.name).alias("name"), region.alias("region")))
-    rows = years.withColumn("easter", easter_sunday(y)).select(F.inline(F.array(*entries)))
-    national = F.col("region").isNull()
-    return rows.where(F.col("date").isNotNull()).groupBy("date").agg(
-        F.max(national.cast("int")).alias("is_national"),
-        F.array_join(F.sort_array(F.collect_set(F.when(national, F.col("name")))), "; ").alias("national_name"),
-        F.collect_set("region").alias("regions"),
+        if r.easter_offset is not None:
+            date = f"date_add(easter, {r.easter_offset})"
+        else:
+            # 29 February exists in leap years only
+            first = f"make_date(year, {r.month}, 1)"
+            date = f"case when day(last_day({first})) >= {r.day} then date_add({first}, {r.day - 1}) end"
+        entries.append(f"struct({date} as date, {_text(r.name)} as name, {_text(r.region)} as region)")
+    dated = years.selectExpr("year", f"{easter_sunday()} as easter").selectExpr(f"inline(array({', '.join(entries)}))")
+    return (
+        dated.where("date is not null")
+        .groupBy("date")
+        .agg(
+            F.expr("max(cast(region is null as int))").alias("is_national"),
+            F.expr("array_join(sort_array(collect_set(case when region is null then name end)), '; ')").alias("national_name"),
+            F.expr("collect_set(region)").alias("regions"),
+        )
     )
 
 
@@ -76,55 +80,47 @@ def calendar_features(
     A bridge day is a Monday before, or a Friday after, a regional holiday of
     the same year.
     """
-    y = F.col("year")
-    span = F.sequence(F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y, F.lit(12), F.lit(31)))
-    spine = years.select("year", F.date_add(easter_sunday(y), -3).alias("__thursday"), F.explode(span).alias("date"))
-    days = spine.join(holidays(years, rules), "date", "left")
-    no_regions = F.array().cast("array<string>")
-    days = days.select(
+    spine = years.selectExpr(
+        "year",
+        f"date_add({easter_sunday()}, -3) as thursday",
+        "explode(sequence(make_date(year, 1, 1), make_date(year, 12, 31))) as date",
+    )
+    joined = spine.join(holidays(years, rules), "date", "left")
+    days = joined.selectExpr(
         "date",
         "year",
-        "__thursday",
-        F.coalesce("is_national", F.lit(0)).alias("is_national_holiday"),
-        F.coalesce("national_name", F.lit("")).alias("national_holiday_name"),
-        F.coalesce("regions", no_regions).alias("__regions"),
+        "thursday",
+        "weekday(date) as dow",
+        "coalesce(is_national, 0) as is_national_holiday",
+        "coalesce(national_name, '') as national_holiday_name",
+        "coalesce(regions, cast(array() as array<string>)) as regions",
     )
-    w = Window.partitionBy("year").orderBy("date")
-    days = days.withColumns(
-        {
-            "__dow": t.dow_mon0("date"),
-            "__next": F.struct(F.lead("is_national_holiday").over(w).alias("n"), F.lead("__regions").over(w).alias("r")),
-            "__prev": F.struct(F.lag("is_national_holiday").over(w).alias("n"), F.lag("__regions").over(w).alias("r")),
-        }
+    around = "over (partition by year order by date)"
+    days = days.selectExpr(
+        "*",
+        *[f"{f}({c}) {around} as {n}_{c}" for f, n in (("lead", "next"), ("lag", "prev")) for c in ("is_national_holiday", "regions")],
     )
-    sunday = F.col("__dow") == 6
-    closing = (F.month("date") == 12) & F.dayofmonth("date").isin(24, 31)
-    if holy_thursday:
-        closing = closing | (F.col("date") == F.col("__thursday"))
-    national = F.col("is_national_holiday") == 1
+    closed = "(dow = 6 or (month(date) = 12 and day(date) in (24, 31))" + (" or date = thursday)" if holy_thursday else ")")
 
-    def flag(cond: Column) -> Column:
-        return F.coalesce(cond.cast("int"), F.lit(0))
+    def flag(condition: str) -> str:
+        return f"cast(coalesce({condition}, false) as int)"
 
-    def on_holiday(region: str) -> Column:
-        return national | F.array_contains("__regions", region)
-
-    def neighbour(side: str, region: str) -> Column:
-        return (F.col(f"{side}.n") == 1) | F.array_contains(F.col(f"{side}.r"), region)
+    def on_holiday(region: str, day: str = "") -> str:
+        return f"({day}is_national_holiday = 1 or array_contains({day}regions, {_text(region)}))"
 
     out = {f"holiday_{r}": flag(on_holiday(r)) for r in regions}
-    out |= {f"bank_holiday_{r}": flag(on_holiday(r) | sunday | closing) for r in regions}
-    out["is_bank_holiday"] = flag(national | sunday | closing)
+    out |= {f"bank_holiday_{r}": flag(f"{on_holiday(r)} or {closed}") for r in regions}
+    out["is_bank_holiday"] = flag(f"is_national_holiday = 1 or {closed}")
     for r in regions:
-        monday = (F.col("__dow") == 0) & neighbour("__next", r)
-        friday = (F.col("__dow") == 4) & neighbour("__prev", r)
-        out[f"bridge_{r}"] = flag(F.coalesce(monday, F.lit(False)) | F.coalesce(friday, F.lit(False)))
-    out["num_regions_holiday"] = sum((flag(on_holiday(r)) for r in regions), F.lit(0))
-    out |= {f"dow_{name}": flag(F.col("__dow") == i) for i, name in enumerate(t.DAY_NAMES)}
-    out["is_weekend"] = flag(F.col("__dow") >= 5)
-    out["is_holiday"] = flag((F.col("__dow") >= 5) | national)
-    cols = [c.alias(n) for n, c in out.items()]
-    return days.select("date", "is_national_holiday", "national_holiday_name", *cols)
+        monday, friday = f"dow = 0 and {on_holiday(r, 'next_')}", f"dow = 4 and {on_holiday(r, 'prev_')}"
+        out[f"bridge_{r}"] = f"greatest({flag(monday)}, {flag(friday)})"
+    out["num_regions_holiday"] = " + ".join(flag(on_holiday(r)) for r in regions)
+    out |= {f"dow_{name}": flag(f"dow = {i}") for i, name in enumerate(t.DAY_NAMES)}
+    out["is_weekend"] = flag("dow >= 5")
+    out["is_holiday"] = flag("dow >= 5 or is_national_holiday = 1")
+    return days.selectExpr(
+        "date", "is_national_holiday", "national_holiday_name", *[f"{e} as `{n}`" for n, e in out.items()]
+    )
 
 
 def holiday_breakdown(calendar: DataFrame) -> DataFrame:

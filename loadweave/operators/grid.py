@@ -72,7 +72,7 @@ def carry(
     minutes: int = t.SLOT_MINUTES,
     carry_nulls: bool = True,
 ) -> DataFrame:
-    """Up-sample a series with unique stamps: each slot takes the latest source row at or before it.
+    """Up-sample a series with unique stamps to slots that divide an hour: each slot takes the latest source row at or before it.
 
     Slots run from the first to the last source stamp and no further.  With
     `carry_nulls` a source row whose value is null stays null over its slots;
@@ -82,30 +82,26 @@ def carry(
     every day goes through a window that spans days.  A series of any length
     therefore never sits in one task.
     """
-    src = df.select(ts, *values)
+    names = [f"`{v}`" for v in values]
+    src = df.selectExpr(f"`{ts}` as __ts", f"to_date(`{ts}`) as __day", *names).where("__day is not null")
     if not carry_nulls:
         src = src.dropna(how="all", subset=list(values))
-    src = src.withColumn("__day", F.to_date(ts)).where(F.col("__day").isNotNull())
-    probe = F.count_if(F.coalesce(*[F.col(v).cast("string") for v in values]).isNull())
-    firsts = src.groupBy("__day").agg(F.min(ts).alias("__first"), probe.alias("__nulls")).where("__nulls >= 0")
-    next_first = F.lead("__first").over(Window.orderBy("__day"))
-    firsts = firsts.select("__day", next_first.alias("__next_first"))
-    in_day = F.lead(ts).over(Window.partitionBy("__day").orderBy(ts))
-    src = src.withColumn("__in_day", in_day).join(firsts, "__day")
-    nxt = F.coalesce("__in_day", "__next_first")
-
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0))
-    src = src.withColumn("__floor", t.slot_start(ts, minutes))
-    first_slot = F.when(F.col("__floor") == F.col(ts), F.col("__floor")).otherwise(F.col("__floor") + step)
-    src = src.withColumns({"__from": first_slot, "__next": nxt})
-    src = src.withColumn("__next_floor", t.slot_start(F.coalesce("__next", ts), minutes))
-    last_slot = (
-        F.when(F.col("__next").isNull(), F.col("__floor"))
-        .when(F.col("__next_floor") == F.col("__next"), F.col("__next_floor") - step)
-        .otherwise(F.col("__next_floor"))
-    )
-    src = src.withColumn("__to", last_slot).where(F.col("__from") <= F.col("__to"))
-    return src.select(F.explode(F.sequence("__from", "__to", step)).alias(out), *values)
+    # the values are counted so that both branches share one upstream shuffle
+    texts = ", ".join(f"cast({n} as string)" for n in names)
+    firsts = src.groupBy("__day").agg(F.min("__ts").alias("__first"), F.expr(f"count(coalesce({texts}))").alias("__n"))
+    firsts = firsts.where("__n >= 0").selectExpr("__day", "lead(__first) over (order by __day) as __next_first")
+    in_day = "lead(__ts) over (partition by __day order by __ts) as __in_day"
+    src = src.selectExpr("*", in_day).join(firsts, "__day").withColumn("__next", F.expr("coalesce(__in_day, __next_first)"))
+
+    step = f"interval '{minutes}' minute"
+
+    def floor(x: str) -> str:
+        return f"({x} - make_dt_interval(0, 0, minute({x}) % {minutes}, extract(second from {x})))"
+
+    first = f"case when {floor('__ts')} = __ts then __ts else {floor('__ts')} + {step} end"
+    before_next = f"case when {floor('__next')} = __next then __next - {step} else {floor('__next')} end"
+    spans = src.selectExpr(f"{first} as __from", f"case when __next is null then {floor('__ts')} else {before_next} end as __to", *names)
+    return spans.where("__from <= __to").selectExpr(f"explode(sequence(__from, __to, {step})) as `{out}`", *names)
 
 
 def shift_match(df: DataFrame, ts: str, value: str, days: int, out: str) -> DataFrame:

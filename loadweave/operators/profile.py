@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timeparts as t
 from ..functions.numeric import mean, total
@@ -38,12 +38,20 @@ def daily_arrays(
     most 96 rows, since `df15` is unique per slot.
     """
     src = df15.select(*keys, F.to_date(ts).alias("date"), t.interval_idx(ts).alias("i"), F.col(value).alias("v"))
-    pairs = F.map_from_entries(F.collect_list(F.struct("i", "v")))
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(SLOTS - 1)),
-        lambda i: F.coalesce(F.col("__m")[i], F.lit(fill).cast("double")),
-    )
-    return src.groupBy(*keys, "date").agg(pairs.alias("__m")).select(*keys, "date", filled.alias(out))
+    pairs = F.collect_list(F.struct("i", "v")).alias("__l")
+    return src.groupBy(*keys, "date").agg(pairs).select(*keys, "date", _dense("__l", fill).alias(out))
+
+
+def _dense(pairs: str, fill: float | None) -> Column:
+    """(slot, value) pairs to 96 values in slot order; a full day only needs sorting."""
+    gap = F.lit(fill).cast("double")
+    by_slot = F.map_from_entries(pairs)
+    looked_up = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(by_slot[i], gap))
+    in_order = F.sort_array(pairs)["v"]
+    whole = F.size(pairs) == SLOTS
+    if fill is not None:
+        whole = whole & ~F.exists(in_order, lambda v: v.isNull())
+    return F.when(whole, in_order).otherwise(looked_up)
 
 
 def to_wide(profiles: DataFrame, profile: str = "profile", prefix: str = "", suffix: str = "") -> DataFrame:
@@ -66,9 +74,23 @@ def profile_rows(profiles: DataFrame, profile: str = "profile", out_ts: str = "d
     return long.withColumn(out_ts, F.col("date").cast("timestamp_ntz") + offset)
 
 
-def wide_profiles(df15: DataFrame, keys: Sequence[str] = (), value: str = "total_active_kw", fill: float | None = None) -> DataFrame:
-    """Profile pivot: columns "0".."95" per (keys, date)."""
-    return to_wide(daily_arrays(df15, keys, value=value, fill=fill))
+def wide_profiles(
+    readings: DataFrame,
+    keys: Sequence[str] = (),
+    ts: str = "datetime_local",
+    value: str = "active_kw",
+    fill: float | None = None,
+    decimals: int | None = None,
+) -> DataFrame:
+    """Profile pivot: columns "0".."95" per (keys, date), straight from the readings.
+
+    The pivot's own first step sums per slot, so no separate 15-minute rollup
+    is shuffled before it.
+    """
+    src = readings.select(*keys, F.to_date(ts).alias("date"), t.interval_idx(ts).alias("i"), F.col(value).alias("v"))
+    grouped = src.where(F.col("date").isNotNull()).groupBy(*keys, "date").pivot("i", list(range(SLOTS)))
+    wide = grouped.agg(total("v", decimals))
+    return wide if fill is None else wide.fillna(fill, subset=[str(i) for i in range(SLOTS)])
 
 
 def feed_profile(feeds: DataFrame, ts: str = "datetime_local", measures: dict[str, str] | None = None) -> DataFrame:
@@ -119,14 +141,10 @@ def conditioned_profiles(df15: DataFrame, keys: Sequence[str] = (), value: str =
     """
     day = slot_parts(df15)
     parts = ["day_of_week", "month", "is_weekend"] if full else ["day_of_week", "month"]
-    pairs = F.map_from_entries(F.collect_list(F.struct("interval_idx", F.col(value).alias("v")))).alias("__m")
+    pairs = F.collect_list(F.struct("interval_idx", F.col(value).alias("v"))).alias("__l")
     means = [mean(f"{f}_fc", decimals).alias(f"{f}_fc_mean") for f in ("demand", "pv", "wind")]
     out = day.groupBy(*keys, "date").agg(pairs, *[F.min(c).alias(c) for c in parts], *means)
-    gap = None if full else 0.0
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.col("__m")[i], F.lit(gap).cast("double"))
-    )
-    out = out.withColumn("profile", filled).drop("__m")
+    out = out.withColumn("profile", _dense("__l", None if full else 0.0)).drop("__l")
     if full:
         return out.where(~F.exists("profile", lambda v: v.isNull()))
     return out.fillna(0.0, subset=[f"{f}_fc_mean" for f in ("demand", "pv", "wind")])
