@@ -355,7 +355,20 @@ def _feed_profile() -> str:
     return f"with {FEEDS} select date, {', '.join(cols)} from (select *, cast(datetime_local as date) as date, {ix} as ix from feeds) group by date"
 
 
-DAYNAME = "dayname({0})"
+def _profile_matrix() -> str:
+    feed_cols = _feed_profile().split("select date, ", 1)[1]
+    loads = ", ".join(f'max(case when ix = {n} then kw end) as "{n}"' for n in range(96))
+    hist = ", ".join(f'max(case when interval_idx = {n} then hist end) as "hist_{n}"' for n in range(96))
+    return f"""with comm as ({COMM}), {_medians(DISC, None)}, {FEEDS},
+fp as (select date, {feed_cols}),
+pr as (select community_code, date, {loads} from full_days group by community_code, date),
+hb as (select community_code, day_of_week, {hist} from base group by community_code, day_of_week),
+lb as (select community_code, cast(row_number() over (order by community_code) - 1 as integer) as community_idx from (select distinct community_code from comm))
+select pr.*, hb.* exclude (community_code, day_of_week), fp.* exclude (date), community_idx, cast(dayofweek(pr.date) + 1 as integer) as day_of_week,
+  cast(month(pr.date) as integer) as month, case when isodow(pr.date) >= 6 then 1 else 0 end as is_weekend
+from pr join hb on hb.community_code = pr.community_code and hb.day_of_week = dayofweek(pr.date) + 1 join fp on fp.date = pr.date join lb on lb.community_code = pr.community_code"""
+
+
 WITH_FEEDS = "select k.*, demand_fc, pv_fc, wind_fc, {day} as date, {ix} as ix from ({inner}) k left join feeds on feeds.datetime_local = k.datetime_15min"
 
 
@@ -554,7 +567,23 @@ select all_under, all_over, round(sd, 6) as bias_std, round(dr, 6) as drift,
     "meter_overview": "select count(*) as row_count, count(distinct user_id) as client_count, min(ts) as min_time, max(ts) as max_time from events",
     "describe": " union all ".join(
         f"""select '{n}' as column_name, count({c}) as n, {favg(c)} as mean, round(stddev_samp({c}), 4) as std, cast(min({c}) as double) as min,
-  round(quantile_cont({c}, 0.25), 4) as p25, round(quantile_cont({c}, 0.5), 4) as p50, round(quantile_cont({c}, 0.75), 4) as p75, cast(max({c}) as double) as max from events"""
+  cast(quantile_disc({c}, 0.25) as double) as p25, cast(quantile_disc({c}, 0.5) as double) as p50, cast(quantile_disc({c}, 0.75) as double) as p75, cast(max({c}) as double) as max from events"""
         for n, c in (("client_id", "user_id"), ("active_kw", "value"))
     ),
+    "table_head": f"with {WEATHER} select * from weather order by community_code, datetime_local limit 20",
+    "density_ranked": f"with {REGIONAL} select * from dens order by population_density desc nulls last, nuts2_code",
+    "submission": f"with {_naive(START, END)} select 'spark_team' as team_name, * from pred",
+    "profile_rows": f"""with comm as ({COMM}), {_medians(DISC, None)}
+select community_code, date, cast(ix as integer) as interval_idx, kw as prediction, cast(date as timestamp) + to_minutes(15 * ix) as datetime_15min from full_days""",
+    "profile_matrix": _profile_matrix(),
+    "feeds_for_days": f"""with {FEEDS},
+slots as (select cast(datetime_local as date) as date, cast(hour(datetime_local) * 4 + floor(minute(datetime_local) / 15) as integer) as ix, demand_fc, pv_fc, wind_fc from feeds),
+grid as (select d.date, ix from (select distinct date from slots) d cross join (select unnest(range(96)) as ix)),
+full_feeds as (
+  select date, unnest([3 * ix, 3 * ix + 1, 3 * ix + 2]) as pos, unnest([coalesce(demand_fc, 0.0), coalesce(pv_fc, 0.0), coalesce(wind_fc, 0.0)]) as v
+  from grid left join slots using (date, ix)),
+train as (select distinct event_type, cast(ts as date) as date from events where ts < timestamp '2024-01-24'),
+med as (select pos, median(v) as m from full_feeds join train using (date) group by pos),
+days as (select cast(unnest(generate_series(date '2024-01-29', date '2024-02-01', interval 1 day)) as date) as date)
+select date, cast(pos as integer) as pos, round(coalesce(v, m), 4) as v from days cross join med left join full_feeds using (date, pos)""",
 }

@@ -12,7 +12,7 @@ from ..operators import calendar as cal
 from ..operators import encode, feeds as fd, grid, lags, profile, quality, region, rollup as ru, sampling, scale, weather as wx
 from ..plans import boosting, evaluate as ev, features as ft, forecast as fc, linear
 from ..session import materialize
-from ..sources import readers
+from ..sources import readers, sinks
 from . import inputs as i
 
 CC = ["community_code"]
@@ -456,8 +456,43 @@ def meter_overview(s, d):
 
 
 def describe(s, d):
-    out = quality.describe(i.meter(s, d), ["client_id", "active_kw"], decimals=D)
-    return out.withColumns({c: F.round(c, 4) for c in ("std", "p25", "p50", "p75")})
+    out = quality.describe(i.meter(s, d), ["client_id", "active_kw"], decimals=D, accuracy=1_000_000)
+    return out.withColumn("std", F.round("std", 4))
+
+
+def table_head(s, d):
+    return quality.head_rows(i.weather(s, d), ["community_code", "datetime_local"])
+
+
+def density_ranked(s, d):
+    return quality.ranked(density(s, d), "population_density", "nuts2_code")
+
+
+def submission(s, d):
+    return sinks.submission(naive_forecast(s, d), "spark_team").drop("submitted_at")
+
+
+def profile_rows(s, d):
+    return profile.profile_rows(profile.daily_arrays(_community(s, d), CC, fill=0.0))
+
+
+def profile_matrix(s, d):
+    slots = materialize(_community(s, d))
+    labels = encode.label_codes(slots, "community_code", "community_idx")
+    out = profile.profile_matrix(slots, profile.median_baseline(slots), fd.merge_feeds(i.feeds(s, d)), labels)
+    out = profile.to_wide(profile.to_wide(out, "hist", prefix="hist_"), "profile")
+    rest = [c for c in out.columns if c != "feeds"]
+    feeds = [F.col("feeds")[n].alias(f"{n // 3}_{'dpw'[n % 3]}") for n in range(288)]
+    return out.select(*rest, *feeds)
+
+
+def feeds_for_days(s, d):
+    """Feeds of two known and two unknown days, in long form."""
+    merged = materialize(fd.merge_feeds(i.feeds(s, d)))
+    days = grid.day_spine(s, "2024-01-29", "2024-02-01")
+    train = ru.rollup(i.meter(s, d), "day", CC, decimals=D).where("date < '2024-01-24'")
+    out = profile.feeds_for_days(days, merged, train)
+    return out.select("date", F.posexplode("feeds").alias("pos", "v")).withColumn("v", F.round("v", 4))
 
 
 def all_grains(s, d):
@@ -607,6 +642,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_table": profile_table,
     "meter_overview": meter_overview,
     "describe": describe,
+    "table_head": table_head,
+    "density_ranked": density_ranked,
+    "submission": submission,
+    "profile_rows": profile_rows,
+    "profile_matrix": profile_matrix,
+    "feeds_for_days": feeds_for_days,
     "gbt_forecast": gbt_forecast,
     "ensemble_forecast": ensemble_forecast,
     "gbt_importance": gbt_importance,

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import broadcast_if_small
 from .grid import carry, dedupe
 
 
@@ -30,7 +31,27 @@ def feed_slots(df: DataFrame, out: str, ts: str = "datetime_local", value: str =
     return carry(first, "__ts", [out])
 
 
+def feeds_slots(feeds: Mapping[str, DataFrame], ts: str = "datetime_local", value: str = "value") -> DataFrame:
+    """All feeds as 15-minute series side by side, each carried over its own stamps.
+
+    The feeds travel together as one tagged series, so their number adds no
+    shuffles and no joins.
+    """
+    tagged = None
+    for name, df in feeds.items():
+        part = df.select(F.lit(name).alias("__feed"), F.col(ts).alias("__at"), F.col(value).cast("double").alias("__v"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    first = dedupe(tagged, ["__feed", "__at"], ["__v"])
+    slots = carry(first, "__at", ["__v"], keys=["__feed"])
+    cols = [F.max(F.when(F.col("__feed") == name, F.col("__v"))).alias(name) for name in feeds]
+    return slots.groupBy("datetime_15min").agg(*cols)
+
+
 def join_feeds(axis: DataFrame, feeds: Mapping[str, DataFrame], ts: str = "datetime_15min", source_ts: str = "datetime_local", value: str = "value") -> DataFrame:
-    """Left join of the merged feeds on the exact stamp (no carrying)."""
+    """Left join of the merged feeds on the exact stamp (no carrying).
+
+    The axis may be as large as clients x slots, so the merged feeds, a row per
+    stamp, are broadcast if their counted size allows and the axis stays put.
+    """
     merged = merge_feeds(feeds, source_ts, value).withColumnRenamed(source_ts, ts)
-    return axis.join(merged, ts, "left")
+    return axis.join(broadcast_if_small(merged), ts, "left")

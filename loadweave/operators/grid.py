@@ -71,27 +71,33 @@ def carry(
     out: str = "datetime_15min",
     minutes: int = t.SLOT_MINUTES,
     carry_nulls: bool = True,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Up-sample a series with unique stamps to slots that divide an hour: each slot takes the latest source row at or before it.
 
     Slots run from the first to the last source stamp and no further.  With
     `carry_nulls` a source row whose value is null stays null over its slots;
-    without, rows that hold only nulls are passed over.
+    without, rows that hold only nulls are passed over.  With `keys` every key
+    is a series of its own.
 
     The following stamp is looked up inside each day; only the first stamp of
     every day goes through a window that spans days.  A series of any length
     therefore never sits in one task.
     """
     names = [f"`{v}`" for v in values]
-    src = df.selectExpr(f"`{ts}` as __ts", f"to_date(`{ts}`) as __day", *names).where("__day is not null")
+    by = "".join(f"`{k}`, " for k in keys)
+    known = " and ".join(["__day is not null", *[f"`{k}` is not null" for k in keys]])
+    src = df.selectExpr(*[f"`{k}`" for k in keys], f"`{ts}` as __ts", f"to_date(`{ts}`) as __day", *names).where(known)
     if not carry_nulls:
         src = src.dropna(how="all", subset=list(values))
     # the values are counted so that both branches share one upstream shuffle
     texts = ", ".join(f"cast({n} as string)" for n in names)
-    firsts = src.groupBy("__day").agg(F.min("__ts").alias("__first"), F.expr(f"count(coalesce({texts}))").alias("__n"))
-    firsts = firsts.where("__n >= 0").selectExpr("__day", "lead(__first) over (order by __day) as __next_first")
-    in_day = "lead(__ts) over (partition by __day order by __ts) as __in_day"
-    src = src.selectExpr("*", in_day).join(firsts, "__day").withColumn("__next", F.expr("coalesce(__in_day, __next_first)"))
+    firsts = src.groupBy(*keys, "__day").agg(F.min("__ts").alias("__first"), F.expr(f"count(coalesce({texts}))").alias("__n"))
+    over_days = f"partition by {by[:-2]} order by __day" if keys else "order by __day"
+    next_first = f"lead(__first) over ({over_days}) as __next_first"
+    firsts = firsts.where("__n >= 0").selectExpr(*[f"`{k}`" for k in keys], "__day", next_first)
+    in_day = f"lead(__ts) over (partition by {by}__day order by __ts) as __in_day"
+    src = src.selectExpr("*", in_day).join(firsts, [*keys, "__day"]).withColumn("__next", F.expr("coalesce(__in_day, __next_first)"))
 
     step = f"interval '{minutes}' minute"
 
@@ -100,8 +106,10 @@ def carry(
 
     first = f"case when {floor('__ts')} = __ts then __ts else {floor('__ts')} + {step} end"
     before_next = f"case when {floor('__next')} = __next then __next - {step} else {floor('__next')} end"
-    spans = src.selectExpr(f"{first} as __from", f"case when __next is null then {floor('__ts')} else {before_next} end as __to", *names)
-    return spans.where("__from <= __to").selectExpr(f"explode(sequence(__from, __to, {step})) as `{out}`", *names)
+    last = f"case when __next is null then {floor('__ts')} else {before_next} end"
+    kept = [*[f"`{k}`" for k in keys], *names]
+    spans = src.selectExpr(f"{first} as __from", f"{last} as __to", *kept).where("__from <= __to")
+    return spans.selectExpr(f"explode(sequence(__from, __to, {step})) as `{out}`", *kept)
 
 
 def shift_match(df: DataFrame, ts: str, value: str, days: int, out: str) -> DataFrame:

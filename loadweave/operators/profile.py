@@ -207,6 +207,44 @@ def baseline_forecast(baseline: DataFrame, start: str, end: str, key: str = "com
     return bottom_up(rows.where(t.in_period("datetime_15min", start, end)), "kw", decimals=decimals)
 
 
+def feed_arrays(feeds: DataFrame, ts: str = "datetime_local", measures: Sequence[str] = ("demand_fc", "pv_fc", "wind_fc")) -> DataFrame:
+    """(date, feeds): one array of 96 x measures per day, slot by slot, gaps as 0."""
+    src = feeds.select(F.to_date(ts).alias("date"), t.interval_idx(ts).alias("i"), *measures)
+    slot = src.groupBy("date", "i").agg(*[F.min(c).alias(c) for c in measures])
+    packed = slot.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("i", F.array(*measures).alias("v")))).alias("__m"))
+    none = F.array(*[F.lit(None).cast("double") for _ in measures])
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.col("__m")[i], none)))
+    return packed.select("date", F.transform(flat, lambda v: F.coalesce(v, F.lit(0.0))).alias("feeds"))
+
+
+def profile_matrix(df15: DataFrame, baseline: DataFrame, feeds: DataFrame, labels: DataFrame, key: str = "community_code", value: str = "total_active_kw") -> DataFrame:
+    """Training rows of a profile model: per community and day, the 96 loads, the
+    96 baseline values, the feeds of the day, and the calendar and label parts.
+
+    Days without any feed row drop out.  Everything stays in arrays; widen at
+    the edge with `to_wide`.
+    """
+    days = daily_arrays(df15, [key], value=value, fill=0.0).withColumn("day_of_week", t.dow_sun1("date"))
+    hist = F.sort_array(F.collect_list(F.struct("interval_idx", "hist")))["hist"]
+    base = baseline.groupBy(key, "day_of_week").agg(hist.alias("hist"))
+    zeros = F.array_repeat(F.lit(0.0), SLOTS)
+    out = days.join(base, [key, "day_of_week"], "left").withColumn("hist", F.coalesce("hist", zeros))
+    out = out.join(feed_arrays(feeds), "date").join(labels, key, "left")
+    return out.withColumns({"month": F.month("date"), "is_weekend": t.is_weekend("date")})
+
+
+def feeds_for_days(days: DataFrame, feeds: DataFrame, train: DataFrame) -> DataFrame:
+    """The feeds of each day; a day without any takes the medians over the training rows.
+
+    `train` has a date per training row, so a day with more communities weighs more.
+    """
+    weights = train.groupBy("date").agg(F.count(F.lit(1)).alias("__w"))
+    long = feed_arrays(feeds).join(weights, "date").select("__w", F.posexplode("feeds").alias("pos", "v"))
+    medians = long.groupBy("pos").agg(F.percentile("v", 0.5, F.col("__w")).alias("m"))
+    typical = medians.select(F.sort_array(F.collect_list(F.struct("pos", "m")))["m"]).scalar()
+    return days.join(feed_arrays(feeds), "date", "left").withColumn("feeds", F.coalesce("feeds", typical))
+
+
 def bottom_up(df: DataFrame, value: str, ts: str = "datetime_15min", out: str = "prediction", decimals: int | None = None) -> DataFrame:
     """Per-community values summed to one total per slot."""
     return df.groupBy(ts).agg(total(value, decimals).alias(out))

@@ -51,22 +51,36 @@ def meter_overview(df: DataFrame, client: str = "client_id", ts: str = "datetime
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str], decimals: int | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, over all rows, in long form."""
-    parts = None
+def describe(df: DataFrame, columns: Sequence[str], decimals: int | None = None, accuracy: int = 10_000) -> DataFrame:
+    """count, mean, std, min, quartiles and max per column over all rows, one row per column.
+
+    One pass computes everything.  Quartiles are observed values from a sketch
+    of bounded size, exact while a column has fewer rows than half `accuracy`.
+    """
+    rows = []
     for c in columns:
-        q = F.percentile(c, [0.25, 0.5, 0.75])
-        part = df.agg(
-            F.lit(c).alias("column_name"),
-            F.count(c).alias("n"),
-            mean(c, decimals).alias("mean"),
-            F.stddev(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            q.alias("q"),
-            F.max(c).cast("double").alias("max"),
+        q = F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], accuracy)
+        rows.append(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count(c).alias("n"),
+                mean(c, decimals).alias("mean"),
+                F.stddev(c).alias("std"),
+                F.min(c).cast("double").alias("min"),
+                q[0].alias("p25"),
+                q[1].alias("p50"),
+                q[2].alias("p75"),
+                F.max(c).cast("double").alias("max"),
+            )
         )
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.select(
-        "column_name", "n", "mean", "std", "min",
-        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max",
-    )
+    return df.agg(F.array(*rows).alias("__rows")).select(F.inline("__rows"))
+
+
+def head_rows(df: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
+    """The first n rows in key order (a top-n per task, then of those)."""
+    return df.orderBy(*keys).limit(n)
+
+
+def ranked(df: DataFrame, metric: str, tie_break: str) -> DataFrame:
+    """Rows in descending order of a metric, nulls last; for output only."""
+    return df.orderBy(F.desc_nulls_last(metric), tie_break)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import timeparts as t
-from ..operators.feeds import feed_slots
+from ..operators.feeds import feeds_slots
 from ..operators.grid import carry, slot_grid
 from ..operators.lags import lagged_demand
 from ..operators.rollup import rollup
@@ -87,8 +87,7 @@ def join_exogenous(
     number of clients, and Spark chooses broadcast or sort-merge by their size.
     """
     out = axis.join(weather_slots(weather, decimals=decimals), "datetime_15min", "left")
-    for name, feed in feeds.items():
-        out = out.join(feed_slots(feed, name), "datetime_15min", "left")
+    out = out.join(feeds_slots(feeds), "datetime_15min", "left")
     out = out.withColumn("date", F.to_date("datetime_15min"))
     out = out.join(daily_mean(degrees, DEGREES, decimals=decimals), "date", "left")
     flags = calendar.select("date", "is_weekend", "is_holiday", "is_national_holiday")

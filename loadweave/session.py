@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "loadweave", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,3 +51,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Mark a frame for broadcasting if it has at most `max_rows` rows.
+
+    The frame is written out once and counted; a larger one is returned
+    unmarked and joins by shuffle.
+    """
+    stored = materialize(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def overwrite(df: DataFrame, target: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a parquet path or a catalog table, schema included."""
+    """Replace a parquet path or a catalog table, schema included.
+
+    Before a partitioned write the rows are rebalanced by the partition columns:
+    small partitions share a task, and a hot one is split over several files.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

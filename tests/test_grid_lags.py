@@ -174,3 +174,27 @@ def test_next_day_target_per_community(spark):
     df = spark.createDataFrame(rows, "community_code string, datetime_15min timestamp_ntz, total_active_kw double")
     out = lags.next_day_target(df).collect()
     assert len(out) == 2 * 104 and all(r.target == r.total_active_kw + 96 for r in out)
+
+
+def test_feeds_are_carried_each_over_its_own_stamps(series):
+    a = series([("2024-01-01T00:00:00", 1.0), ("2024-01-01T01:00:00", 2.0)], "datetime_local timestamp_ntz, value double")
+    b = series([("2024-01-01T00:30:00", 5.0), ("2024-01-03T00:30:00", 6.0)], "datetime_local timestamp_ntz, value double")
+    got = {r.datetime_15min: (r.a, r.b) for r in feeds.feeds_slots({"a": a, "b": b}).collect()}
+    assert got[START] == (1.0, None) and got[START + dt.timedelta(hours=1)] == (2.0, 5.0)
+    assert got[START + dt.timedelta(hours=1, minutes=15)] == (None, 5.0)
+    assert max(got) == dt.datetime(2024, 1, 3, 0, 30) and got[dt.datetime(2024, 1, 3, 0, 15)] == (None, 5.0)
+    single = {r[0]: r[1] for r in feeds.feed_slots(b, "b").collect()}
+    assert single == {ts: v[1] for ts, v in got.items() if v[1] is not None}
+
+
+def test_broadcast_only_below_the_row_limit(spark, series):
+    from loadweave.session import broadcast_if_small
+
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    for limit, word in ((10, "SortMergeJoin"), (1000, "BroadcastHashJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            joined = big.join(broadcast_if_small(spark.range(100).withColumnRenamed("id", "k"), limit), "k")
+            assert word in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
