@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timeparts as t
 from ..functions.numeric import mean, total
+from .rollup import rollup
 
 SLOTS = t.SLOTS_PER_DAY
 
@@ -43,19 +44,32 @@ def daily_arrays(
 
 
 def _dense(pairs: str, fill: float | None) -> Column:
-    """(slot, value) pairs to 96 values in slot order; a full day only needs sorting."""
+    """Unordered (i, v) pairs to 96 values in slot order.
+
+    The values are joined with runs of `fill` between them, so the work grows
+    with the filled slots and not with 96 look-ups per day.
+    """
     gap = F.lit(fill).cast("double")
-    by_slot = F.map_from_entries(pairs)
-    looked_up = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(by_slot[i], gap))
-    in_order = F.sort_array(pairs)["v"]
+    ordered = F.sort_array(pairs)
+
+    def piece(x: Column, k: Column) -> Column:
+        before = F.coalesce(F.get(ordered, k - 1)["i"], F.lit(-1))
+        return F.concat(F.array_repeat(gap, x["i"] - before - 1), F.array(F.coalesce(x["v"], gap)))
+
+    last = F.get(ordered, F.size(pairs) - 1)["i"]
+    padded = F.concat(F.flatten(F.transform(ordered, piece)), F.array_repeat(gap, F.lit(SLOTS - 1) - last))
     whole = F.size(pairs) == SLOTS
     if fill is not None:
-        whole = whole & ~F.exists(in_order, lambda v: v.isNull())
-    return F.when(whole, in_order).otherwise(looked_up)
+        whole = whole & ~F.exists(pairs, lambda x: x["v"].isNull())
+    return F.when(whole, ordered["v"]).otherwise(padded)
 
 
 def to_wide(profiles: DataFrame, profile: str = "profile", prefix: str = "", suffix: str = "") -> DataFrame:
-    """Array column to 96 columns named by slot."""
+    """Array column to 96 columns named by slot.
+
+    Set spark.sql.codegen.hugeMethodLimit to 8000 where this runs on many rows:
+    above that size HotSpot interprets the generated method, at a third of the speed.
+    """
     rest = [c for c in profiles.columns if c != profile]
     cols = [F.col(profile)[i].alias(f"{prefix}{i}{suffix}") for i in range(SLOTS)]
     return profiles.select(*rest, *cols)
@@ -82,15 +96,13 @@ def wide_profiles(
     fill: float | None = None,
     decimals: int | None = None,
 ) -> DataFrame:
-    """Profile pivot: columns "0".."95" per (keys, date), straight from the readings.
+    """Profile pivot of the readings: columns "0".."95" per (keys, date).
 
-    The pivot's own first step sums per slot, so no separate 15-minute rollup
-    is shuffled before it.
+    Only (key, slot, total) rows are shuffled.  A built-in pivot would send a
+    96-wide row for every one of them.
     """
-    src = readings.select(*keys, F.to_date(ts).alias("date"), t.interval_idx(ts).alias("i"), F.col(value).alias("v"))
-    grouped = src.where(F.col("date").isNotNull()).groupBy(*keys, "date").pivot("i", list(range(SLOTS)))
-    wide = grouped.agg(total("v", decimals))
-    return wide if fill is None else wide.fillna(fill, subset=[str(i) for i in range(SLOTS)])
+    slots = rollup(readings, "15min", keys, ts, value, "__kw", decimals)
+    return to_wide(daily_arrays(slots, keys, value="__kw", fill=fill))
 
 
 def feed_profile(feeds: DataFrame, ts: str = "datetime_local", measures: dict[str, str] | None = None) -> DataFrame:
@@ -141,7 +153,7 @@ def conditioned_profiles(df15: DataFrame, keys: Sequence[str] = (), value: str =
     """
     day = slot_parts(df15)
     parts = ["day_of_week", "month", "is_weekend"] if full else ["day_of_week", "month"]
-    pairs = F.collect_list(F.struct("interval_idx", F.col(value).alias("v"))).alias("__l")
+    pairs = F.collect_list(F.struct(F.col("interval_idx").alias("i"), F.col(value).alias("v"))).alias("__l")
     means = [mean(f"{f}_fc", decimals).alias(f"{f}_fc_mean") for f in ("demand", "pv", "wind")]
     out = day.groupBy(*keys, "date").agg(pairs, *[F.min(c).alias(c) for c in parts], *means)
     out = out.withColumn("profile", _dense("__l", None if full else 0.0)).drop("__l")

@@ -18,6 +18,8 @@ def local_session(app: str = "loadweave", cores: int | str = "*", shuffle_partit
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # HotSpot does not compile methods over 8,000 bytes; wide projections exceed that
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
         .getOrCreate()
     )
