@@ -83,7 +83,7 @@ def shift_days(ts: Column | str, days: int) -> Column:
 
 def parse_day(text: Column, fmt: str = "yyyy-MM-dd") -> Column:
     """Text to date; malformed text becomes null."""
-    return F.try_to_timestamp(F.trim(text), F.lit(fmt)).cast("date")
+    return F.try_to_date(F.trim(text), fmt)
 
 
 def parse_stamp(text: Column) -> Column:

@@ -96,8 +96,7 @@ def daily_error_summary(daily: DataFrame, decimals: int | None = None) -> DataFr
 def elapsed_days(pairs: DataFrame, out: str = "days_from_start") -> DataFrame:
     """Whole 24-hour periods since the first matched slot."""
     first = pairs.select(F.min("datetime_15min")).scalar()
-    seconds = F.timestamp_diff("SECOND", first, F.col("datetime_15min"))
-    return pairs.withColumn(out, F.floor(seconds / F.lit(86400.0)))
+    return pairs.withColumn(out, F.extract(F.lit("DAY"), F.col("datetime_15min") - first).cast("int"))
 
 
 def weekly_drift(pairs: DataFrame, decimals: int | None = None) -> DataFrame:

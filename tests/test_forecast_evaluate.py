@@ -183,3 +183,17 @@ def test_schema_check(spark, meter, tmp_path):
     stacked = readers.stack([spark.range(1).withColumn("x", F.lit(1)), spark.range(1).withColumn("y", F.lit(2))])
     assert stacked.columns == ["id", "x", "y"] and stacked.count() == 2
     assert readers.distinct_codes(meter).count() == 2
+
+
+def test_session_time_zone_does_not_matter(spark):
+    """02:30 on 2024-03-10 does not exist in New York; local labels are not shifted by it."""
+    first = dt.datetime(2024, 3, 9, 18)
+    rows = [(first, 1.0, 1.0), (dt.datetime(2024, 3, 10, 2, 30), 2.0, 1.0), (first + dt.timedelta(days=7), 3.0, 1.0), (first + dt.timedelta(days=7, minutes=-15), 5.0, 1.0)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        p = pairs(spark, rows)
+        got = {r.datetime_15min: r.days_from_start for r in ev.elapsed_days(p).collect()}
+        assert [got[r[0]] for r in rows] == [0, 0, 7, 6]
+        assert {r.hour for r in ev.error_by_hour(p).collect()} == {18, 2, 17}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
