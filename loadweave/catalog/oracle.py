@@ -586,4 +586,14 @@ train as (select distinct event_type, cast(ts as date) as date from events where
 med as (select pos, median(v) as m from full_feeds join train using (date) group by pos),
 days as (select cast(unnest(generate_series(date '2024-01-29', date '2024-02-01', interval 1 day)) as date) as date)
 select date, cast(pos as integer) as pos, round(coalesce(v, m), 4) as v from days cross join med left join full_feeds using (date, pos)""",
+    "community_grid": f"select community_code, datetime_15min from (select distinct event_type as community_code from events) cross join (select unnest(generate_series({START}, {END} - interval 15 minute, interval 15 minute)) as datetime_15min)",
+    "lag_matrix": f"""with {FEEDS}, t as ({TOTAL}), l as (
+  select datetime_15min, kw as demand_kw, lag(kw, 96) over w as lag_1d, lag(kw, 672) over w as lag_7d, lag(kw, 192) over w as lag_2d, lag(kw, 288) over w as lag_3d,
+    cast(sum(cast(kw as decimal(18,2))) over r as double) / nullif(count(kw) over r, 0) as rolling_mean_7d, round(stddev_samp(kw) over r, 6) as rolling_std_7d
+  from t window w as (order by datetime_15min), r as (order by datetime_15min rows between 672 preceding and 1 preceding))
+select l.*, cast(hour(datetime_15min) as integer) as hour, cast(minute(datetime_15min) as integer) as minute, cast(dayofweek(datetime_15min) + 1 as integer) as day_of_week,
+  cast(day(datetime_15min) as integer) as day_of_month, cast(month(datetime_15min) as integer) as month, case when isodow(datetime_15min) >= 6 then 1 else 0 end as is_weekend,
+  demand_fc as demand_forecast, pv_fc as pv_forecast, wind_fc as wind_forecast
+from l join feeds on datetime_local = datetime_15min
+where lag_7d is not null and rolling_std_7d is not null and demand_fc is not null and pv_fc is not null and wind_fc is not null""",
 }

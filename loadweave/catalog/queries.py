@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import timeparts as t
-from ..functions.numeric import mean
 from ..operators import calendar as cal
 from ..operators import encode, feeds as fd, grid, lags, profile, quality, region, rollup as ru, sampling, scale, weather as wx
 from ..plans import boosting, evaluate as ev, features as ft, forecast as fc, linear
@@ -219,8 +218,9 @@ def latest_year(s, d):
     return _gva(s, d)
 
 
-def sector_shares(s, d):
-    shares = region.sector_shares(_gva(s, d), {"industrial_index": "MACHINERY", "agricultural_share": "FURNITURE"})
+def sector_shares(s, d, gva=None):
+    gva = materialize(_gva(s, d)) if gva is None else gva
+    shares = region.sector_shares(gva, {"industrial_index": "MACHINERY", "agricultural_share": "FURNITURE"})
     return region.min_max(shares, {"industrial_index": None, "agricultural_share": None})
 
 
@@ -236,9 +236,10 @@ def tourism(s, d):
     return region.tourism_features(i.nights(s, d), i.population(s, d), decimals=0)
 
 
-def gdp_per_capita(s, d):
+def gdp_per_capita(s, d, gva=None):
     # totals in millions only, so the per-inhabitant figure has to be computed
-    gdp = _gva(s, d).where("nace_r2 = 'TOTAL'").select("nuts2_code", F.lit("MIO_EUR").alias("unit"), (F.col("value") / 1e6).alias("value"))
+    gva = materialize(_gva(s, d)) if gva is None else gva
+    gdp = gva.where("nace_r2 = 'TOTAL'").select("nuts2_code", F.lit("MIO_EUR").alias("unit"), (F.col("value") / 1e6).alias("value"))
     out = region.gdp_per_capita(gdp, i.population(s, d))
     return region.min_max(out, {"gdp_per_capita_eur": None}).withColumnRenamed("gdp_per_capita_eur_normalized", "gdp_per_capita_normalized")
 
@@ -252,7 +253,9 @@ def region_static(s, d):
     degrees = _degree_index(s, d)
     codes = {"ES61": "NATION_0", "ES24": "NATION_1", "ES12": "NATION_2", "ES13": "NATION_3"}
     degrees = region.map_codes(degrees.withColumnRenamed("nuts2_code", "es"), codes, "es", "nuts2_code").drop("es")
-    return region.static_features(density(s, d), i.population(s, d), tourism(s, d), gdp_per_capita(s, d), sector_shares(s, d), degrees)
+    gva = materialize(_gva(s, d))
+    shares, gdp = sector_shares(s, d, gva), gdp_per_capita(s, d, gva)
+    return region.static_features(density(s, d), i.population(s, d), tourism(s, d), gdp, shares, degrees)
 
 
 def temporal_with_static(s, d):
@@ -358,7 +361,7 @@ def row_sample(s, d):
 
 
 def rows_at_most(s, d):
-    slots = _community(s, d)
+    slots = materialize(_community(s, d))
     return sampling.sample_at_most(slots, 500, ["community_code", "datetime_15min"], portable=True)
 
 
@@ -514,7 +517,7 @@ def ensemble_forecast(s, d):
 
 
 def gbt_importance(s, d):
-    train = materialize(boosting.layout(ft.training_rows(matrix(s, d), START)))
+    train = materialize(boosting.layout(ft.training_rows(materialize(matrix(s, d)), START)))
     return boosting.importance(boosting.fit_boosting(train, settings=TREES), train)
 
 
@@ -529,24 +532,59 @@ def _next_day_rows(s, d):
     return lags.next_day_target(base)
 
 
+NEXT_DAY = ["community_code_label", "day_of_week", "hour_of_day", "quarter_of_hour"]
+
+
 def next_day_ols(s, d):
     train, _ = sampling.random_split(_next_day_rows(s, d), ["community_code", "datetime_15min"], 0.8)
-    return linear.fit_ols(train, ["community_code_label", "day_of_week", "hour_of_day", "quarter_of_hour"], "target")
+    return linear.fit_ols(train, NEXT_DAY, "target")
+
+
+def _scores(train: DataFrame, test: DataFrame) -> DataFrame:
+    """MAE and R2 of the training and the test part."""
+    parts = [p.select(F.lit(n).alias("part"), F.col("target").alias("actual"), "prediction") for n, p in (("train", train), ("test", test))]
+    error = readers.stack(parts).withColumn("error", F.col("prediction") - F.col("actual"))
+    return ev.accuracy(error, E, "part")
+
+
+def next_day_ols_scores(s, d):
+    rows = materialize(_next_day_rows(s, d))
+    train, test = sampling.random_split(rows, ["community_code", "datetime_15min"], 0.8)
+    model = linear.fit_ols(train, NEXT_DAY, "target")
+    return _scores(*(linear.predict_ols(model, p, NEXT_DAY) for p in (train, test)))
 
 
 def next_day_boosting(s, d):
-    """Train and test MAE of boosted trees on the next-day target."""
+    """Boosted trees on the next-day target with two features."""
     feats = ["community_code_label", "quarter_of_hour"]
-    rows = materialize(_next_day_rows(s, d).repartitionByRange("datetime_15min"))
+    rows = materialize(boosting.layout(materialize(_next_day_rows(s, d))))
     train, test = sampling.random_split(rows, ["community_code", "datetime_15min"], 0.9)
-    model = boosting.fit_boosting(train, feats, "target", boosting.BoostingSettings(rounds=3, depth=5, learning_rate=0.1, subsample=1.0))
-    parts = None
-    for name, part in (("train", train), ("test", test)):
-        scored = boosting.predict_boosting(model, part, feats, ("target",))
-        scored = scored.select(F.lit(name).alias("part"), F.col("target").alias("actual"), "prediction")
-        parts = scored if parts is None else parts.unionByName(scored)
-    error = parts.withColumn("error", F.col("prediction") - F.col("actual"))
-    return error.groupBy("part").agg(F.count(F.lit(1)).alias("n"), mean(F.abs("error"), E).alias("mae"))
+    settings = boosting.BoostingSettings(rounds=3, depth=5, learning_rate=0.1, subsample=1.0)
+    model = boosting.fit_boosting(train, feats, "target", settings)
+    return _scores(*(boosting.predict_boosting(model, p, feats, ("target",)) for p in (train, test)))
+
+
+def _lag_matrix(s, d):
+    names = dict(zip(("demand_fc", "pv_fc", "wind_fc"), ft.FEEDS, strict=True))
+    return ft.lag_matrix(_total(s, d, ft.TARGET), {names[k]: v for k, v in i.feeds(s, d).items()}, D)
+
+
+def lag_matrix(s, d):
+    return _lag_matrix(s, d).withColumn("rolling_std_7d", F.round("rolling_std_7d", 6))
+
+
+def lag_boosting(s, d):
+    """Boosted trees on the lag matrix, split by time."""
+    rows = materialize(boosting.layout(materialize(_lag_matrix(s, d))))
+    train, test = sampling.time_split(rows.withColumn("target", F.col(ft.TARGET)), "datetime_15min", START)
+    settings = boosting.BoostingSettings(rounds=3, depth=6, subsample=1.0, min_leaf=50)
+    model = boosting.fit_boosting(train, ft.LAG_FEATURES, "target", settings)
+    return _scores(*(boosting.predict_boosting(model, p, ft.LAG_FEATURES, ("target",)) for p in (train, test)))
+
+
+def community_grid(s, d):
+    keys = readers.distinct_codes(i.meter(s, d))
+    return grid.keyed_slot_grid(keys, START, END)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -653,5 +691,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_importance": gbt_importance,
     "ols_selection": ols_selection,
     "next_day_ols": next_day_ols,
+    "next_day_ols_scores": next_day_ols_scores,
+    "lag_matrix": lag_matrix,
+    "lag_boosting": lag_boosting,
+    "community_grid": community_grid,
     "next_day_boosting": next_day_boosting,
 }

@@ -64,17 +64,22 @@ def row_index(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), out:
     return numbered.select(*df.columns, (F.col("__before") + F.col("__in_day")).alias(out))
 
 
+def _indexed(df: DataFrame, ts: str, value: str, keys: Sequence[str]) -> DataFrame:
+    """The frame with its row index `rn`, numbered only if it is not yet."""
+    return df if "rn" in df.columns else row_index(df, ts, value, keys)
+
+
 def row_lags(
     df: DataFrame, lags: Mapping[str, int], ts: str = "datetime_15min", value: str = "total_kw", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Value n rows back for each {name: n} (negative n looks ahead).
 
     Equal to a clock lag only while the series has no gap; `clock_lags` is the
-    safe choice.
+    safe choice.  A frame that already has its index `rn` keeps it.
     """
-    indexed = row_index(df, ts, value, keys)
+    indexed = _indexed(df, ts, value, keys)
     copies = {name: (value, F.col("rn") + F.lit(n)) for name, n in lags.items()}
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in (*keys, "rn")]
     return scatter(indexed, "rn", copies, keys, rest).select(*df.columns, *lags)
 
 
@@ -104,7 +109,7 @@ def rolling_rows(
     if not first <= last <= 0:
         raise ValueError("the frame must end at or before the current row")
     size = max(1, -first)
-    indexed = row_index(df, ts, value, keys)
+    indexed = _indexed(df, ts, value, keys)
     chunk = F.floor((F.col("rn") - 1) / F.lit(size))
     copies = F.explode(F.array(F.struct(chunk.alias("c"), F.lit(True).alias("own")), F.struct((chunk + 1).alias("c"), F.lit(False).alias("own"))))
     w = Window.partitionBy(*keys, "__m.c").orderBy("rn").rowsBetween(first, last)

@@ -10,7 +10,7 @@ from ..functions.numeric import mean, total
 
 
 def medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the exact median of each column."""
+    """One row with the exact median of each column; for slot- or region-sized frames."""
     return train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns])
 
 

@@ -40,7 +40,8 @@ def sample_at_most(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42, p
     """n random rows (all, if there are fewer).
 
     A count sets a cut-off that a little more than n rows pass, so the final
-    ordering sees about n rows in all instead of n rows from every task.
+    ordering sees about n rows in all instead of n rows from every task.  The
+    frame is read up to three times; materialise an expensive one first.
     """
     u = hash_fraction(keys, seed, portable)
     rows = df.count()

@@ -41,8 +41,8 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def fit_boosting(train: DataFrame, features: Sequence[str] = ALL_FEATURES, target: str = TARGET, settings: BoostingSettings = SCORED):
     """Fit on a frame that should be materialised: each tree level is a job over it.
 
-    The subsample of every round is drawn per partition of the training frame,
-    so its layout is fixed first by a range on the target and the features.
+    The subsample of every round is drawn per partition of the training frame;
+    pass it through `layout` first to get the same model on every run.
     """
     ensure_checkpoint_dir(train.sparkSession)
     model = GBTRegressor(
@@ -74,9 +74,10 @@ def importance(model, df: DataFrame, features: Sequence[str] = ALL_FEATURES) ->
 
 
 def layout(train: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """Spread the training rows by their timestamp over as many tasks as their number calls for."""
+    """Spread whole days over as many tasks as the number of rows calls for, in time order inside each."""
     n = max(1, -(-train.count() // rows_per_task))
-    return train.repartitionByRange(n, "datetime_15min").sortWithinPartitions("datetime_15min")
+    rest = [c for c in ("community_code",) if c in train.columns]
+    return train.repartition(n, F.to_date("datetime_15min")).sortWithinPartitions("datetime_15min", *rest)
 
 
 def boosted_forecast(
@@ -91,7 +92,7 @@ def boosted_forecast(
 
     With several seeds the models' predictions are averaged slot by slot.
     """
-    matrix = materialize(matrix)
+    matrix = materialize(matrix)  # read by the count, the training rows, their medians and the prediction
     train = materialize(layout(training_rows(matrix, start, features)))
     rows = impute_medians(prediction_rows(matrix, start, end), train, features)
     runs = None

@@ -30,11 +30,11 @@ def holdout_mae(pairs: DataFrame, decimals: int | None = None) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("matched"), _mae(decimals))
 
 
-def accuracy(pairs: DataFrame, decimals: int | None = None) -> DataFrame:
-    """MAE and R2 over all slots."""
+def accuracy(pairs: DataFrame, decimals: int | None = None, by: str | None = None) -> DataFrame:
+    """MAE and R2 over all slots, or per value of `by`."""
     sse = F.sum(F.pow("error", F.lit(2.0)))
     sst = F.var_pop("actual") * F.count("actual")
-    return pairs.agg(_mae(decimals), (F.lit(1.0) - F.try_divide(sse, sst)).alias("r2"))
+    return pairs.groupBy(*([by] if by else [])).agg(_mae(decimals), (F.lit(1.0) - F.try_divide(sse, sst)).alias("r2"))
 
 
 def bias_summary(pairs: DataFrame, decimals: int | None = None) -> DataFrame:

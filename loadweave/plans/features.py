@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import timeparts as t
-from ..operators.feeds import feeds_slots
+from ..functions.timeparts import SLOTS_PER_DAY
+from ..operators.feeds import feeds_slots, join_feeds
 from ..operators.grid import carry, slot_grid
-from ..operators.lags import lagged_demand
+from ..operators.lags import lagged_demand, rolling_previous_week, row_index, row_lags
 from ..operators.rollup import rollup
 from ..operators.weather import daily_mean, spatial_mean
 
@@ -117,6 +118,50 @@ def feature_matrix(
     return out.select("datetime_15min", TARGET, *ALL_FEATURES)
 
 
+LAG_FEATURES = (
+    "lag_1d",
+    "lag_7d",
+    "lag_2d",
+    "lag_3d",
+    "rolling_mean_7d",
+    "rolling_std_7d",
+    "hour",
+    "minute",
+    "day_of_week",
+    "day_of_month",
+    "month",
+    "is_weekend",
+    "demand_forecast",
+    "pv_forecast",
+    "wind_forecast",
+)
+
+
+def lag_matrix(demand: DataFrame, feeds: Mapping[str, DataFrame], decimals: int | None = None) -> DataFrame:
+    """The explored matrix: four row lags, the previous week's mean and deviation,
+    time parts (Sunday = 1) and the feeds on their exact stamps; complete rows only.
+
+    Its rolling window reaches to the slot before, which a day-ahead forecast
+    cannot know; `feature_matrix` is the one for forecasting.
+    """
+    ts = "datetime_15min"
+    indexed = row_index(demand.select(ts, TARGET), ts, TARGET)
+    rolled = rolling_previous_week(indexed, ts, TARGET, decimals)
+    day = SLOTS_PER_DAY
+    lagged = row_lags(rolled, {"lag_1d": day, "lag_7d": 7 * day, "lag_2d": 2 * day, "lag_3d": 3 * day}, ts, TARGET)
+    timed = lagged.withColumns(
+        {
+            "hour": F.hour(ts),
+            "minute": F.minute(ts),
+            "day_of_week": t.dow_sun1(ts),
+            "day_of_month": F.dayofmonth(ts),
+            "month": F.month(ts),
+            "is_weekend": t.is_weekend(ts),
+        }
+    )
+    return join_feeds(timed, feeds).select(ts, TARGET, *LAG_FEATURES).dropna()
+
+
 def training_rows(matrix: DataFrame, start: str, features: Sequence[str] = ALL_FEATURES) -> DataFrame:
     """Complete rows before the predicted period."""
     return matrix.where(F.col("datetime_15min") < t.ntz(start)).dropna(subset=[*features, TARGET])

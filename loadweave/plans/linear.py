@@ -58,6 +58,14 @@ def fit_ols(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, COEFFICIENTS)
 
 
+def predict_ols(coefficients: DataFrame, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add `prediction`; the coefficients come in as one map through a scalar subquery."""
+    by_name = F.map_from_entries(F.collect_list(F.struct("feature", "coefficient")))
+    beta = coefficients.select(by_name).scalar()
+    terms = (beta[f] * F.col(f) for f in features)
+    return rows.withColumn("prediction", sum(terms, beta["intercept"]))
+
+
 def ols_selection(
     df: DataFrame, features: Sequence[str], target: str, max_rows: int | None = None, keys: Sequence[str] = ("datetime_15min",)
 ) -> DataFrame:
@@ -67,10 +75,9 @@ def ols_selection(
     of the significant ones.  Dropped dependent columns are listed with nulls.
     All complete rows are used unless `max_rows` asks for a random subset.
     """
-    rows = df.select(*dict.fromkeys([*keys, *features, target])).dropna(subset=[*features, target])
+    rows = materialize(df.select(*dict.fromkeys([*keys, *features, target])).dropna(subset=[*features, target]))
     if max_rows is not None:
         rows = sample_at_most(rows, max_rows, keys)
-    rows = materialize(rows)
     kept, dropped = independent_columns(rows, features)
     scaled = scale_columns(rows, rows, kept, suffix="").select(*kept, target)
     coefs = fit_ols(scaled, kept, target).where(F.col("feature") != "intercept")

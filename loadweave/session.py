@@ -20,7 +20,7 @@ def local_session(app: str = "loadweave", cores: int | str = "*", shuffle_partit
         .config("spark.driver.memory", "12g")
         # HotSpot does not compile methods over 8,000 bytes; wide projections exceed that
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
-        .config("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

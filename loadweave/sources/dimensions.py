@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..operators.calendar import HolidayRule
 
 # fixed values: community -> (station id, station name)
@@ -168,3 +170,16 @@ REGIONAL_RULES = (
 )
 
 SPAIN_RULES = NATIONAL_RULES + REGIONAL_RULES
+
+
+def frames(spark: SparkSession) -> dict[str, DataFrame]:
+    """The lookup values as small frames, for joins and SQL."""
+    stations = [(c, *v) for c, v in STATIONS.items()]
+    coordinates = [(c, *v) for c, v in COORDINATES.items()]
+    regions = [(c, name, NUTS2_AREA[c]) for c, name in NUTS2_NAMES.items()]
+    return {
+        "stations": spark.createDataFrame(stations, "community_code string, indicativo string, station string"),
+        "coordinates": spark.createDataFrame(coordinates, "community_code string, latitude double, longitude double, city string"),
+        "regions": spark.createDataFrame(regions, "nuts2_code string, region_name string, area_km2 int"),
+        "codes": spark.createDataFrame(list(COMMUNITY_NUTS2_FULL.items()), "community_code string, nuts2_code string"),
+    }

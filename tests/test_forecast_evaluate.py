@@ -112,6 +112,8 @@ def test_least_squares_against_numpy(regression):
     got = {r.feature: r for r in linear.fit_ols(df, ["a", "b", "c"], "y").collect()}
     beta = np.linalg.lstsq(np.column_stack([x, np.ones(len(x))]), y, rcond=None)[0]
     assert [got[n].coefficient for n in ("a", "b", "c", "intercept")] == pytest.approx(list(beta))
+    pred = linear.predict_ols(linear.fit_ols(df, ["a", "b", "c"], "y"), df, ["a", "b", "c"]).orderBy("id").toPandas()["prediction"]
+    assert pred.to_numpy() == pytest.approx(np.column_stack([x, np.ones(len(x))]) @ beta)
     assert got["a"].p_value < 1e-6 and got["c"].p_value > 1e-4 and 0.9 < got["a"].adj_r2 <= got["a"].r2 < 1
 
 

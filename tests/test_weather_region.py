@@ -115,7 +115,8 @@ def test_shares_and_tourism_with_missing_parts(spark):
     assert t == {"a": (3.0, 0), "b": (0.0, 0), "c": (None, 0), "d": (90.0, 1)}
 
 
-def test_lookup_tables_agree():
+def test_lookup_tables_agree(spark):
+    assert {n: f.count() for n, f in dim.frames(spark).items()} == {"stations": 18, "coordinates": 18, "regions": 19, "codes": 18}
     assert set(dim.NUTS2_AREA) == set(dim.NUTS2_NAMES) and len(dim.NUTS2_NAMES) == 19
     assert set(dim.COMMUNITY_NUTS2_FULL) == set(dim.STATIONS) == set(dim.COORDINATES)
     assert len(dim.CALENDAR_REGIONS) == 19 and set(dim.STATIONS) < set(dim.CALENDAR_REGIONS)
