@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import mean, total
+from ..session import materialize
 
 
 def medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,15 +52,45 @@ def meter_overview(df: DataFrame, client: str = "client_id", ts: str = "datetime
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str], decimals: int | None = None, accuracy: int = 10_000) -> DataFrame:
+def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """One row with the exact, linearly interpolated quantiles q0, q1, ... of a column of any size.
+
+    Equal values are counted together, the distinct values range-partitioned
+    and ranked inside their range; ranges are shifted by the rows before them.
+    No task holds more than one range.
+    """
+    known = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    counted = known.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+    # stored, so that every branch sees the same ranges
+    parts = materialize(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.sum("w").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    upto = F.sum("w").over(Window.partitionBy("part").orderBy("v"))
+    ranked = parts.withColumn("upto", upto).join(offsets, "part").withColumn("last", F.col("before") + F.col("upto"))
+    n = sizes.select(F.sum("n")).scalar()
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("last") - F.col("w")) & (rank < F.col("last")), F.col("v")))
+
+    found = ranked.withColumn("n", n).agg(
+        *[at(F.floor((F.col("n") - 1) * F.lit(p))).alias(f"lo{i}") for i, p in enumerate(probs)],
+        *[at(F.ceil((F.col("n") - 1) * F.lit(p))).alias(f"hi{i}") for i, p in enumerate(probs)],
+        *[F.max((F.col("n") - 1) * F.lit(p) % 1).alias(f"part{i}") for i, p in enumerate(probs)],
+    )
+    mixed = [F.expr(f"lo{i} + (hi{i} - lo{i}) * part{i}").alias(f"q{i}") for i in range(len(probs))]
+    return found.select(*mixed)
+
+
+def describe(df: DataFrame, columns: Sequence[str], decimals: int | None = None, accuracy: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per column over all rows, one row per column.
 
-    One pass computes everything.  Quartiles are observed values from a sketch
-    of bounded size, exact while a column has fewer rows than half `accuracy`.
+    The quartiles are exact and interpolated; give `accuracy` to take them
+    from a sketch of that accuracy instead, in the same single pass as the rest.
     """
     rows = []
     for c in columns:
-        q = F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], accuracy)
+        q = F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], accuracy or 100)
         rows.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -67,13 +98,21 @@ def describe(df: DataFrame, columns: Sequence[str], decimals: int | None = None,
                 mean(c, decimals).alias("mean"),
                 F.stddev(c).alias("std"),
                 F.min(c).cast("double").alias("min"),
-                q[0].alias("p25"),
-                q[1].alias("p50"),
-                q[2].alias("p75"),
+                *([q[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))] if accuracy else []),
                 F.max(c).cast("double").alias("max"),
             )
         )
-    return df.agg(F.array(*rows).alias("__rows")).select(F.inline("__rows"))
+    out = df.agg(F.array(*rows).alias("__rows")).select(F.inline("__rows"))
+    if accuracy:
+        return out
+    quartiles = None
+    for c in columns:
+        one = quantiles(df, c, [0.25, 0.5, 0.75]).select(
+            F.lit(c).alias("column_name"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
+        )
+        quartiles = one if quartiles is None else quartiles.unionByName(one)
+    names = ["column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    return out.join(quartiles, "column_name", "left").select(*names)
 
 
 def head_rows(df: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
