@@ -544,6 +544,9 @@ select h.*, population_density, urban_rural_class from h join dens using (nuts2_
     "feature_matrix": FEATURES,
     "naive_forecast": f"with {_naive(START, END)} select * from pred",
     "naive_long_horizon": f"with {_naive(LONG_START, LONG_END)} select * from pred",
+    "naive_week_ago": f"""with t as ({TOTAL}), grid as (select unnest(generate_series({LONG_START}, {LONG_END} - interval 15 minute, interval 15 minute)) as datetime_15min)
+select g.datetime_15min, coalesce(t.kw, (select cast(sum(cast(kw as decimal(18,2))) as double) / count(*) from t where datetime_15min < {LONG_START})) as prediction
+from grid g left join t on t.datetime_15min = g.datetime_15min - interval 7 day""",
     "median_forecast": f"with {MEDIAN} select * from pred",
     "holdout_mae": f"with {NAIVE_PAIRS} select count(*) as matched, {MAE} from pairs",
     "holdout_mae_median": f"with {MEDIAN}, {_pairs(START, END)} select count(*) as matched, {MAE} from pairs",

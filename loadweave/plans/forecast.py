@@ -29,16 +29,18 @@ def day_ahead_history(meter: DataFrame, start: str) -> DataFrame:
     return before(meter, _minus_days(start[:10], 1))
 
 
-def naive_forecast(meter: DataFrame, start: str, end: str, recursive: bool = True, decimals: int | None = None) -> DataFrame:
-    """The same slot a week earlier; the mean of all earlier slots where that is missing.
+def naive_forecast(meter: DataFrame, start: str, end: str, recursive: bool = False, decimals: int | None = None) -> DataFrame:
+    """The same slot a week earlier; the mean of all slots before `start` where that is missing.
 
-    `recursive` repeats the last known week over longer horizons, so no
-    reading from the forecast period is used.
+    Beyond seven days the slot a week earlier lies inside the period: known by
+    then if the forecast is made day by day.  `recursive` repeats the last week
+    before `start` instead, so that nothing from the period is used.
     """
     edge = start if recursive else max(start, _minus_days(end, 7))
     totals = rollup(before(meter, edge), "15min", out="kw", decimals=decimals)
-    past = totals if edge == start else totals.where(F.col("datetime_15min") < t.ntz(start))
-    average = past.select(mean("kw", decimals)).scalar()
+    # conditional rather than filtered: both uses of the totals share one scan
+    past = F.when(F.col("datetime_15min") < t.ntz(start), F.col("kw")) if edge > start else F.col("kw")
+    average = totals.select(mean(past, decimals)).scalar()
     grid = slot_grid(meter.sparkSession, start, end)
     wanted = grid.withColumn("__source", source_slot("datetime_15min", start, recursive))
     known = totals.select(F.col("datetime_15min").alias("__source"), "kw")

@@ -63,7 +63,7 @@ def executed(df) -> str:
 @pytest.mark.parametrize(
     "name",
     ["total_15min", "multigrain_features", "clock_lags", "row_lags", "rolling_safe", "lagged_demand", "next_day_target",
-     "upsample_carry", "median_baseline", "median_forecast", "naive_forecast", "client_daily_profile", "label_ids"],
+     "upsample_carry", "median_baseline", "median_forecast", "naive_forecast", "naive_week_ago", "client_daily_profile", "label_ids"],
 )
 def test_one_scan_of_the_readings(spark, name):
     df = QUERIES[name](spark, SF)
