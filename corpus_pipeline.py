@@ -1,20 +1,62 @@
-"""From raw documents to token ids: each stage reads what the stage before it kept."""
+"""From raw documents to token ids: each stage works on all that the stage before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadweave.llm.common import stored, table
+from loadweave.llm import decontaminate, exact_dedup, jaccard, quality
+from loadweave.llm.common import bounded_side, stored, table
+from loadweave.llm.queries import token_digests
 
-STAGES: list = []
+#: Ids of dropped documents up to which they are broadcast: 8 bytes each
+SIDE_ROWS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not listed; rows without an id stay."""
+    gone = stored(ids.where("doc_id IS NOT NULL").select("doc_id").distinct())
+    return docs.join(bounded_side(gone, SIDE_ROWS), "doc_id", "left_anti").select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier predicts to be good."""
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("__score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id."""
+    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
+
+
+def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest id."""
+    return _without(docs, jaccard.jaccard_join(docs).where("class_id <> doc_id"))
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number of tokens of each document, and digests of its ids and of their decoding."""
+    return token_digests(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", distinct_texts),
+    ("n-gram Jaccard join", distinct_content),
+    ("benchmark decontamination", no_benchmark),
+    ("BPE encoding and decoding", tokens),
+]
 #: The first stage is a trained model, which SQL cannot express
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from loadweave.llm.common import values
 
 #: Words remembered by one Python worker; beyond that the memory starts anew
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 #: Words looked up together; a text may have more
 PORTION = 50_000
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,6 +29,16 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, also where `body` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def word_array(text: Column) -> Column:
+    """The lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+
+
 def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write the frame to the shared checkpoint folder and read it back.
 

@@ -4,7 +4,67 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_BASE = {
+    "assign": r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "(AKIA[A-Z0-9]+)",
+    "hex": "([0-9a-f]+)",
+}
+_LEAST = {"assign": 6, "access": 20, "hex": 24}
+_WEAK = {"key": "([A-Za-z0-9+/]{32,})", "endpoint": "(https?://[A-Za-z0-9.-]+)"}
+
+
+def _found(kind: str, pattern: str, least: int) -> str:
+    """Matches with their places: the lengths of all matches before and of the pieces between them."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, '{kind}' AS kind, (g_to + m_to - length(m))::INT AS start, (g_to + m_to)::INT AS stop FROM (
+  SELECT *, sum(length(g)) OVER w AS g_to, sum(length(m)) OVER w AS m_to FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(asked) AS a, unnest(gaps[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', 1) AS asked, string_split_regex(t, '{pattern}') AS gaps FROM texts))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+WHERE length(a) >= {least}"""
+
+
+_FORM = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, list_position(['assign', 'access', 'hex', 'key', 'endpoint'], kind)){}, '')"
+
 ORACLE = {
+    "op2_decontaminate": r"""
+WITH words AS (
+  SELECT doc_id, NULL AS item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL SELECT NULL, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark
+), shingles AS (
+  SELECT DISTINCT doc_id, item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words
+), items AS (SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS n_item FROM shingles WHERE item_id IS NOT NULL)
+SELECT d.doc_id, i.item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM shingles d JOIN items i USING (s) WHERE d.doc_id IS NOT NULL
+GROUP BY d.doc_id, i.item_id, n_item HAVING count(*) >= 0.8 * n_item""",
+    "op5_substring_dedup": r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1 AS later
+  FROM (SELECT doc_id, pos, array_to_string(w[pos:pos + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM docs))
+), lost AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM windows WHERE later
+), placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN (
+  SELECT p.doc_id, count(l.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE l.pos IS NULL) AS kept
+  FROM placed p LEFT JOIN lost l ON p.doc_id = l.doc_id AND p.pos = l.pos GROUP BY p.doc_id
+) k ON d.doc_id = k.doc_id""",
+    "op7_secret_scan": f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({" UNION ALL ".join(_found(k, p, _LEAST[k]) for k, p in _BASE.items())}),
+weak AS ({" UNION ALL ".join(_found(k, p, 1) for k, p in _WEAK.items())}),
+linked AS (
+  SELECT * FROM weak w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w.stop AND w.start < b.stop)
+    AND EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.kind <> 'hex' AND b.start <= w.stop + 200 AND w.start <= b.stop + 200)
+), every AS (SELECT *, true AS strong FROM base UNION ALL SELECT *, false FROM linked)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+  count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256({_FORM.format(" FILTER (WHERE strong)")}) AS base_sha256,
+  {_FORM.format(" FILTER (WHERE kind IS NOT NULL)")} AS spans
+FROM texts t LEFT JOIN every e ON t.doc_id = e.doc_id GROUP BY t.doc_id""",
     "op6_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos

@@ -3,33 +3,94 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loadweave.llm import bpe, exact_dedup, line_dedup
+from loadweave.llm import bpe, decontaminate, exact_dedup, jaccard, language, license, line_dedup, quality, secrets, substring_dedup
 from loadweave.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+def token_digests(docs: DataFrame) -> DataFrame:
+    """What op1 returns, for any documents."""
+    coded = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def _labels(*lists: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(x, lambda m: m["label"]) for x in lists]))), ",")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["word"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        _labels(F.col("places")).alias("base_labels"), _labels(F.col("places"), F.col("matches")).alias("labels"),
+        # whole wording counts in full, a phrase by itself half
+        F.when(F.size("matches") > 0, 1.0).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.digest_form(F.col("base")), 256).alias("base_sha256"),
+        secrets.digest_form(F.concat("base", "linked")).alias("spans"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_license_scan": op4_license_scan,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
