@@ -146,23 +146,34 @@ def area(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sector_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide table: region x sector (TOTAL for all) with one text column per order year."""
-    o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    rows = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("c_nationkey").alias("n_nationkey"),
-        F.explode(F.array("c_mktsegment", F.lit("TOTAL"))).alias("nace_r2"),
-        F.year("o_orderdate").alias("y"),
-        F.rint(F.col("o_totalprice") * 100).cast("long").alias("cents"),
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_nationkey, segment, status, y, cents, orders): all that the regional statistics need of the orders.
+
+    Orders are summed per customer before they meet the customers, and again per
+    nation and segment, so the join sees a row per customer, year and status.
+    """
+    o, c = (table(spark, sf_dir, x) for x in ("orders", "customer"))
+    per_customer = o.groupBy(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("y")).agg(
+        F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("orders")
     )
+    rows = per_customer.join(c.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    keys = [F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"), "status", "y"]
+    return rows.groupBy(*keys).agg(F.sum("cents").alias("cents"), F.sum("orders").alias("orders"))
+
+
+def sector_values(spark: SparkSession, sf_dir: str, totals: DataFrame | None = None) -> DataFrame:
+    """Wide table: region x sector (TOTAL for all) with one text column per order year."""
+    totals = order_totals(spark, sf_dir) if totals is None else totals
+    # a row per nation, segment, status and year by now, so the second copy is small
+    rows = totals.select("n_nationkey", F.explode(F.array("segment", F.lit("TOTAL"))).alias("nace_r2"), "y", "cents")
     sums = rows.groupBy("n_nationkey", "nace_r2").pivot("y", list(range(1995, 2002)))
     wide = sums.agg((F.sum("cents").cast("decimal(30,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)").cast("string"))
-    return wide.join(n, "n_nationkey").drop("n_nationkey", "n_regionkey").withColumnRenamed("n_name", "nuts2_code")
+    named = wide.join(table(spark, sf_dir, "nation"), "n_nationkey").drop("n_nationkey", "n_regionkey")
+    return named.withColumnRenamed("n_name", "nuts2_code")
 
 
-def nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nights(spark: SparkSession, sf_dir: str, totals: DataFrame | None = None) -> DataFrame:
     """(nuts2_code, nights): order counts per nation and status, several rows per region."""
-    o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    rows = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("n_nationkey"), "o_orderstatus")
-    sums = rows.agg(F.count(F.lit(1)).cast("double").alias("nights"))
-    return sums.join(n, "n_nationkey").select(F.col("n_name").alias("nuts2_code"), "nights")
+    totals = order_totals(spark, sf_dir) if totals is None else totals
+    sums = totals.groupBy("n_nationkey", "status").agg(F.sum("orders").cast("double").alias("nights"))
+    return sums.join(table(spark, sf_dir, "nation"), "n_nationkey").select(F.col("n_name").alias("nuts2_code"), "nights")

@@ -7,6 +7,7 @@ units (hundredths of a reading, millionths of an error) and divided once.
 from __future__ import annotations
 
 from ..plans.features import ALL_FEATURES
+from ..sources.dimensions import CALENDAR_REGIONS, SPAIN_RULES
 from . import inputs as i
 
 K = "cast(value as decimal(18,2))"
@@ -64,7 +65,7 @@ DEGREES = """hours as (
     case when temperature_2m is not null then greatest(0.0, temperature_2m - 22.0) end as cdd_hourly
   from weather{where})"""
 _PERIOD = " where date between date '2024-01-02' and date '2024-01-29'"
-WD = f"{WEATHER}, {DEGREES.format(where=_PERIOD)}"
+WD = f"{WEATHER}, {DEGREES.format(where='')}"
 REGION_CASE = "case community_code " + " ".join(f"when '{k}' then '{v}'" for k, v in i.COMMUNITY_REGION.items()) + " end"
 REG_HOURS = f"{WD}, rh as (select *, {REGION_CASE} as nuts2_code from hours)"
 
@@ -128,12 +129,13 @@ def _wide(inner: str, keys: str, value: str = "kw", fill: bool = False, extra: s
 
 
 # calendar
-def _rules() -> str:
+def _rules(rules) -> str:
     rows = []
-    for r in i.RULES:
+    for r in rules:
         kind = "fixed" if r.easter_offset is None else "easter"
         region = f"'{r.region}'" if r.region else "null"
-        rows.append(f"('{r.name}', '{kind}', {r.month or 'null'}, {r.day or 'null'}, {r.easter_offset if kind == 'easter' else 'null'}, {region})")
+        name = r.name.replace("'", "''")
+        rows.append(f"('{name}', '{kind}', {r.month or 'null'}, {r.day or 'null'}, {r.easter_offset if kind == 'easter' else 'null'}, {region})")
     return f"rules(name, kind, m, d, off, region) as (values {', '.join(rows)})"
 
 
@@ -145,10 +147,10 @@ e5 as (select *, (a + 11 * h + 22 * l) // 451 as m from e4),
 easter as (select y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) as easter from e5)"""
 
 
-def _calendar(years: str) -> str:
-    codes = ", ".join(f"'{c}'" for c in i.COMMUNITIES)
+def _calendar(years: str, rules=i.RULES, regions=i.COMMUNITIES) -> str:
+    codes = ", ".join(f"'{c}'" for c in regions)
     per = []
-    for c in i.COMMUNITIES:
+    for c in regions:
         on = f"max(case when region = '{c}' then holiday else 0 end)"
         per.append(f"{on} as holiday_{c}")
         bank = f"max(case when region = '{c}' then greatest(holiday, closed) else 0 end)"
@@ -156,7 +158,7 @@ def _calendar(years: str) -> str:
         per.append(f"max(case when region = '{c}' then bridge else 0 end) as bridge_{c}")
     names = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
     dows = ", ".join(f"max(case when dow = {n} then 1 else 0 end) as dow_{name}" for n, name in enumerate(names))
-    return f"""{_rules()}, years as ({years}), {_EASTER},
+    return f"""{_rules(rules)}, years as ({years}), {_EASTER},
 hol as (
   select distinct date, name, region from (
     select case when kind = 'easter' then cast(easter + off as date)
@@ -278,6 +280,8 @@ pred as (
     - to_days(7 * cast(ceil((date_diff('day', cast({start} as date), cast(g.datetime_15min as date)) + 1) / 7.0) as integer)))"""
 
 
+NO_HISTORY = """select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-02 23:45:00', interval 15 minute)) as datetime_15min,
+  cast(0 as double) as prediction"""
 MEDIAN = f"""comm as (select * from ({COMM}) where datetime_15min < {START} - interval 1 day), {_medians(DISC, '2023-12-25')},
 means as (select community_code, interval_idx, {favg('hist', 6)} as m from base group by community_code, interval_idx),
 grid as (select unnest(generate_series({START}, {END} - interval 15 minute, interval 15 minute)) as datetime_15min),
@@ -378,6 +382,35 @@ def _joined(inner: str) -> str:
 
 CLIENT_MEANS = ", ".join(f"{favg(f'{f}_fc')} as {f}_fc_mean" for f in ("demand", "pv", "wind"))
 
+def _ols() -> str:
+    """The normal equations of the next-day rows, solved by elimination, a step per CTE."""
+    names = ["community_code_label", "day_of_week", "hour_of_day", "quarter_of_hour", "intercept"]
+    n = len(names)
+    x = [*names[:-1], "1"]
+    first = [f"sum(cast({x[r]} as double) * {x[c]}) as a{r}{c}" for r in range(n) for c in range(n)]
+    first += [f"sum(cast({x[r]} as double) * target) as a{r}{n}" for r in range(n)]
+    steps = [f"s0 as (select {', '.join(first)}, count(*) as n from train)"]
+    for k in range(n):
+        cols = []
+        for r in range(n):
+            for c in range(n + 1):
+                cols.append(f"a{r}{c} / a{k}{k} as a{r}{c}" if r == k else f"a{r}{c} - a{r}{k} * a{k}{c} / a{k}{k} as a{r}{c}")
+        steps.append(f"s{k + 1} as (select {', '.join(cols)}, n from s{k})")
+    rows = " union all ".join(f"select '{name}' as feature, round(a{r}{n}, 5) as coefficient, n from s{n}" for r, name in enumerate(names))
+    return f"""with c as ({COMM}),
+lab as (select community_code, row_number() over (order by community_code) - 1 as community_code_label from (select distinct community_code from c)),
+rows as (
+  select community_code, datetime_15min, community_code_label, isodow(datetime_15min) - 1 as day_of_week, hour(datetime_15min) as hour_of_day,
+    floor(minute(datetime_15min) / 15) as quarter_of_hour, lead(kw, 96) over (partition by community_code order by datetime_15min) as target
+  from c join lab using (community_code)),
+train as (select * from rows where target is not null and {_SLOT_KEY} < 0.8), {', '.join(steps)} {rows}"""
+
+
+# mean and population deviation from exact sums of hundredths
+EXACT_MOMENTS = """cast(sum(cast(round_even({x} * 100, 0) as hugeint)) as double) / 100.0 / count({x}) as mu,
+  sqrt(cast(count({x}) * sum(cast(round_even({x} * 100, 0) as hugeint) * cast(round_even({x} * 100, 0) as hugeint))
+    - sum(cast(round_even({x} * 100, 0) as hugeint)) * sum(cast(round_even({x} * 100, 0) as hugeint)) as double)) / count({x}) / 100.0 as sd"""
+
 ORACLE: dict[str, str] = {
     "total_15min": _keyed_sum(SLOT, "datetime_15min"),
     "community_15min": _keyed_sum(SLOT, "datetime_15min", CCK),
@@ -445,6 +478,40 @@ select client_id, community_code, date, cast(dayofweek(date) + 1 as integer) as
   {', '.join(f"coalesce({favg(f'{f}_fc')}, 0.0) as {f}_fc_mean" for f in ('demand', 'pv', 'wind'))},
   {', '.join(f'coalesce(max(case when ix = {n} then kw end), 0.0) as "{n}"' for n in range(96))}
 from k group by client_id, community_code, date""",
+    "day_conditioned_profiles": f"""with {FEEDS}, k as ({_joined(TOTAL)})
+select date, cast(dayofweek(date) + 1 as integer) as day_of_week, cast(month(date) as integer) as month, case when isodow(date) >= 6 then 1 else 0 end as is_weekend,
+  {', '.join(f"coalesce({favg(f'{f}_fc')}, 0.0) as {f}_fc_mean, coalesce(max({f}_fc), 0.0) as {f}_fc_max" for f in ('demand', 'pv', 'wind'))},
+  coalesce(min(demand_fc), 0.0) as demand_fc_min, {', '.join(f'max(case when ix = {n} then kw end) as "{n}"' for n in range(96))}
+from k group by date having count(distinct ix) = 96""",
+    "client_scaled_profiles": f"""with cl as (select client_id, datetime_15min, sum(cast(kw as decimal(18,2))) as kw from ({CLIENT}) group by all),
+days as (select distinct client_id, {DAY} as date from cl),
+v as (
+  select d.client_id, d.date, cast(g.ix as integer) as interval_idx, coalesce(cast(c.kw as double), 0.0) as kw
+  from days d cross join (select unnest(range(96)) as ix) g
+  left join (select *, {DAY} as date, {IDX} as ix from cl) c using (client_id, date, ix)),
+st as (select client_id, interval_idx, {EXACT_MOMENTS.format(x='kw')} from v where date < date '2024-01-24' group by all)
+select v.*, case when mu is null then 0.0 else (kw - mu) / case when sd = 0 then 1.0 else sd end end as scaled from v left join st using (client_id, interval_idx)""",
+    "baseline_scaled": f"""with comm as ({COMM}), {_medians(DISC, None)},
+st as (select community_code, cast(ix as integer) as interval_idx, {EXACT_MOMENTS.format(x='kw')} from full_days group by all)
+select community_code, day_of_week, interval_idx, hist, case when mu is null then 0.0 else (hist - mu) / case when sd = 0 then 1.0 else sd end end as scaled
+from base left join st using (community_code, interval_idx)""",
+    "candidate_matrix": f"""with t as ({TOTAL}), {WEATHER}, {MEANS}, {DEGREES.format(where='')}, {FEEDS}, {STATIONS},
+w15 as ({_carry('hmean', 'x.dew_point_2m, x.temperature_2m, x.cloud_cover, x.relative_humidity_2m')}),
+deg as (select date, {favg('hdd_hourly')} as hdd_hourly, {favg('cdd_hourly')} as cdd_hourly from hours group by date),
+sd as (select fecha as date, {favg('tmed')} as tmed, {favg('prec')} as prec, {favg('velmedia')} as velmedia from st where fecha is not null group by fecha)
+select t.datetime_15min, t.kw as demand_kw, w15.* exclude (datetime_15min), tmed, prec, velmedia, hdd_hourly, cdd_hourly,
+  pv_fc as pv_forecast, wind_fc as wind_forecast, hour(t.datetime_15min) + minute(t.datetime_15min) / 60.0::double as hour,
+  cast(isodow(t.datetime_15min) - 1 as integer) as day_of_week, cast(month(t.datetime_15min) as integer) as month,
+  case when isodow(t.datetime_15min) >= 6 then 1 else 0 end as is_weekend,
+  round(sin(2 * pi() * (hour(t.datetime_15min) + minute(t.datetime_15min) / 60.0::double) / 24), 9) + 0.0 as hour_sin,
+  round(cos(2 * pi() * (hour(t.datetime_15min) + minute(t.datetime_15min) / 60.0::double) / 24), 9) + 0.0 as hour_cos
+from t left join w15 using (datetime_15min) left join sd on sd.date = cast(t.datetime_15min as date)
+left join deg on deg.date = cast(t.datetime_15min as date) left join feeds on feeds.datetime_local = t.datetime_15min""",
+    "kept_codes": "select user_id as client_id, ts as datetime_local, event_type as community_code, value as active_kw from events where event_type in ('click', 'view') and user_id = 7",
+    "time_split": f"select datetime_15min, kw as total_kw, case when datetime_15min < {START} then 'train' else 'test' end as part from ({TOTAL})",
+    "calendar_full": f"with {_calendar(ALL_YEARS, SPAIN_RULES, CALENDAR_REGIONS)} select * from cal",
+    "view_query": f"""select community_code, count(*) as days, max(kw) as highest
+  from (select event_type as community_code, cast(ts as date) as date, cast(sum({K}) as double) as kw from events group by all) group by community_code""",
     "condition_one_hot": "select date, "
     + ", ".join(f"case when dayofweek(date) + 1 = {n} then 1 else 0 end as dow_{n}" for n in range(1, 8))
     + ", "
@@ -468,6 +535,12 @@ left join t c on c.datetime_15min = t.datetime_15min - interval 2 day left join
   round(stddev_samp(kw) over w, 6) as rolling_std_7d from ({TOTAL}) window w as (order by datetime_15min rows between 672 preceding and 1 preceding)""",
     "rolling_safe": f"with {LAGGED} select datetime_15min, kw as demand_kw, rm as rolling_mean_7d from roll",
     "lagged_demand": f"with {LAGGED} select * from lagged",
+    "lagged_demand_10d": f"""with {LAGGED}
+select a.datetime_15min, t.kw as demand_kw, l14.kw as demand_lag_7d, l10.kw as demand_lag_1d, r.rm as rolling_mean_7d
+from axis a left join t using (datetime_15min)
+left join t l14 on l14.datetime_15min = a.datetime_15min - interval 14 day
+left join t l10 on l10.datetime_15min = a.datetime_15min - interval 10 day
+left join roll r on r.datetime_15min = a.datetime_15min - interval 10 day""",
     "upsample_carry": f"with {WEATHER}, {MEANS} {_carry('hmean', 'x.dew_point_2m, x.temperature_2m, x.cloud_cover, x.relative_humidity_2m')}",
     "feed_slots": f"with {FEEDS}, pv as (select datetime_local, pv_fc from feeds where pv_fc is not null) {_carry('pv', 'x.pv_fc as pv_forecast')}",
     "feeds_outer": f"with {FEEDS} select * from feeds",
@@ -478,7 +551,7 @@ left join t c on c.datetime_15min = t.datetime_15min - interval 2 day left join
   count(*) filter (where is_weekend = 0 and is_national_holiday = 1) as national_on_weekday,
   count(*) filter (where is_weekend = 1 and is_national_holiday = 1) as national_on_weekend,
   count(*) filter (where is_holiday = 1) as holiday_days, count(*) filter (where is_holiday = 0) as working_days from cal""",
-    "degree_hours": f"with {WD} select * from hours",
+    "degree_hours": f"with {WEATHER}, {DEGREES.format(where=_PERIOD)} select * from hours",
     "degree_hours_null_as_zero": f"""with {WEATHER} select datetime_local, community_code, greatest(0.0, coalesce(18.0 - temperature_2m, 0.0)) as hdd_hourly,
   greatest(0.0, coalesce(temperature_2m - 22.0, 0.0)) as cdd_hourly from weather""",
     "degree_daily_mean": f"with {WD} select date, {favg('hdd_hourly')} as hdd_hourly, {favg('cdd_hourly')} as cdd_hourly from hours group by date",
@@ -532,6 +605,8 @@ select h.*, population_density, urban_rural_class from h join dens using (nuts2_
     "imputed_features": f"with {FEEDS}, tr as (select * from feeds where datetime_local < {START} and demand_fc is not null and pv_fc is not null and wind_fc is not null) select datetime_local, "
     + ", ".join(f"round(coalesce({c}, (select median({c}) from tr), 0.0), 4) as {c}" for c in ("demand_fc", "pv_fc", "wind_fc"))
     + f" from feeds where datetime_local >= {START}",
+    "hashed_label_ids": """select hashed_id, cast(row_number() over (order by hashed_id) - 1 as integer) as client_idx
+  from (select distinct user_id * 2654435761 % 1099511627776 as hashed_id from events)""",
     "label_ids": "select user_id as client_id, cast(row_number() over (order by user_id) - 1 as integer) as client_idx from (select distinct user_id from events)",
     "community_labels": "select event_type as community_code, cast(row_number() over (order by event_type) - 1 as integer) as community_idx from (select distinct event_type from events)",
     "label_cardinality": "select cast(count(distinct user_id) as integer) as num_clients from events",
@@ -539,10 +614,13 @@ select h.*, population_density, urban_rural_class from h join dens using (nuts2_
     "client_sample": f"select user_id as client_id, ts as datetime_local, event_type as community_code, value as active_kw from events where {unit('cast(user_id as varchar)')} < 0.3",
     "row_sample": f"select community_code, datetime_15min, kw as total_active_kw from ({COMM}) where {_SLOT_KEY} < 0.5",
     "rows_at_most": f"select community_code, datetime_15min, kw as total_active_kw from ({COMM}) order by {_SLOT_KEY}, community_code, datetime_15min limit 500",
+    "next_day_ols_coefficients": _ols(),
     "random_split": f"""select *, case when {_SLOT_KEY} < 0.8 then 'train' else 'test' end as part from (
   select community_code, datetime_15min, kw as total_active_kw, lead(kw, 96) over (partition by community_code order by datetime_15min) as target from ({COMM})) where target is not null""",
     "feature_matrix": FEATURES,
     "naive_forecast": f"with {_naive(START, END)} select * from pred",
+    "naive_no_history": NO_HISTORY,
+    "median_no_history": NO_HISTORY,
     "naive_long_horizon": f"with {_naive(LONG_START, LONG_END)} select * from pred",
     "naive_week_ago": f"""with t as ({TOTAL}), grid as (select unnest(generate_series({LONG_START}, {LONG_END} - interval 15 minute, interval 15 minute)) as datetime_15min)
 select g.datetime_15min, coalesce(t.kw, (select cast(sum(cast(kw as decimal(18,2))) as double) / count(*) from t where datetime_15min < {LONG_START})) as prediction

@@ -11,7 +11,7 @@ from ..operators import calendar as cal
 from ..operators import encode, feeds as fd, grid, lags, profile, quality, region, rollup as ru, sampling, scale, weather as wx
 from ..plans import boosting, evaluate as ev, features as ft, forecast as fc, linear
 from ..session import materialize
-from ..sources import readers, sinks
+from ..sources import dimensions, readers, sinks
 from . import inputs as i
 
 CC = ["community_code"]
@@ -72,6 +72,27 @@ def client_conditioned_profiles(s, d):
     return profile.to_wide(out)
 
 
+def day_conditioned_profiles(s, d):
+    return profile.to_wide(profile.conditioned_profiles(_with_feeds(s, d, []), decimals=D))
+
+
+def client_scaled_profiles(s, d):
+    """Each client's loads in the scale of the client's own days before the cut, slot by slot."""
+    days = profile.daily_arrays(ru.rollup(i.meter(s, d), "15min", ["client_id"], decimals=D), ["client_id"], fill=0.0)
+    rows, keys = profile.to_long(days, value="kw"), ["client_id", "interval_idx"]
+    stats = scale.fit_groups(rows.where(F.col("date") < "2024-01-24"), keys, "kw", decimals=D)
+    return scale.scale_groups(rows, stats, keys, "kw")
+
+
+def baseline_scaled(s, d):
+    """The baseline in the scale of the loads that it stands for, slot by slot."""
+    slots = _community(s, d)
+    keys = ["community_code", "interval_idx"]
+    rows = profile.to_long(profile.daily_arrays(slots, CC, fill=0.0), value="kw")
+    base = profile.median_baseline(slots).select("community_code", "day_of_week", "interval_idx", "hist")
+    return scale.scale_groups(base, scale.fit_groups(rows, keys, "kw", decimals=D), keys, "hist")
+
+
 def condition_one_hot(s, d):
     days = profile.daily_conditions(_with_feeds(s, d, []), decimals=D)
     return days.select("date", *[c.alias(n) for n, c in encode.calendar_one_hot().items()])
@@ -124,6 +145,10 @@ def lagged_demand(s, d):
     return lags.lagged_demand(_total(s, d, "demand_kw"), grid.slot_grid(s, START, END), decimals=D)
 
 
+def lagged_demand_10d(s, d):
+    return lags.lagged_demand(_total(s, d, "demand_kw"), grid.slot_grid(s, START, END), availability_lag_days=10, decimals=D)
+
+
 def upsample_carry(s, d):
     return ft.weather_slots(i.weather(s, d), decimals=D)
 
@@ -161,7 +186,7 @@ def holiday_breakdown(s, d):
 
 
 def _hours(s, d):
-    return region.degree_hours(i.weather(s, d), "2024-01-02", "2024-01-29")
+    return region.degree_hours(i.weather(s, d))
 
 
 def _regional_hours(s, d):
@@ -169,7 +194,9 @@ def _regional_hours(s, d):
 
 
 def degree_hours(s, d):
-    return _hours(s, d).select("datetime_local", "date", "community_code", "temperature_2m", "hdd_hourly", "cdd_hourly")
+    # the days asked for are this operator's feature; all others work on every hour
+    hours = region.degree_hours(i.weather(s, d), "2024-01-02", "2024-01-29")
+    return hours.select("datetime_local", "date", "community_code", "temperature_2m", "hdd_hourly", "cdd_hourly")
 
 
 def degree_hours_null_as_zero(s, d):
@@ -210,8 +237,8 @@ def regions_without_data(s, d):
     return region.regions_without_data(_regional_hours(s, d), ["ES11", "ES12", "ES13", "ES24", "ES61"])
 
 
-def _gva(s, d):
-    return region.latest_year(i.sector_values(s, d), ["nuts2_code", "nace_r2"])
+def _gva(s, d, totals=None):
+    return region.latest_year(i.sector_values(s, d, totals), ["nuts2_code", "nace_r2"])
 
 
 def latest_year(s, d):
@@ -219,28 +246,28 @@ def latest_year(s, d):
 
 
 def sector_shares(s, d, gva=None):
-    gva = materialize(_gva(s, d)) if gva is None else gva
+    gva = _gva(s, d) if gva is None else gva
     shares = region.sector_shares(gva, {"industrial_index": "MACHINERY", "agricultural_share": "FURNITURE"})
     return region.min_max(shares, {"industrial_index": None, "agricultural_share": None})
 
 
-def density(s, d):
-    return region.density_features(i.population(s, d), i.area(s, d))
+def density(s, d, population=None):
+    return region.density_features(i.population(s, d) if population is None else population, i.area(s, d))
 
 
 def density_class_counts(s, d):
     return region.class_counts(density(s, d), "urban_rural_class")
 
 
-def tourism(s, d):
-    return region.tourism_features(i.nights(s, d), i.population(s, d), decimals=0)
+def tourism(s, d, totals=None, population=None):
+    return region.tourism_features(i.nights(s, d, totals), i.population(s, d) if population is None else population, decimals=0)
 
 
-def gdp_per_capita(s, d, gva=None):
+def gdp_per_capita(s, d, gva=None, population=None):
     # totals in millions only, so the per-inhabitant figure has to be computed
-    gva = materialize(_gva(s, d)) if gva is None else gva
+    gva = _gva(s, d) if gva is None else gva
     gdp = gva.where("nace_r2 = 'TOTAL'").select("nuts2_code", F.lit("MIO_EUR").alias("unit"), (F.col("value") / 1e6).alias("value"))
-    out = region.gdp_per_capita(gdp, i.population(s, d))
+    out = region.gdp_per_capita(gdp, i.population(s, d) if population is None else population)
     return region.min_max(out, {"gdp_per_capita_eur": None}).withColumnRenamed("gdp_per_capita_eur_normalized", "gdp_per_capita_normalized")
 
 
@@ -253,9 +280,11 @@ def region_static(s, d):
     degrees = _degree_index(s, d)
     codes = {"ES61": "NATION_0", "ES24": "NATION_1", "ES12": "NATION_2", "ES13": "NATION_3"}
     degrees = region.map_codes(degrees.withColumnRenamed("nuts2_code", "es"), codes, "es", "nuts2_code").drop("es")
-    gva = materialize(_gva(s, d))
-    shares, gdp = sector_shares(s, d, gva), gdp_per_capita(s, d, gva)
-    return region.static_features(density(s, d), i.population(s, d), tourism(s, d), gdp, shares, degrees)
+    # both are as small as nations x segments; all branches read them instead of the orders
+    totals, population = materialize(i.order_totals(s, d)), materialize(i.population(s, d))
+    gva = _gva(s, d, totals)
+    shares, gdp = sector_shares(s, d, gva), gdp_per_capita(s, d, gva, population)
+    return region.static_features(density(s, d, population), population, tourism(s, d, totals, population), gdp, shares, degrees)
 
 
 def temporal_with_static(s, d):
@@ -336,7 +365,13 @@ def imputed_features(s, d):
 
 
 def label_ids(s, d):
-    return encode.label_ids(i.meter(s, d), "client_id", "client_idx", width=64)
+    return encode.label_ids(i.meter(s, d), "client_id", "client_idx")
+
+
+def hashed_label_ids(s, d):
+    """Ids spread over the whole range of a long."""
+    spread = i.meter(s, d).select((F.col("client_id") * F.lit(2654435761) % F.lit(1 << 40)).alias("hashed_id"))
+    return encode.label_ids(spread, "hashed_id", "client_idx")
 
 
 def community_labels(s, d):
@@ -370,12 +405,21 @@ def random_split(s, d):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-def matrix(s, d) -> DataFrame:
+def _exogenous(s, d) -> dict:
+    """What a forecast is given beside the readings."""
     names = dict(zip(("demand_fc", "pv_fc", "wind_fc"), ft.FEEDS, strict=True))
-    fds = {names[k]: v for k, v in i.feeds(s, d).items()}
-    calendar = cal.calendar_features(cal.years_of(i.table(s, d, "events"), "ts"), i.RULES, i.COMMUNITIES)
-    demand = _total(s, d, ft.TARGET)
-    return ft.feature_matrix(demand, i.weather(s, d), region.degree_hours(i.weather(s, d)), fds, calendar, START, END, decimals=D)
+    return {
+        "weather": i.weather(s, d),
+        "degrees": region.degree_hours(i.weather(s, d)),
+        "feeds": {names[k]: v for k, v in i.feeds(s, d).items()},
+        "calendar": cal.calendar_features(cal.years_of(i.table(s, d, "events"), "ts"), i.RULES, i.COMMUNITIES),
+    }
+
+
+def matrix(s, d) -> DataFrame:
+    # only readings before the end of the period can be features or targets of it
+    demand = ft.demand_series(fc.before(i.meter(s, d), END), D)
+    return ft.feature_matrix(demand, **_exogenous(s, d), start=START, end=END, decimals=D)
 
 
 def feature_matrix(s, d):
@@ -388,11 +432,19 @@ def naive_forecast(s, d):
 
 
 def naive_long_horizon(s, d):
-    return fc.forecast(i.meter(s, d), "2024-01-15 00:00:00", "2024-02-05 00:00:00", "naive", recursive=True, decimals=D)
+    return fc.forecast(i.meter(s, d), "2024-01-15 00:00:00", "2024-02-05 00:00:00", "naive", decimals=D)
 
 
 def naive_week_ago(s, d):
-    return fc.forecast(i.meter(s, d), "2024-01-15 00:00:00", "2024-02-05 00:00:00", "naive", decimals=D)
+    return fc.forecast(i.meter(s, d), "2024-01-15 00:00:00", "2024-02-05 00:00:00", "naive", day_by_day=True, decimals=D)
+
+
+def naive_no_history(s, d):
+    return fc.forecast(i.meter(s, d), "2024-01-01T00:00:00", "2024-01-03T00:00:00", "naive", decimals=D)
+
+
+def median_no_history(s, d):
+    return fc.forecast(i.meter(s, d), "2024-01-01T00:00:00", "2024-01-03T00:00:00", "median", decimals=D)
 
 
 def median_forecast(s, d):
@@ -513,7 +565,7 @@ def all_grains(s, d):
 
 
 def gbt_forecast(s, d):
-    return fc.forecast(i.meter(s, d), START, END, lambda m, a, b: boosting.boosted_forecast(matrix(s, d), a, b, TREES))
+    return fc.forecast(i.meter(s, d), START, END, "gbt", **_exogenous(s, d), settings=TREES, decimals=D)
 
 
 def ensemble_forecast(s, d):
@@ -525,12 +577,45 @@ def gbt_importance(s, d):
     return boosting.importance(boosting.fit_boosting(train, settings=TREES), train)
 
 
+def _candidates(s, d):
+    names = dict(zip(("demand_fc", "pv_fc", "wind_fc"), ft.FEEDS, strict=True))
+    feeds = {names[k]: v for k, v in i.feeds(s, d).items() if k != "demand_fc"}
+    stations = wx.clean_stations(i.stations(s, d))
+    return ft.candidate_matrix(_total(s, d, ft.TARGET), i.weather(s, d), stations, region.degree_hours(i.weather(s, d)), feeds, decimals=D)
+
+
+def candidate_matrix(s, d):
+    out = _candidates(s, d)
+    return out.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("hour_sin", "hour_cos")})
+
+
 def ols_selection(s, d):
-    rows = ft.training_rows(matrix(s, d), END)
-    wanted = [f for f in ft.ALL_FEATURES if not f.endswith(("_7d", "_1d"))]
+    # the feeds are joined on their hourly stamps, so the complete rows are those of full hours
+    rows = _candidates(s, d)
+    wanted = [c for c in rows.columns if c not in ("datetime_15min", ft.TARGET)]
     return linear.ols_selection(rows, wanted, ft.TARGET)
 
 
+def kept_codes(s, d):
+    return region.keep_codes(i.meter(s, d), "community_code", ["click", "view"], {"client_id": "7", "not_there": "x"})
+
+
+def time_split(s, d):
+    train, test = sampling.time_split(_total(s, d), "datetime_15min", START)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+def calendar_full(s, d):
+    """The calendar of all regions under the standing rules, for every year of the orders."""
+    return cal.calendar_features(_years(s, d), dimensions.SPAIN_RULES, dimensions.CALENDAR_REGIONS)
+
+
+def view_query(s, d):
+    """A rollup registered as a view and queried by SQL."""
+    ru.rollup(i.meter(s, d), "day", CC, decimals=D).createOrReplaceTempView("daily_by_community")
+    return s.sql("select community_code, count(*) as days, max(total_active_kw) as highest from daily_by_community group by community_code")
+
+
 def _next_day_rows(s, d):
     base = ru.multigrain(i.meter(s, d), decimals=D)
     return lags.next_day_target(base)
@@ -544,6 +629,12 @@ def next_day_ols(s, d):
     return linear.fit_ols(train, NEXT_DAY, "target")
 
 
+def next_day_ols_coefficients(s, d):
+    train, _ = sampling.random_split(_next_day_rows(s, d), ["community_code", "datetime_15min"], 0.8, portable=True)
+    out = linear.fit_ols(train, NEXT_DAY, "target")
+    return out.select("feature", F.round("coefficient", 5).alias("coefficient"), "n")
+
+
 def _scores(train: DataFrame, test: DataFrame) -> DataFrame:
     """MAE and R2 of the training and the test part."""
     parts = [p.select(F.lit(n).alias("part"), F.col("target").alias("actual"), "prediction") for n, p in (("train", train), ("test", test))]
@@ -614,6 +705,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_conditions": daily_conditions,
     "client_conditions": client_conditions,
     "client_conditioned_profiles": client_conditioned_profiles,
+    "day_conditioned_profiles": day_conditioned_profiles,
+    "client_scaled_profiles": client_scaled_profiles,
+    "baseline_scaled": baseline_scaled,
     "condition_one_hot": condition_one_hot,
     "median_baseline": median_baseline,
     "median_baseline_exact": median_baseline_exact,
@@ -625,12 +719,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rolling_prev7d": rolling_prev7d,
     "rolling_safe": rolling_safe,
     "lagged_demand": lagged_demand,
+    "lagged_demand_10d": lagged_demand_10d,
     "upsample_carry": upsample_carry,
     "feed_slots": feed_slots,
     "feeds_outer": feeds_outer,
     "feed_join": feed_join,
     "spatial_mean": spatial_mean,
     "calendar_features": calendar_features,
+    "calendar_full": calendar_full,
     "holiday_breakdown": holiday_breakdown,
     "degree_hours": degree_hours,
     "degree_hours_null_as_zero": degree_hours_null_as_zero,
@@ -660,6 +756,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scaled_columns": scaled_columns,
     "imputed_features": imputed_features,
     "label_ids": label_ids,
+    "hashed_label_ids": hashed_label_ids,
     "community_labels": community_labels,
     "label_cardinality": label_cardinality,
     "community_codes": community_codes,
@@ -671,6 +768,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "naive_forecast": naive_forecast,
     "naive_long_horizon": naive_long_horizon,
     "naive_week_ago": naive_week_ago,
+    "naive_no_history": naive_no_history,
+    "median_no_history": median_no_history,
     "median_forecast": median_forecast,
     "holdout_mae": holdout_mae,
     "holdout_mae_median": holdout_mae_median,
@@ -694,8 +793,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_forecast": gbt_forecast,
     "ensemble_forecast": ensemble_forecast,
     "gbt_importance": gbt_importance,
+    "candidate_matrix": candidate_matrix,
+    "kept_codes": kept_codes,
+    "time_split": time_split,
+    "view_query": view_query,
     "ols_selection": ols_selection,
     "next_day_ols": next_day_ols,
+    "next_day_ols_coefficients": next_day_ols_coefficients,
     "next_day_ols_scores": next_day_ols_scores,
     "lag_matrix": lag_matrix,
     "lag_boosting": lag_boosting,

@@ -8,6 +8,7 @@ through `window().start` or `trunc(date)`, both of which stay zone-free;
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
@@ -91,6 +92,11 @@ def parse_stamp(text: Column) -> Column:
     return F.trim(text).try_cast("timestamp_ntz")
 
 
+def stamp_text(value: str | datetime) -> str:
+    """A stamp in one spelling, `YYYY-MM-DD HH:MM:SS`, whichever way it was given."""
+    return (datetime.fromisoformat(value) if isinstance(value, str) else value).isoformat(sep=" ")
+
+
 def ntz(value: str) -> Column:
     """A timestamp_ntz literal, folded at planning so that it reaches the scan."""
     return F.lit(value).cast("timestamp_ntz")

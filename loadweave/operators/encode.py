@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 
 def label_codes(df: DataFrame, key: str, out: str, through: str | None = None) -> DataFrame:
     """(key, 0-based rank in key order) for a dimension key such as a region code.
@@ -21,15 +23,16 @@ def label_codes(df: DataFrame, key: str, out: str, through: str | None = None) -
     return codes.withColumn(out, (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))
 
 
-def label_ids(df: DataFrame, key: str, out: str, width: int = 100_000) -> DataFrame:
-    """(key, 0-based rank in key order) for integer ids of any number.
+def label_ids(df: DataFrame, key: str, out: str) -> DataFrame:
+    """(key, 0-based rank in key order) for ids of any number and spread.
 
-    Ids are cut into ranges of `width` consecutive values, ranked inside their
-    range, and shifted by the number of ids in lower ranges.  A range holds at
-    most `width` distinct ids, and the running count covers ranges, not ids.
+    The distinct ids are range-partitioned and stored, ranked inside their range
+    and shifted by the number of ids in lower ranges, so no window sees more rows
+    than a range has, or than there are ranges.
     """
-    bucket = F.floor(F.col(key) / F.lit(width))
-    ids = df.select(key).distinct().withColumn("__range", bucket).where(F.col("__range").isNotNull())
+    ids = df.select(key).distinct().where(F.col(key).isNotNull())
+    # stored, so that both branches see the same ranges
+    ids = materialize(ids.repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
     ranked = ids.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(key)))
     sizes = ids.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))

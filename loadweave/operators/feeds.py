@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import broadcast_if_small
 from .grid import carry, dedupe
 
 
@@ -50,8 +49,8 @@ def feeds_slots(feeds: Mapping[str, DataFrame], ts: str = "datetime_local", valu
 def join_feeds(axis: DataFrame, feeds: Mapping[str, DataFrame], ts: str = "datetime_15min", source_ts: str = "datetime_local", value: str = "value") -> DataFrame:
     """Left join of the merged feeds on the exact stamp (no carrying).
 
-    The axis may be as large as clients x slots, so the merged feeds, a row per
-    stamp, are broadcast if their counted size allows and the axis stays put.
+    The axis may be as large as clients x slots and the merged feeds hold a row per
+    stamp; Spark broadcasts them at run time if their size in bytes allows.
     """
     merged = merge_feeds(feeds, source_ts, value).withColumnRenamed(source_ts, ts)
-    return axis.join(broadcast_if_small(merged), ts, "left")
+    return axis.join(merged, ts, "left")

@@ -36,7 +36,7 @@ def keyed_slot_grid(keys: DataFrame, start: str, end: str, out: str = "datetime_
     last = _stamp(end) - timedelta(minutes=t.SLOT_MINUTES)
     if last < _stamp(start):
         return keys.select("*", t.ntz(start).alias(out)).where(F.lit(False))
-    days = F.sequence(F.lit(start[:10]).cast("date"), F.lit(last.date().isoformat()).cast("date"))
+    days = F.sequence(F.lit(t.stamp_text(start)[:10]).cast("date"), F.lit(last.date().isoformat()).cast("date"))
     by_day = keys.withColumn("__day", F.explode(days))
     slots = F.explode(F.sequence(F.lit(0), F.lit(t.SLOTS_PER_DAY - 1)))
     stamp = F.col("__day").cast("timestamp_ntz") + F.make_dt_interval(
@@ -110,8 +110,3 @@ def carry(
     kept = [*[f"`{k}`" for k in keys], *names]
     spans = src.selectExpr(f"{first} as __from", f"{last} as __to", *kept).where("__from <= __to")
     return spans.selectExpr(f"explode(sequence(__from, __to, {step})) as `{out}`", *kept)
-
-
-def shift_match(df: DataFrame, ts: str, value: str, days: int, out: str) -> DataFrame:
-    """The series moved forward by whole days, for a left join on the clock."""
-    return df.select(t.shift_days(ts, days).alias(ts), F.col(value).alias(out))

@@ -19,8 +19,11 @@ def scatter(
     sends its values to their targets and a grouping on the target gathers
     them, so k lags cost one shuffle rather than k self-joins.  Only positions
     that exist in `df` come back (left-join semantics); `carry` columns stay
-    with their own row.  Where `df` repeats a position, its largest value counts.
+    with their own row.  Where `df` repeats a position, the row with the largest
+    value (of the first copy, then of the other columns) stands for all.
     """
+    first = [source for source, _ in copies.values() if source in carry]
+    carry_order = list(dict.fromkeys([*first, *carry]))
     names = list(copies)
     own = F.struct(F.col(position).alias("p"), F.lit(-1).alias("k"), F.lit(None).cast("double").alias("v"))
     sent = [
@@ -29,10 +32,13 @@ def scatter(
     ]
     rows = df.select(*keys, *carry, F.explode(F.array(own, *sent)).alias("__m"))
     is_own = F.col("__m.k") == -1
-    aggs = [F.max(F.when(is_own, F.col(c))).alias(c) for c in carry]
+    # one struct, so that the columns of two rows are never mixed
+    one = F.col(carry_order[0]) if len(carry_order) == 1 else F.struct(*carry_order)
+    aggs = [F.max(F.when(is_own, one)).alias("__own_row")] if carry else []
     aggs += [F.max(F.when(F.col("__m.k") == i, F.col("__m.v"))).alias(n) for i, n in enumerate(names)]
     out = rows.groupBy(*keys, F.col("__m.p").alias(position)).agg(F.count_if(is_own).alias("__own"), *aggs)
-    return out.where("__own > 0").drop("__own")
+    own_row = [(F.col("__own_row") if len(carry) == 1 else F.col("__own_row")[c]).alias(c) for c in carry]
+    return out.where("__own > 0").select(*keys, position, *own_row, *names)
 
 
 def clock_lags(
@@ -152,10 +158,11 @@ def lagged_demand(
 
     All three look back by the clock: a slot whose source stamp is missing gets
     null.  `availability_lag_days` is the age of the newest reading that may be
-    used; 1 lets the previous day in, 2 keeps it out.
+    used; 1 lets the previous day in, 2 keeps it out.  The weekly lag is the
+    smallest whole number of weeks that is old enough.
     """
     near = max(1, availability_lag_days)
-    far = 7 if near <= 7 else near
+    far = 7 * -(-near // 7)
     rolled = rolling_week_inclusive(df.select(ts, value), ts, value, "__roll", decimals)
     copies = {
         "demand_lag_7d": (value, t.shift_days(ts, far)),
@@ -170,15 +177,16 @@ def lagged_demand(
     return scatter(both, ts, copies, carry=[value]).select(ts, value, *copies)
 
 
-def source_slot(ts: str, start: str, recursive: bool = True) -> Column:
+def source_slot(ts: str, start: str, recursive: bool = True, availability_lag_days: int = 1) -> Column:
     """Slot whose reading a weekly-lag forecast copies.
 
     Predicting day by day and feeding each day back gives, in closed form,
     the latest same-weekday slot before `start`: 7 * ceil(h / 7) days back for
-    the h-th day.  Without `recursive` it is simply 7 days back.
+    the h-th day, and more if the days before `start` are not known yet.
+    Without `recursive` it is simply 7 days back.
     """
     if not recursive:
         return t.shift_days(ts, -7)
-    horizon = F.datediff(F.to_date(F.col(ts)), F.lit(start[:10]).cast("date")) + 1
+    horizon = F.datediff(F.to_date(F.col(ts)), F.lit(t.stamp_text(start)[:10]).cast("date")) + max(1, availability_lag_days)
     weeks = F.ceil(horizon / F.lit(7.0)).cast("int")
     return F.col(ts) - F.make_dt_interval(weeks * 7, F.lit(0), F.lit(0), F.lit(0))

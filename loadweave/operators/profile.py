@@ -149,17 +149,18 @@ def conditioned_profiles(df15: DataFrame, keys: Sequence[str] = (), value: str =
     """Profile and conditions of each day in one grouping (instead of two and a join).
 
     Days lacking any of the 96 slots are left out when `full` (the total
-    series); otherwise their gaps, and missing feed means, count as 0.
+    series); otherwise their gaps count as 0.  Conditions that are missing count
+    as 0 in both forms.
     """
     day = slot_parts(df15)
     parts = ["day_of_week", "month", "is_weekend"] if full else ["day_of_week", "month"]
     pairs = F.collect_list(F.struct(F.col("interval_idx").alias("i"), F.col(value).alias("v"))).alias("__l")
-    means = [mean(f"{f}_fc", decimals).alias(f"{f}_fc_mean") for f in ("demand", "pv", "wind")]
-    out = day.groupBy(*keys, "date").agg(pairs, *[F.min(c).alias(c) for c in parts], *means)
-    out = out.withColumn("profile", _dense("__l", None if full else 0.0)).drop("__l")
+    conditions = {f"{f}_fc_mean": mean(f"{f}_fc", decimals) for f in ("demand", "pv", "wind")}
     if full:
-        return out.where(~F.exists("profile", lambda v: v.isNull()))
-    return out.fillna(0.0, subset=[f"{f}_fc_mean" for f in ("demand", "pv", "wind")])
+        conditions |= {f"{f}_fc_max": F.max(f"{f}_fc") for f in ("demand", "pv", "wind")} | {"demand_fc_min": F.min("demand_fc")}
+    out = day.groupBy(*keys, "date").agg(pairs, *[F.min(c).alias(c) for c in parts], *[v.alias(n) for n, v in conditions.items()])
+    out = out.withColumn("profile", _dense("__l", None if full else 0.0)).drop("__l").fillna(0.0, subset=list(conditions))
+    return out.where(~F.exists("profile", lambda v: v.isNull())) if full else out
 
 
 def median_baseline(
@@ -211,7 +212,7 @@ def baseline_forecast(baseline: DataFrame, start: str, end: str, key: str = "com
         F.map_from_entries(F.collect_list(F.struct("day_of_week", F.col(value).alias("v")))).alias("__by_dow"),
         mean(value, decimals).alias("__mean"),
     )
-    days = F.sequence(F.lit(start[:10]).cast("date"), F.lit(end).cast("timestamp_ntz").cast("date"))
+    days = F.sequence(F.lit(t.stamp_text(start)[:10]).cast("date"), F.lit(end).cast("timestamp_ntz").cast("date"))
     rows = week.withColumn("date", F.explode(days))
     kw = F.coalesce(F.col("__by_dow")[t.dow_sun1("date")], F.col("__mean"), F.lit(0.0))
     offset = F.make_dt_interval(F.lit(0), F.lit(0), F.col("interval_idx") * t.SLOT_MINUTES, F.lit(0))

@@ -52,41 +52,43 @@ def meter_overview(df: DataFrame, client: str = "client_id", ts: str = "datetime
     )
 
 
-def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
-    """One row with the exact, linearly interpolated quantiles q0, q1, ... of a column of any size.
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column_name, q0, q1, ...): exact, linearly interpolated quantiles of columns of any size.
 
-    Equal values are counted together, the distinct values range-partitioned
-    and ranked inside their range; ranges are shifted by the rows before them.
-    No task holds more than one range.
+    All columns go through one pass: equal values are counted together, the
+    distinct (column, value) pairs range-partitioned and ranked inside their
+    range; ranges are shifted by the rows before them.  No task holds more than
+    one range.  The counts are stored once, which runs a job.
     """
-    known = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    counted = known.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+    known = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v is not null")
+    counted = known.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("w"))
     # stored, so that every branch sees the same ranges
-    parts = materialize(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").agg(F.sum("w").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    upto = F.sum("w").over(Window.partitionBy("part").orderBy("v"))
-    ranked = parts.withColumn("upto", upto).join(offsets, "part").withColumn("last", F.col("before") + F.col("upto"))
-    n = sizes.select(F.sum("n")).scalar()
+    parts = materialize(counted.repartitionByRange("column_name", "v").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("column_name", "part").agg(F.sum("w").alias("n"))
+    # a row per column and range
+    upto_part = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("column_name", "part", F.coalesce(F.sum("n").over(upto_part), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("column_name")).alias("n"))
+    upto = F.sum("w").over(Window.partitionBy("column_name", "part").orderBy("v"))
+    ranked = parts.withColumn("upto", upto).join(offsets, ["column_name", "part"]).withColumn("last", F.col("before") + F.col("upto"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("last") - F.col("w")) & (rank < F.col("last")), F.col("v")))
 
-    found = ranked.withColumn("n", n).agg(
+    found = ranked.groupBy("column_name").agg(
         *[at(F.floor((F.col("n") - 1) * F.lit(p))).alias(f"lo{i}") for i, p in enumerate(probs)],
         *[at(F.ceil((F.col("n") - 1) * F.lit(p))).alias(f"hi{i}") for i, p in enumerate(probs)],
         *[F.max((F.col("n") - 1) * F.lit(p) % 1).alias(f"part{i}") for i, p in enumerate(probs)],
     )
     mixed = [F.expr(f"lo{i} + (hi{i} - lo{i}) * part{i}").alias(f"q{i}") for i in range(len(probs))]
-    return found.select(*mixed)
+    return found.select("column_name", *mixed)
 
 
 def describe(df: DataFrame, columns: Sequence[str], decimals: int | None = None, accuracy: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per column over all rows, one row per column.
 
-    The quartiles are exact and interpolated; give `accuracy` to take them
-    from a sketch of that accuracy instead, in the same single pass as the rest.
+    The quartiles are exact and interpolated, from one pass over all columns; give
+    `accuracy` to take them from a sketch of that accuracy instead, in the same pass
+    as the rest and without a job of their own.
     """
     rows = []
     for c in columns:
@@ -105,12 +107,7 @@ def describe(df: DataFrame, columns: Sequence[str], decimals: int | None = None,
     out = df.agg(F.array(*rows).alias("__rows")).select(F.inline("__rows"))
     if accuracy:
         return out
-    quartiles = None
-    for c in columns:
-        one = quantiles(df, c, [0.25, 0.5, 0.75]).select(
-            F.lit(c).alias("column_name"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
-        )
-        quartiles = one if quartiles is None else quartiles.unionByName(one)
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75]).withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
     names = ["column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max"]
     return out.join(quartiles, "column_name", "left").select(*names)
 

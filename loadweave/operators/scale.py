@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import log_scale, unlog_scale
+from ..functions.numeric import log_scale, mean, unlog_scale
 
 
 def _divisor(sd: Column) -> Column:
@@ -14,17 +14,30 @@ def _divisor(sd: Column) -> Column:
     return F.when(sd == 0.0, F.lit(1.0)).otherwise(sd)
 
 
-def fit_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _moments(x: Column, decimals: int | None) -> tuple[Column, Column]:
+    """Mean and population deviation; from exact sums of whole units if `decimals` is given, so in any order of the rows."""
+    if decimals is None:
+        return F.avg(x), F.stddev_pop(x)
+    units = F.rint(x * F.lit(10.0**decimals)).cast("decimal(19,0)")
+    n = F.count(x).cast("decimal(19,0)")
+    # n * sum of squares - square of the sum is exact and never negative
+    spread = (n * F.sum(units * units) - F.sum(units) * F.sum(units)).cast("double")
+    deviation = F.sqrt(spread) / F.count(x).cast("double") / F.lit(10.0**decimals)
+    return mean(x, decimals), F.when(F.count(x) > 0, deviation)
+
+
+def fit_columns(df: DataFrame, columns: Sequence[str], decimals: int | None = None) -> DataFrame:
     """One row with mean and population deviation of each column."""
     aggs = []
     for c in columns:
-        aggs += [F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}")]
+        mu, sd = _moments(F.col(c), decimals)
+        aggs += [mu.alias(f"mu_{c}"), sd.alias(f"sd_{c}")]
     return df.agg(*aggs)
 
 
-def scale_columns(df: DataFrame, train: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
+def scale_columns(df: DataFrame, train: DataFrame, columns: Sequence[str], suffix: str = "_scaled", decimals: int | None = None) -> DataFrame:
     """(x - mean) / deviation, with statistics from the training rows only."""
-    stats = fit_columns(train, columns)
+    stats = fit_columns(train, columns, decimals)
     row = stats.select(F.struct(*stats.columns)).scalar()
     out = {
         f"{c}{suffix}": (F.col(c) - row.getField(f"mu_{c}")) / _divisor(row.getField(f"sd_{c}")) for c in columns
@@ -32,10 +45,11 @@ def scale_columns(df: DataFrame, train: DataFrame, columns: Sequence[str], suffi
     return df.withColumns(out)
 
 
-def fit_groups(train: DataFrame, keys: Sequence[str], value: str, log: bool = False) -> DataFrame:
+def fit_groups(train: DataFrame, keys: Sequence[str], value: str, log: bool = False, decimals: int | None = None) -> DataFrame:
     """Mean and deviation per group, e.g. per (entity, slot)."""
     x = log_scale(F.col(value)) if log else F.col(value)
-    return train.groupBy(*keys).agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"))
+    mu, sd = _moments(x, decimals)
+    return train.groupBy(*keys).agg(mu.alias("mu"), sd.alias("sd"))
 
 
 def scale_groups(df: DataFrame, stats: DataFrame, keys: Sequence[str], value: str, out: str = "scaled", log: bool = False) -> DataFrame:

@@ -73,11 +73,14 @@ def importance(model, df: DataFrame, features: Sequence[str] = ALL_FEATURES) ->
     return table.orderBy(F.desc("importance"), "feature")
 
 
-def layout(train: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """Spread whole days over as many tasks as the number of rows calls for, in time order inside each."""
-    n = max(1, -(-train.count() // rows_per_task))
+def layout(train: DataFrame, tasks: int = 4) -> DataFrame:
+    """Spread whole days over a fixed number of tasks, in time order inside each.
+
+    MLlib draws a round's subsample per task, so the same number gives the same
+    model whatever the size of the data or of the cluster; raise it for more rows.
+    """
     rest = [c for c in ("community_code",) if c in train.columns]
-    return train.repartition(n, F.to_date("datetime_15min")).sortWithinPartitions("datetime_15min", *rest)
+    return train.repartition(tasks, F.to_date("datetime_15min")).sortWithinPartitions("datetime_15min", *rest)
 
 
 def boosted_forecast(

@@ -14,6 +14,7 @@ from ..operators.lags import lagged_demand, rolling_previous_week, row_index, ro
 from ..operators.rollup import rollup
 from ..operators.weather import daily_mean, spatial_mean
 
+# fixed values: the names and the order of the features are the column contract
 WEATHER = ("dew_point_2m", "temperature_2m", "cloud_cover", "relative_humidity_2m")
 FEEDS = ("demand_forecast", "pv_forecast", "wind_forecast")
 DEGREES = ("hdd_hourly", "cdd_hourly")
@@ -118,6 +119,7 @@ def feature_matrix(
     return out.select("datetime_15min", TARGET, *ALL_FEATURES)
 
 
+# fixed values: the columns of the explored matrix
 LAG_FEATURES = (
     "lag_1d",
     "lag_7d",
@@ -162,6 +164,34 @@ def lag_matrix(demand: DataFrame, feeds: Mapping[str, DataFrame], decimals: int
     return join_feeds(timed, feeds).select(ts, TARGET, *LAG_FEATURES).dropna()
 
 
+# fixed values: time parts among the candidates
+CANDIDATE_TIMES = ("hour", "day_of_week", "month", "is_weekend", "hour_sin", "hour_cos")
+
+
+def candidate_matrix(
+    demand: DataFrame,
+    weather: DataFrame,
+    stations: DataFrame,
+    degrees: DataFrame,
+    feeds: Mapping[str, DataFrame],
+    hourly: Sequence[str] = WEATHER,
+    daily: Sequence[str] = ("tmed", "prec", "velmedia"),
+    decimals: int | None = None,
+) -> DataFrame:
+    """Every candidate of the feature selection on the observed slots: hourly weather carried to
+    15 minutes, the day's station and degree-hour means, the feeds on their exact stamps, time parts.
+
+    `hourly` and `daily` name the variables that the sources have; `stations` is clean, with a row per
+    station and `fecha`.  Slots without a value stay null.
+    """
+    ts = "datetime_15min"
+    out = demand.join(weather_slots(weather, hourly, decimals), ts, "left").withColumn("date", F.to_date(ts))
+    out = out.join(daily_mean(stations, daily, "fecha", decimals), "date", "left")
+    out = out.join(daily_mean(degrees, DEGREES, decimals=decimals), "date", "left").drop("date")
+    out = seasonal(join_feeds(out, feeds)).withColumn("is_weekend", t.is_weekend(ts))
+    return out.select(ts, TARGET, *hourly, *daily, *DEGREES, *feeds, *CANDIDATE_TIMES)
+
+
 def training_rows(matrix: DataFrame, start: str, features: Sequence[str] = ALL_FEATURES) -> DataFrame:
     """Complete rows before the predicted period."""
     return matrix.where(F.col("datetime_15min") < t.ntz(start)).dropna(subset=[*features, TARGET])

@@ -44,10 +44,11 @@ def fit_ols(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Coefficients with p-values; one row per feature plus the intercept.
 
     The normal equations need one pass over the rows; only their k x k sums
-    reach the driver.
+    reach the driver.  The k + 1 columns are stored first, for fitting and its
+    statistics each go over them.
     """
     model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0).fit(
-        assemble(df.select(*features, target), features)
+        assemble(materialize(df.select(*features, target)), features)
     )
     s = model.summary
     values = [*model.coefficients.toArray(), model.intercept]

@@ -22,10 +22,6 @@ def read_meter(spark: SparkSession, source: str) -> DataFrame:
     return read_table(spark, source, S.METER)
 
 
-def read_feed(spark: SparkSession, source: str) -> DataFrame:
-    return read_table(spark, source, S.FEED)
-
-
 def query(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     """A SELECT over frames, named in braces in the text."""
     return spark.sql(text, **frames)

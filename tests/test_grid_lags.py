@@ -185,16 +185,3 @@ def test_feeds_are_carried_each_over_its_own_stamps(series):
     assert max(got) == dt.datetime(2024, 1, 3, 0, 30) and got[dt.datetime(2024, 1, 3, 0, 15)] == (None, 5.0)
     single = {r[0]: r[1] for r in feeds.feed_slots(b, "b").collect()}
     assert single == {ts: v[1] for ts, v in got.items() if v[1] is not None}
-
-
-def test_broadcast_only_below_the_row_limit(spark, series):
-    from loadweave.session import broadcast_if_small
-
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    for limit, word in ((10, "SortMergeJoin"), (1000, "BroadcastHashJoin")):
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        try:
-            joined = big.join(broadcast_if_small(spark.range(100).withColumnRenamed("id", "k"), limit), "k")
-            assert word in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
-        finally:
-            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

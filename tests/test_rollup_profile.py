@@ -48,7 +48,7 @@ def test_multigrain_equals_join_form(meter):
 def test_labels_are_dense_and_ordered(spark):
     ids = [5, 70, 71, 1000, 999_999, -3]
     df = spark.createDataFrame([(i,) for i in ids * 3], "id bigint")
-    got = {r.id: r.label for r in encode.label_ids(df, "id", "label", width=50).collect()}
+    got = {r.id: r.label for r in encode.label_ids(df, "id", "label").collect()}
     assert got == {i: n for n, i in enumerate(sorted(ids))}
     codes = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "c string")
     assert {r.c: r.label for r in encode.label_codes(codes, "c", "label").collect()} == {"a": 0, "b": 1}
