@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loadweave.llm.common import bounded_side, stored, whole
-from loadweave.llm.words import WordHashes, runs
+from loadweave.llm.words import mixed, runs, word_hashes
 
 WINDOW = 20
 PHRASE = 6
@@ -33,12 +33,17 @@ SHARD_BYTES = 4 << 20
 SIDE_ROWS = 1_000_000
 
 _STEPS = WINDOW - PHRASE + 1
-_HASHES, _SECOND = WordHashes(), WordHashes(1)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The runs of anything but ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def _utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def among(found: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Which of the values are among the sorted ones."""
+    if not len(sought):
+        return np.zeros(len(found), bool)
+    return sought[np.minimum(np.searchsorted(sought, found), len(sought) - 1)] == found
 
 
 def _phrases(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +66,17 @@ def _named(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
-                found: list[np.ndarray] = []
-                shards: list[np.ndarray] = []
-                for shard, text in zip(part.column("shard").to_pylist(), part.column("text").to_pylist()):
-                    g, named = _phrases(_HASHES.of(words_of(text)))
+                found = []
+                for h in word_hashes([_utf8(t) for t in part.column("text").to_pylist()]):
+                    g, named = _phrases(h)
                     found.append(g[_places(named)])
-                    shards.append(np.full(len(found[-1]), shard))
-                table = pd.DataFrame({"phrase": np.concatenate(found), "shard": np.concatenate(shards).astype(np.int64)})
-                places = table.value_counts(sort=False).clip(upper=2)
-                keys = places.index
+                phrase, shard = np.concatenate(found), np.repeat(part.column("shard").to_numpy(), list(map(len, found)))
+                order = np.lexsort((phrase, shard))
+                phrase, shard = phrase[order], shard[order]
+                first = np.flatnonzero(np.r_[True, (phrase[1:] != phrase[:-1]) | (shard[1:] != shard[:-1])][: len(phrase)])
+                places = np.minimum(np.diff(np.r_[first, len(phrase)]), 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.get_level_values(0).to_numpy(np.uint64).view(np.int64)), pa.array(keys.get_level_values(1).to_numpy(np.int64)), pa.array(places.to_numpy(np.int64))],
-                    ["phrase", "shard", "places"],
+                    [pa.array(phrase[first].view(np.int64)), pa.array(shard[first]), pa.array(places)], ["phrase", "shard", "places"]
                 )
 
     return docs.select("shard", "text").mapInArrow(run, "phrase long, shard long, places long")
@@ -81,40 +85,47 @@ def _named(docs: DataFrame) -> DataFrame:
 class Shard:
     """The automaton of a shard's recurring phrases, over the words that occur in them."""
 
-    def __init__(self, texts: list[list[bytes]], recurring: np.ndarray):
-        self.ids: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words in texts:
-            g, named = _phrases(_HASHES.of(words))
+    def __init__(self, texts: list[np.ndarray], recurring: np.ndarray):
+        """`texts` are word hashes; `recurring` the sorted hashes of the phrases that recur."""
+        found: dict[int, np.ndarray] = {}
+        self.texts: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
+        for h in texts:
+            g, named = _phrases(h)
             places = _places(named)
-            for at in places[np.isin(g[places], recurring)].tolist():
-                key = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words[at : at + PHRASE])
-                self.automaton.add_word(key, int(g[at]))
-        self.empty = not len(self.automaton)
-        if not self.empty:
+            places = places[among(g[places], recurring)]
+            self.texts.append((h, g, named, len(places) > 0))
+            for at in places.tolist():
+                found.setdefault(int(g[at]), h[at : at + PHRASE])
+        self.words = np.unique(np.concatenate([*found.values(), np.zeros(0, np.uint64)]))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for phrase, words in found.items():
+            self.automaton.add_word(tuple((np.searchsorted(self.words, words) + 1).tolist()), phrase)
+        if found:
             self.automaton.make_automaton()
 
-    def windows(self, words: list[bytes]) -> np.ndarray:
+    def windows(self, text: int) -> np.ndarray:
         """The starts of the windows that name a recurring phrase, from the places where the automaton meets it."""
-        if self.empty or len(words) < WINDOW:
+        h, g, named, names_any = self.texts[text]
+        if not names_any:
             return np.zeros(0, np.int64)
-        get = self.ids.get
-        met = np.array(list(self.automaton.iter(tuple([get(w, 0) for w in words]))), dtype=object).reshape(-1, 2)
-        if not len(met):
+        # a word of no phrase is letter 0, which the automaton does not know
+        letters = np.where(among(h, self.words), np.searchsorted(self.words, h) + 1, 0)
+        met = list(self.automaton.iter(tuple(letters.tolist())))
+        if not met:
             return np.zeros(0, np.int64)
-        first = met[:, 0].astype(np.int64) - PHRASE + 1
-        phrase = met[:, 1].astype(np.uint64)
-        g, named = _phrases(_HASHES.of(words))
-        named = g[named]
+        ends, phrases = zip(*met)
+        first, phrase = np.array(ends, np.int64) - PHRASE + 1, np.array(phrases, np.uint64)
+        by_window = g[named]
         at = first[:, None] - np.arange(_STEPS)
         inside = (at >= 0) & (at < len(named))
-        holds = inside & (named[np.clip(at, 0, len(named) - 1)] == phrase[:, None])
+        holds = inside & (by_window[np.clip(at, 0, len(named) - 1)] == phrase[:, None])
         return np.unique(at[holds])
 
 
-def _window_hashes(words: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = runs(_HASHES.of(words), WINDOW)[at]
-    second = runs(_SECOND.of(words), WINDOW, 0xD6E8FEB86659FD93)[at]
+def _window_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each of the windows."""
+    first = runs(h, WINDOW)[at]
+    second = runs(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), WINDOW, 0xD6E8FEB86659FD93)[at]
     return first.view(np.int64), second.view(np.int64)
 
 
@@ -124,54 +135,58 @@ def _stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + 1
 
 
+def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for a window among those of one shard or document."""
+    return first ^ second
+
+
 def _located(docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
     """One row per document with candidate windows: their stretches, and the hashes of those that come first in the shard."""
     columns = ["doc_id", "starts", "stops", "first", "second"]
     if docs.empty or recurring.empty:
         return pd.DataFrame(columns=columns)
     docs = docs.sort_values("doc_id", kind="stable")
-    texts = [words_of(t) for t in docs["text"]]
-    shard = Shard(texts, recurring["phrase"].to_numpy(np.int64).view(np.uint64))
-    seen: set[tuple[int, int]] = set()
+    shard = Shard(word_hashes([_utf8(t) for t in docs["text"]]), np.unique(recurring["phrase"].to_numpy(np.int64).view(np.uint64)))
+    found = [(doc_id, at, *_window_hashes(shard.texts[i][0], at)) for i, doc_id in enumerate(docs["doc_id"]) if len(at := shard.windows(i))]
+    if not found:
+        return pd.DataFrame(columns=columns)
+    keys = _key(np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]))
+    lead = np.zeros(len(keys), bool)
+    lead[np.unique(keys, return_index=True)[1]] = True
     rows = []
-    for doc_id, words in zip(docs["doc_id"], texts):
-        at = shard.windows(words)
-        if not len(at):
-            continue
-        first, second = _window_hashes(words, at)
-        fresh = [k for k in zip(first.tolist(), second.tolist()) if not (k in seen or seen.add(k))]
-        a, b = zip(*fresh) if fresh else ((), ())
-        starts, stops = _stretches(at)
-        rows.append((doc_id, starts, stops, np.array(a, np.int64), np.array(b, np.int64)))
+    for (doc_id, at, first, second), here in zip(found, np.split(lead, np.cumsum([len(f[1]) for f in found])[:-1])):
+        rows.append((doc_id, *_stretches(at), first[here], second[here]))
     return pd.DataFrame(rows, columns=columns)
 
 
+def _spared(words: list[bytes], row_starts: np.ndarray, row_stops: np.ndarray, spared: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which words a later window covers. Only a window's first place in the document can be the first of all."""
+    at = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(row_starts, row_stops)]))
+    keys, place = np.unique(_key(*_window_hashes(h, at)), return_index=True)
+    later = np.ones(len(at), bool)
+    later[place[among(keys, np.sort(spared))]] = False
+    edge = np.bincount(at[later], minlength=len(words) + 1) - np.bincount(at[later] + WINDOW, minlength=len(words) + 1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, len(batch), 200):
             part = batch.slice(i, 200)
             counts, removed, kept = [], [], []
-            for row in part.select(["text", "copy", "starts", "stops", "spared"]).to_pylist():
-                words = words_of(row["text"])
+            texts = [_utf8(t) for t in part.column("text").to_pylist()]
+            marked = [t if s else b"" for t, s in zip(texts, part.column("starts").is_valid().to_pylist())]
+            for text, h, copy, *judged in zip(texts, word_hashes(marked), *(part.column(c) for c in ("copy", "starts", "stops", "spared"))):
+                words = text.split()
                 lost = np.zeros(len(words), bool)
-                if row["copy"]:
+                if copy.as_py():
                     lost[:] = len(words) >= WINDOW
-                elif row["starts"]:
-                    at = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(row["starts"], row["stops"])]))
-                    first, second = _window_hashes(words, at)
-                    # only the first place in this document can be the first of all
-                    keys = np.stack([first, second])
-                    place = np.unique(keys, axis=1, return_index=True)[1]
-                    spared = {(s["first"], s["second"]) for s in row["spared"] or ()}
-                    stay = np.zeros(len(at), bool)
-                    stay[[p for p in place.tolist() if (int(first[p]), int(second[p])) in spared]] = True
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, at[~stay], 1)
-                    np.add.at(edge, at[~stay] + WINDOW, -1)
-                    lost = np.cumsum(edge)[:-1] > 0
+                elif judged[0].is_valid:
+                    starts, stops, spared = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in judged)
+                    lost = _spared(words, starts, stops, spared, h)
                 counts.append(len(words))
                 removed.append(int(lost.sum()))
-                kept.append(b" ".join([w for w, gone in zip(words, lost.tolist()) if not gone]))
+                kept.append(b" ".join(words if not removed[-1] else [w for w, gone in zip(words, lost.tolist()) if not gone]))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
                 ["doc_id", "n_words", "n_removed", "kept"],
@@ -206,7 +221,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     windows = found.select("doc_id", F.explode(F.arrays_zip("first", "second")).alias("w")).select("doc_id", "w.*")
     spared = windows.groupBy("first", "second").agg(F.min("doc_id").alias("doc_id"))
-    spared = spared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "second")).alias("spared"))
+    # as `_key`
+    spared = spared.select("doc_id", F.col("first").bitwiseXOR(F.col("second")).alias("key")).groupBy("doc_id").agg(F.collect_list("key").alias("spared"))
     places = found.select("doc_id", "starts", "stops").groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
     judged = places.join(spared, "doc_id", "left").unionByName(copies, allowMissingColumns=True)
     return rows.join(judged, "doc_id", "left").select("doc_id", "text", "copy", "starts", "stops", "spared").mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept binary")
