@@ -36,7 +36,7 @@ WORDS = 5
 SIMILAR = 0.8
 TOKENS = 128
 #: Classes that are compared by brute force
-SMALL = 256
+SMALL = 1024
 DEEPEST = 6
 #: A child bucket with at least this share of its parent is not split further
 DENSE = 0.5
