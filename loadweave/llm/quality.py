@@ -72,14 +72,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     found: list[np.ndarray] = []
     words = _WORD.findall(text)
     for i in range(0, len(words), PORTION):
-        # one word of overlap, so that bigrams across portions count once
-        codes = np.fromiter(map(_WORDS.__getitem__, words[max(0, i - 1) : i + PORTION]), np.uint64)
+        # two words of overlap: one for the bigram across portions, one to tell whether its first word is a repeat
+        over = min(i, 2)
+        codes = np.fromiter(map(_WORDS.__getitem__, words[i - over : i + PORTION]), np.uint64)
         word, shape = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)
         same = np.zeros(len(codes), np.uint64)
         same[1:] = word[1:] == word[:-1]
         shape = shape * np.uint64(2) + same
-        keep = slice(1 if i else 0, None)
-        found += [_slots(word[keep], 1), _slots(shape[keep], 2), _slots(word[:-1], 3, word[1:]), _slots(shape[:-1], 4, shape[1:])]
+        b = slice(max(0, over - 1), None)
+        found += [_slots(word[over:], 1), _slots(shape[over:], 2), _slots(word[b][:-1], 3, word[b][1:]), _slots(shape[b][:-1], 4, shape[b][1:])]
     if not found:
         return np.zeros(0, np.int32), np.zeros(0)
     slots, counts = np.unique(np.concatenate(found), return_counts=True)
