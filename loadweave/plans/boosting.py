@@ -26,10 +26,9 @@ class BoostingSettings:
     seed: int = 42
 
 
-# fixed values: the scored and the explored settings; the last two stand in
-# for leaf-wise trees of 31 and 63 leaves
+# fixed values: the scored settings; the last two stand in for leaf-wise trees
+# of 31 and 63 leaves
 SCORED = BoostingSettings()
-EXPLORED = BoostingSettings(600, 4, 0.03, 0.7, 20)
 LEAF_31 = BoostingSettings(100, 5, 0.1, 1.0, 20, seed=20)
 LEAF_63 = BoostingSettings(500, 6, 0.05, 1.0, 50)
 
@@ -55,6 +54,8 @@ def fit_boosting(train: DataFrame, features: Sequence[str] = ALL_FEATURES, targe
         minInstancesPerNode=settings.min_leaf,
         maxBins=settings.bins,
         checkpointInterval=10,
+        cacheNodeIds=True,
+        maxMemoryInMB=512,
         seed=settings.seed,
     )
     return model.fit(assemble(train, features))
@@ -73,7 +74,7 @@ def importance(model, df: DataFrame, features: Sequence[str] = ALL_FEATURES) ->
     return table.orderBy(F.desc("importance"), "feature")
 
 
-def layout(train: DataFrame, tasks: int = 4) -> DataFrame:
+def layout(train: DataFrame, tasks: int = 2) -> DataFrame:
     """Spread whole days over a fixed number of tasks, in time order inside each.
 
     MLlib draws a round's subsample per task, so the same number gives the same

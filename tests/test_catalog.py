@@ -49,7 +49,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted_rows(df.columns, df.collect()) == sorted_rows(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name,rows", [("gbt_forecast", 672), ("ols_selection", 20), ("next_day_ols", 5), ("next_day_ols_scores", 2)])
+@pytest.mark.parametrize("name,rows", [("ols_selection", 17), ("next_day_ols", 5), ("next_day_ols_scores", 2)])
 def test_model_queries_run(spark, name, rows):
     assert QUERIES[name](spark, SF).count() == rows
 

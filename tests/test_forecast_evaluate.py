@@ -51,9 +51,9 @@ def test_forecasts_do_not_read_the_forecast_period(meter):
     for model, options in (("naive", {}), ("median", {})):
         a, b = (fc.forecast(m, start, end, model, decimals=2, **options) for m in (meter, spoiled))
         assert a.exceptAll(b).count() == 0
-    # a plain week-ago forecast knows the readings of a week ago, but none that are newer
+    # a forecast made day by day knows the readings of a week ago, but none that are newer
     late = meter.withColumn("active_kw", F.when(F.col("datetime_local") < "2024-01-15", F.col("active_kw")).otherwise(F.lit(1e6)))
-    a, b, c = (fc.forecast(m, start, end, decimals=2) for m in (meter, spoiled, late))
+    a, b, c = (fc.forecast(m, start, end, day_by_day=True, decimals=2) for m in (meter, spoiled, late))
     assert a.exceptAll(c).count() == 0 and a.exceptAll(b).count() == 5 * 96
 
 
@@ -203,3 +203,55 @@ def test_session_time_zone_does_not_matter(spark):
         assert {r.hour for r in ev.error_by_hour(p).collect()} == {18, 2, 17}
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("model", ["naive", "median"])
+def test_every_slot_has_a_value_with_no_partial_or_full_history(meter, model):
+    for start in ("2023-12-20 00:00:00", "2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-04 00:00:00", "2024-01-15 00:00:00"):
+        end = (dt.datetime.fromisoformat(start) + dt.timedelta(days=2)).isoformat(sep=" ")
+        out = fc.forecast(meter, start, end, model)
+        assert out.count() == 192 and out.where("prediction is null").count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"day_by_day": True}])
+def test_both_spellings_of_a_stamp_give_the_same(meter, options):
+    sums = []
+    for sep in (" ", "T"):
+        out = fc.naive_forecast(meter, f"2024-01-15{sep}06:00:00", f"2024-01-25{sep}06:00:00", decimals=2, **options)
+        sums.append(out.agg(F.round(F.sum("prediction"), 6)).first()[0])
+    assert sums[0] == sums[1]
+
+
+def test_naive_reads_nothing_from_the_period_and_nothing_too_young(meter):
+    start, end = "2024-01-12 00:00:00", "2024-01-22 00:00:00"
+
+    def total(m, **options):
+        return fc.naive_forecast(m, start, end, decimals=2, **options).agg(F.round(F.sum("prediction"), 4)).first()[0]
+
+    def louder(since):
+        return meter.withColumn("active_kw", F.when(F.col("datetime_local") >= F.lit(since).cast("timestamp_ntz"), F.col("active_kw") * 100).otherwise(F.col("active_kw")))
+
+    assert total(louder(start)) == total(meter)
+    assert total(louder("2024-01-10 00:00:00"), availability_lag_days=3) == total(meter, availability_lag_days=3)
+    assert total(louder(start), day_by_day=True) != total(meter, day_by_day=True)
+
+
+def test_boosting_under_the_contract_reads_only_before_the_end(spark):
+    from loadweave.catalog import inputs as i, queries as q
+    from tests.conftest import SF
+
+    small = boosting.BoostingSettings(rounds=2, depth=2)
+    out = fc.forecast(i.meter(spark, SF), "2024-01-24T00:00:00", "2024-01-26T00:00:00", "gbt", **q._exogenous(spark, SF), settings=small, decimals=2)
+    assert out.count() == 192 and out.where("prediction is null or prediction < 0").count() == 0
+    demand = ft.demand_series(fc.before(i.meter(spark, SF), "2024-01-26T00:00:00"), 2)
+    assert "LessThan(ts," in demand._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_model_does_not_change_with_the_number_of_partitions(spark):
+    rows = spark.range(400).select(
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 15).cast("int"), F.lit(0))).alias("datetime_15min"),
+        (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 3 + F.col("id") % 5).cast("double").alias("y"),
+    )
+    settings = boosting.BoostingSettings(rounds=3, depth=2, min_leaf=1)
+    trees = {boosting.fit_boosting(boosting.layout(rows.repartition(n)), ["x"], "y", settings).toDebugString.split("\n", 1)[1] for n in (1, 7)}
+    assert len(trees) == 1

@@ -185,3 +185,27 @@ def test_feeds_are_carried_each_over_its_own_stamps(series):
     assert max(got) == dt.datetime(2024, 1, 3, 0, 30) and got[dt.datetime(2024, 1, 3, 0, 15)] == (None, 5.0)
     single = {r[0]: r[1] for r in feeds.feed_slots(b, "b").collect()}
     assert single == {ts: v[1] for ts, v in got.items() if v[1] is not None}
+
+
+def test_a_repeated_stamp_keeps_one_of_its_rows(spark, series):
+    df = series([("2024-01-01T00:00:00", 5.0, 2), ("2024-01-01T00:00:00", 1.0, 9), ("2024-01-02T00:00:00", 3.0, 4)], "datetime_15min timestamp_ntz, v double, w int")
+    got = sorted(tuple(r)[1:] for r in lags.clock_lags(df, {"lag": 1}, value="v").collect())
+    assert got == [(3.0, 4, 5.0), (5.0, 2, None)]
+
+
+def test_the_weekly_lag_is_a_multiple_of_seven_days(spark, series):
+    rows = [((dt.datetime(2024, 1, 1) + dt.timedelta(days=d)).isoformat(), float(d)) for d in range(30)]
+    out = lags.lagged_demand(series(rows, "datetime_15min timestamp_ntz, demand_kw double"), availability_lag_days=10)
+    assert all(r["demand_kw"] - r["demand_lag_7d"] == 14 for r in out.where("demand_lag_7d is not null").collect())
+    assert all(r["demand_kw"] - r["demand_lag_1d"] == 10 for r in out.where("demand_lag_1d is not null").collect())
+
+
+def test_feed_join_runs_no_job(spark, series):
+    axis = series([("2024-01-01T00:00:00", 1.0)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        feeds.join_feeds(axis, {"a": axis.withColumnsRenamed({"datetime_15min": "datetime_local", "v": "value"})})
+        assert not tracker.getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
