@@ -481,8 +481,8 @@ from k group by client_id, community_code, date""",
     "day_conditioned_profiles": f"""with {FEEDS}, k as ({_joined(TOTAL)})
 select date, cast(dayofweek(date) + 1 as integer) as day_of_week, cast(month(date) as integer) as month, case when isodow(date) >= 6 then 1 else 0 end as is_weekend,
   {', '.join(f"coalesce({favg(f'{f}_fc')}, 0.0) as {f}_fc_mean, coalesce(max({f}_fc), 0.0) as {f}_fc_max" for f in ('demand', 'pv', 'wind'))},
-  coalesce(min(demand_fc), 0.0) as demand_fc_min, {', '.join(f'max(case when ix = {n} then kw end) as "{n}"' for n in range(96))}
-from k group by date having count(distinct ix) = 96""",
+  coalesce(min(demand_fc), 0.0) as demand_fc_min, {', '.join(f'coalesce(max(case when ix = {n} then kw end), 0.0) as "{n}"' for n in range(96))}
+from k group by date""",
     "client_scaled_profiles": f"""with cl as (select client_id, datetime_15min, sum(cast(kw as decimal(18,2))) as kw from ({CLIENT}) group by all),
 days as (select distinct client_id, {DAY} as date from cl),
 v as (
@@ -678,3 +678,7 @@ select l.*, cast(hour(datetime_15min) as integer) as hour, cast(minute(datetime_
 from l join feeds on datetime_local = datetime_15min
 where lag_7d is not null and rolling_std_7d is not null and demand_fc is not null and pv_fc is not null and wind_fc is not null""",
 }
+
+# the same rows by way of text
+for _text, _plain in (("hourly_from_json", "hourly_flatten"), ("stations_from_json", "station_daily_mean"), ("statistics_from_csv", "latest_year")):
+    ORACLE[_text] = ORACLE[_plain]

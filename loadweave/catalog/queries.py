@@ -74,7 +74,7 @@ def client_conditioned_profiles(s, d):
 
 
 def day_conditioned_profiles(s, d):
-    return profile.to_wide(profile.conditioned_profiles(_with_feeds(s, d, []), decimals=D))
+    return profile.to_wide(profile.conditioned_profiles(_with_feeds(s, d, []), decimals=D, complete=False))
 
 
 def client_scaled_profiles(s, d):
@@ -307,6 +307,29 @@ def hourly_flatten(s, d):
     return wx.drop_empty_columns(wx.flatten_hourly(i.weather_documents(s, d)))
 
 
+def hourly_from_json(s, d):
+    """The documents as JSON text, parsed under the explicit schema."""
+    texts = i.weather_documents(s, d).select(F.to_json(F.struct("*")).alias("text"))
+    docs = readers.parse_hourly_documents(texts, "text", ["temperature_2m", "cloud_cover", "snow_depth"])
+    return wx.drop_empty_columns(wx.flatten_hourly(docs))
+
+
+def stations_from_json(s, d):
+    """Station records as JSON text, parsed and tagged with their community, cleaned and averaged."""
+    codes = F.concat(F.lit("ST_"), F.col("community_code")).alias("indicativo")
+    texts = i.stations(s, d).select(F.to_json(F.struct(codes, "fecha", "tmed", "prec", "velmedia", "horatmax")).alias("text"))
+    raw = readers.parse_stations(texts, "text", {c: (f"ST_{c}", c) for c in i.COMMUNITIES})
+    return wx.daily_mean(wx.clean_stations(raw).where("community_code is not null"), ["tmed", "prec", "velmedia"], "fecha", D)
+
+
+def statistics_from_csv(s, d):
+    """The wide sector table as lines of text, parsed and reduced to its latest year."""
+    wide = i.sector_values(s, d)
+    dims, years = ["nuts2_code", "nace_r2"], [c for c in wide.columns if c.isdigit()]
+    lines = wide.select(F.to_csv(F.struct(*dims, *years), {"sep": ";"}).alias("line"))
+    return region.latest_year(readers.parse_statistics(lines, "line", dims, years, ";"), dims)
+
+
 def null_report(s, d):
     return wx.partial_null_report(wx.flatten_hourly(i.weather_documents(s, d)))
 
@@ -749,6 +772,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weather_clean": weather_clean,
     "station_daily_mean": station_daily_mean,
     "hourly_flatten": hourly_flatten,
+    "hourly_from_json": hourly_from_json,
+    "stations_from_json": stations_from_json,
+    "statistics_from_csv": statistics_from_csv,
     "null_report": null_report,
     "group_scale_roundtrip": lambda s, d: _roundtrip(s, d, False),
     "log_scale_roundtrip": lambda s, d: _roundtrip(s, d, True),

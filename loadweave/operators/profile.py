@@ -145,13 +145,14 @@ def daily_conditions(df15: DataFrame, keys: Sequence[str] = (), decimals: int |
     return day.groupBy(*keys, "date").agg(*aggs)
 
 
-def conditioned_profiles(df15: DataFrame, keys: Sequence[str] = (), value: str = "total_active_kw", decimals: int | None = None, full: bool = True) -> DataFrame:
+def conditioned_profiles(df15: DataFrame, keys: Sequence[str] = (), value: str = "total_active_kw", decimals: int | None = None, full: bool = True, complete: bool | None = None) -> DataFrame:
     """Profile and conditions of each day in one grouping (instead of two and a join).
 
-    Days lacking any of the 96 slots are left out when `full` (the total
-    series); otherwise their gaps count as 0.  Conditions that are missing count
+    Days lacking any of the 96 slots are left out when `complete` (as for the full
+    form, the total series); otherwise their gaps count as 0.  Conditions that are missing count
     as 0 in both forms.
     """
+    complete = full if complete is None else complete
     day = slot_parts(df15)
     parts = ["day_of_week", "month", "is_weekend"] if full else ["day_of_week", "month"]
     pairs = F.collect_list(F.struct(F.col("interval_idx").alias("i"), F.col(value).alias("v"))).alias("__l")
@@ -159,8 +160,8 @@ def conditioned_profiles(df15: DataFrame, keys: Sequence[str] = (), value: str =
     if full:
         conditions |= {f"{f}_fc_max": F.max(f"{f}_fc") for f in ("demand", "pv", "wind")} | {"demand_fc_min": F.min("demand_fc")}
     out = day.groupBy(*keys, "date").agg(pairs, *[F.min(c).alias(c) for c in parts], *[v.alias(n) for n, v in conditions.items()])
-    out = out.withColumn("profile", _dense("__l", None if full else 0.0)).drop("__l").fillna(0.0, subset=list(conditions))
-    return out.where(~F.exists("profile", lambda v: v.isNull())) if full else out
+    out = out.withColumn("profile", _dense("__l", None if complete else 0.0)).drop("__l").fillna(0.0, subset=list(conditions))
+    return out.where(~F.exists("profile", lambda v: v.isNull())) if complete else out
 
 
 def median_baseline(

@@ -34,7 +34,18 @@ def read_stations(
 
     A record of an unlisted station keeps a null community.
     """
-    raw = spark.read.schema(S.STATION).option("multiLine", multiline).json(path)
+    return tag_stations(spark.read.schema(S.STATION).option("multiLine", multiline).json(path), stations)
+
+
+def parse_stations(texts: DataFrame, column: str, stations: Mapping[str, tuple[str, str]] = STATIONS) -> DataFrame:
+    """The same records from a text column, a JSON record per row; a text that is none gives a row of nulls."""
+    raw = texts.select(F.from_json(column, S.STATION).alias("__r")).select("__r.*")
+    return tag_stations(raw, stations)
+
+
+def tag_stations(raw: DataFrame, stations: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Each record with the community of its station, by a literal table."""
+    spark = raw.sparkSession
     table = spark.createDataFrame([(s, c) for c, (s, _) in stations.items()], "indicativo string, community_code string")
     return raw.join(F.broadcast(table), "indicativo", "left")
 
@@ -44,6 +55,17 @@ def read_hourly_documents(spark: SparkSession, path: str, variables: Sequence[st
     return spark.read.schema(S.hourly_document(variables)).option("multiLine", multiline).json(path)
 
 
+def parse_hourly_documents(texts: DataFrame, column: str, variables: Sequence[str] = S.HOURLY_VARIABLES) -> DataFrame:
+    """The same documents from a text column, one per row."""
+    return texts.select(F.from_json(column, S.hourly_document(variables)).alias("__r")).select("__r.*")
+
+
+def parse_statistics(texts: DataFrame, column: str, dims: Sequence[str], years: Sequence[int | str], sep: str = ",") -> DataFrame:
+    """A wide statistics table from a text column, a line per row without a header."""
+    schema = ", ".join(f"`{f.name}` string" for f in S.statistics_table(dims, years).fields)
+    return texts.select(F.from_csv(column, schema, {"sep": sep}).alias("__r")).select("__r.*")
+
+
 def read_statistics(spark: SparkSession, path: str, dims: Sequence[str], years: Sequence[int | str], sep: str = ",") -> DataFrame:
     """A wide statistics file: dimensions and one column per year, all as text."""
     return spark.read.schema(S.statistics_table(dims, years)).option("header", True).option("sep", sep).csv(path)
