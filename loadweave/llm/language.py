@@ -20,7 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from loadweave.llm.common import stored, values, whole
+from loadweave.llm.common import stored, values
 from loadweave.llm.sampling import bounded_sample, held_out
 
 #: Documents that the model learns from at most
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, path: str, max_rows: int = MAX_ROWS) -> tuple[list[str]
     a number for each piece and language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    sample = F.broadcast(stored(bounded_sample(usable.distinct(), max_rows)))
+    sample = F.broadcast(bounded_sample(usable.distinct(), max_rows))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

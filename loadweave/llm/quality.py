@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loadweave.llm.common import stored, values
+from loadweave.llm.common import values
 from loadweave.llm.sampling import bounded_sample, held_out
 
 BITS = 18
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     """
     usable = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # the bound of the sample is the bound of the broadcast
-    sample = F.broadcast(stored(bounded_sample(usable, max_rows)))
+    sample = F.broadcast(bounded_sample(usable, max_rows))
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "doc_id"])

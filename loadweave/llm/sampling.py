@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadweave.llm.common import stored
+from loadweave.operators.sampling import sample_at_most
+
 FOLDS = 5
 
 
@@ -13,5 +16,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
-    """At most `max_rows` of the rows (doc_id, ...), the first in the order of a hash of the id; the same on every run."""
-    return rows.withColumn("__order", F.xxhash64("doc_id")).orderBy("__order", "doc_id").limit(max_rows).drop("__order")
+    """At most `max_rows` of the rows (doc_id, ...), the first in the order of a hash of the id; the same on every run.
+
+    The rows are stored and counted, so that only about as many as are wanted are ever sorted.
+    """
+    return stored(sample_at_most(stored(rows), max_rows, ["doc_id"]))
