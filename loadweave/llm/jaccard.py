@@ -115,8 +115,9 @@ def _buckets(classes: DataFrame, first_run: int, n_runs: int) -> tuple[DataFrame
     level = _split(roots, F.xxhash64(F.lit("run"), F.col("run"))).select("rep", "node").withColumn("above", F.lit(1 << 60))
     done, depth = [], 1
     while True:
-        # counted with partial sums and joined back, so that no bucket has to fit into a task
-        counts = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        # counted with partial sums and joined back, so that no bucket has to fit into a task; stored in
+        # between, so that the join is a stage of its own and a large bucket can be split
+        counts = stored(level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         level = stored(level.join(counts, "node"))
         large = (F.col("n") > SMALL) & (F.col("n") < DENSE * F.col("above")) & F.lit(depth < DEEPEST)
         done.append(level.where(~large).select("rep", "node", "n"))
