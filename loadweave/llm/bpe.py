@@ -15,7 +15,7 @@ import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -24,9 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loadweave.llm.common import values
+from loadweave.llm.common import lean, values
 
-#: Words remembered by one Python worker; beyond that the memory starts anew
+#: Words remembered by one task; beyond that the memory starts anew
 WORDS_KEPT = 300_000
 #: Words looked up together; a text may have more
 PORTION = 50_000
@@ -83,7 +83,8 @@ class Bpe:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], made[order]
         self.sound = self._sound(merges, vocab)
-        self.words = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        self.words: dict[str, bytes] = {}
+        self.forget()
 
     def _sound(self, merges: list, vocab: dict[str, int]) -> np.ndarray:
         """Tokens that merging their own bytes yields: both halves are, and nothing crosses before they meet."""
@@ -205,13 +206,17 @@ class Bpe:
             found += self.word.findall(part.lower())
         return found
 
+    def forget(self) -> None:
+        """Start the memory of words anew; special tokens are always known."""
+        self.words = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+
     def _lookup(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(pieces), PORTION):
             portion = pieces[i : i + PORTION]
             fresh = set(portion).difference(self.words)
             if len(self.words) + len(fresh) > WORDS_KEPT:
-                self.words = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+                self.forget()
                 fresh = set(portion).difference(self.words)
             if fresh:
                 self._learn(list(fresh))
@@ -260,20 +265,44 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids = bpe.encode(t or "" for t in values(batch.column("text")))
             yield from _out(batch.column("doc_id"), ids)
+        # idle workers hold the vocabulary only
+        bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def _out(doc_ids: pa.Array, ids: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+def _out(doc_ids: pa.Array, ids: Iterator[bytes], decoded: Callable[[bytes], bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """The ids by document, and what they decode to if asked for, in batches of a few MB."""
     held: list[bytes] = []
     size = start = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [doc_ids.slice(start, len(held)), pa.array(held, pa.binary())]
+        if decoded is None:
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
+        texts = pa.array([decoded(x) for x in held], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([*columns, texts], ["doc_id", "ids", "decoded"])
+
     for x in ids:
         held.append(x)
         size += len(x)
-        if size > 8 << 20:
-            yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(held)), pa.array(held, pa.binary())], ["doc_id", "ids"])
+        if size > 4 << 20:
+            yield batch()
             start, held, size = start + len(held), [], 0
-    yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(held)), pa.array(held, pa.binary())], ["doc_id", "ids"])
+    yield batch()
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """`decode(encode(docs))` in one pass: (doc_id, ids, decoded)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            ids = bpe.encode(t or "" for t in values(batch.column("text")))
+            yield from _out(batch.column("doc_id"), ids, bpe.decode)
+        bpe.forget()
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -292,4 +321,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [None if x is None else bpe.decode(x).decode() for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
 
-    return encoded.mapInArrow(run, f"{encoded._jdf.schema().toDDL()}, decoded string")
+    return encoded.mapInArrow(lean(run), f"{encoded._jdf.schema().toDDL()}, decoded string")

@@ -14,7 +14,6 @@ so neither the filter nor the keys of a snapshot are ever in one place.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -23,12 +23,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadweave.llm.common import bounded_side, stored, values
+from loadweave.llm.common import bounded_side, lean, stored, values
 from loadweave.llm.components import components
 from loadweave.llm.words import WordHashes, mixed, runs
 
@@ -51,14 +50,13 @@ SLACK = 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / TOKENS)
 SIDE_ROWS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_HASHES = WordHashes()
 _FACTORS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_set(text: str) -> np.ndarray:
+def shingle_set(text: str, known: WordHashes | None = None) -> np.ndarray:
     """Sorted hashes of the text's distinct five-word shingles; shorter texts are one shingle, empty ones none."""
     words = _WORD.findall(text.lower())
-    return np.unique(runs(_HASHES.of(words), min(WORDS, max(1, len(words)))))
+    return np.unique(runs((WordHashes() if known is None else known).of(words), min(WORDS, max(1, len(words)))))
 
 
 def tokens(shingles: np.ndarray) -> np.ndarray:
@@ -73,8 +71,9 @@ def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, print, size, tokens): a fingerprint of the shingle set, its size and MinHash tokens (4 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            sets = (shingle_set(t or "") for t in values(batch.column("text")))
+            sets = (shingle_set(t or "", known) for t in values(batch.column("text")))
             rows = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), tokens(s).tobytes()) for s in sets]
             prints, sizes, sketches = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -83,7 +82,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, print binary, size int, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, print binary, size int, tokens binary")
 
 
 def _token(position: Column) -> Column:
@@ -290,10 +289,11 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
     for batch in batches:
         for i in range(0, len(batch), 512):
             part = batch.slice(i, 512)
-            sets = [shingle_set(t or "").tobytes() for t in part.column("text").to_pylist()]
+            sets = [shingle_set(t or "", known).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
 
@@ -327,17 +327,17 @@ def jaccard_join(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     buckets = reduce(DataFrame.unionByName, found)
 
     lists = buckets.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.collect_set(F.struct("node", "n")).alias("met"))
-    sketch = classes.select("rep", "size", "tokens").mapInArrow(_low_bytes, f"rep {kind}, size int, bytes binary")
+    sketch = classes.select("rep", "size", "tokens").mapInArrow(lean(_low_bytes), f"rep {kind}, size int, bytes binary")
     placed = _in_blocks(lists.join(sketch, "rep").select("rep", "size", "bytes", "nodes", F.explode("met").alias("m")).select("rep", "size", "bytes", "nodes", "m.*"))
     cells = placed.repartition("cell").sortWithinPartitions("cell")
-    kept = stored(cells.select("cell", "side", "node", "rep", "size", "bytes", "nodes").mapInArrow(_promising, f"cell long, side int, node long, rep {kind}, nodes array<long>"))
+    kept = stored(cells.select("cell", "side", "node", "rep", "size", "bytes", "nodes").mapInArrow(lean(_promising), f"cell long, side int, node long, rep {kind}, nodes array<long>"))
 
     texts = docs.select("doc_id", "text").join(bounded_side(stored(kept.select(F.col("rep").alias("doc_id")).distinct()), SIDE_ROWS), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, f"rep {kind}, shingles binary").join(classes.select("rep", "print", "members"), "rep")
+    sets = texts.mapInArrow(lean(_sets), f"rep {kind}, shingles binary").join(classes.select("rep", "print", "members"), "rep")
     # a doc_id that repeats with other words is told by the print of its set
     sets = sets.dropDuplicates(["rep"])
     full = kept.join(sets.select("rep", "members", "shingles"), "rep").repartition("cell").sortWithinPartitions("cell")
-    settled = stored(full.select("cell", "side", "node", "rep", "members", "nodes", "shingles").mapInArrow(_settle(threshold), f"rep {kind}, links long, root {kind}"))
+    settled = stored(full.select("cell", "side", "node", "rep", "members", "nodes", "shingles").mapInArrow(lean(_settle(threshold)), f"rep {kind}, links long, root {kind}"))
 
     links = settled.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(settled.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loadweave.llm.common import values
+from loadweave.llm.common import lean, values
 from loadweave.llm.sampling import bounded_sample, held_out
 
 BITS = 18
@@ -29,7 +29,8 @@ UPDATES = 9_000
 #: Labelled rows that the model learns from at most
 MAX_ROWS = 12_000
 THRESHOLD = 0.3
-WORDS_KEPT = 400_000
+#: Words remembered by one task; beyond that the memory starts anew
+WORDS_KEPT = 200_000
 #: Words of a text that are turned into features at a time
 PORTION = 100_000
 
@@ -55,9 +56,6 @@ class _Words(dict):
         return code
 
 
-_WORDS = _Words()
-
-
 def _slots(a: np.ndarray, salt: int, b: np.ndarray | None = None) -> np.ndarray:
     h = a.astype(np.uint64) + np.uint64(salt) * np.uint64(0x1000193)
     with np.errstate(over="ignore"):
@@ -67,14 +65,18 @@ def _slots(a: np.ndarray, salt: int, b: np.ndarray | None = None) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The text's feature slots and their values, of unit length; none for a text without words."""
+def features(text: str, known: _Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The text's feature slots and their values, of unit length; none for a text without words.
+
+    `known` remembers words from text to text. It belongs to a task, so that idle workers hold no memory.
+    """
+    known = _Words() if known is None else known
     found: list[np.ndarray] = []
     words = _WORD.findall(text)
     for i in range(0, len(words), PORTION):
         # two words of overlap: one for the bigram across portions, one to tell whether its first word is a repeat
         over = min(i, 2)
-        codes = np.fromiter(map(_WORDS.__getitem__, words[i - over : i + PORTION]), np.uint64)
+        codes = np.fromiter(map(known.__getitem__, words[i - over : i + PORTION]), np.uint64)
         word, shape = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)
         same = np.zeros(len(codes), np.uint64)
         same[1:] = word[1:] == word[:-1]
@@ -120,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "doc_id"])
-        w, bias = train([(*features(t or ""), float(q)) for t, q in zip(part["text"], part["quality"])])
+        known = _Words()
+        w, bias = train([(*features(t or "", known), float(q)) for t, q in zip(part["text"], part["quality"])])
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": np.append(at, _SIZE), "weight": np.append(w[at], bias)})
 
@@ -140,14 +143,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     columns = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
-            found = []
-            for text in values(batch.column("text")):
-                slots, x = features(text or "")
-                found.append(1 / (1 + np.exp(-np.clip(float(w[slots] @ x) + bias, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*columns, "__score"])
-
-    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, __score double")
+            for i in range(0, len(batch), 1000):
+                part, found = batch.slice(i, 1000), []
+                for text in values(part.column("text")):
+                    slots, x = features(text or "", known)
+                    found.append(1 / (1 + np.exp(-np.clip(float(w[slots] @ x) + bias, -35, 35))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*columns, "__score"])
+
+    return docs.mapInArrow(lean(run), f"{docs._jdf.schema().toDDL()}, __score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -14,7 +14,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """What op1 returns, for any documents."""
-    coded = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
+    coded = bpe.encode_and_decode(docs, WORD_BPE)
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

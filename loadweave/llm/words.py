@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-#: Words remembered by one Python worker; beyond that the memory starts anew
-WORDS_KEPT = 400_000
+#: Words remembered by one task; beyond that the memory starts anew
+WORDS_KEPT = 200_000
 
 
 class WordHashes(dict):
