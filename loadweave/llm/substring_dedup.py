@@ -209,12 +209,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     digests = stored(rows.where("doc_id IS NOT NULL").select("doc_id", F.sha2(whole("text"), 256).alias("digest"), F.octet_length(whole("text")).alias("bytes")))
     shards = max(1, math.ceil((digests.agg(F.sum("bytes")).first()[0] or 0) / SHARD_BYTES))
     # partial sums first, so a text that a third of the rows share is one row per task
-    groups = digests.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1")
+    groups = stored(digests.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1"))
     copies = stored(digests.join(groups, "digest").where("doc_id <> original").select("doc_id").distinct().withColumn("copy", F.lit(True)))
     lone = rows.where("doc_id IS NOT NULL").join(bounded_side(copies, SIDE_ROWS), "doc_id", "left_anti").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
     named = stored(_named(lone))
-    often = named.groupBy("phrase").agg(F.sum("places").alias("places")).where("places > 1").select("phrase")
+    often = stored(named.groupBy("phrase").agg(F.sum("places").alias("places")).where("places > 1").select("phrase"))
     recurring = named.select("phrase", "shard").join(often, "phrase").distinct()
     found = lone.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInPandas(_located, f"doc_id {kind}, starts array<int>, stops array<int>, first array<long>, second array<long>")
     found = stored(found)
@@ -225,4 +225,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     spared = spared.select("doc_id", F.col("first").bitwiseXOR(F.col("second")).alias("key")).groupBy("doc_id").agg(F.collect_list("key").alias("spared"))
     places = found.select("doc_id", "starts", "stops").groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
     judged = places.join(spared, "doc_id", "left").unionByName(copies, allowMissingColumns=True)
-    return rows.join(judged, "doc_id", "left").select("doc_id", "text", "copy", "starts", "stops", "spared").mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    judged = stored(judged)
+    ids = stored(judged.select("doc_id").distinct())
+    if ids.count() <= SIDE_ROWS:
+        # only the texts that lose words are shuffled
+        held = rows.join(F.broadcast(ids), "doc_id", "left_semi").join(judged, "doc_id")
+        held = held.unionByName(rows.join(F.broadcast(ids), "doc_id", "left_anti"), allowMissingColumns=True)
+    else:
+        held = rows.join(judged, "doc_id", "left")
+    return held.select("doc_id", "text", "copy", "starts", "stops", "spared").mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept binary")
