@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadweave.llm.common import stored, whole
+from loadweave.llm.common import let, stored, whole
 
 #: Code points between two parts that belong together
 SCOPE = 200
@@ -27,30 +27,47 @@ HEX = r"[0-9a-f]{24,}"
 KEY = r"[A-Za-z0-9+/]{32,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+"
 
+#: Matches whose places are summed up together
+BLOCK = 128
+
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
+def _sums_before(sizes: Column) -> Column:
+    """For each element the sum of those before it, block by block, so that a text of very many matches takes no quadratic time."""
+
+    def blocks(x: Column) -> Column:
+        count = F.ceil(F.size(x) / F.lit(BLOCK)).cast("int")
+        return F.when(count < 1, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(1), count), lambda b: F.slice(x, (b - 1) * BLOCK + 1, F.lit(BLOCK))))
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda acc, v: acc + v)
+
+    def inside(block: Column) -> Column:
+        return F.transform(block, lambda v, i: total(F.slice(block, F.lit(1), i)))
+
+    def placed(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+        offsets = F.aggregate(parts, start, lambda acc, b: F.struct((acc["at"] + total(b)).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")))["found"]
+        return F.flatten(F.zip_with(parts, offsets, lambda b, o: F.transform(inside(b), lambda v: v + o)))
+
+    return let(sizes, lambda x: let(blocks(x), placed))
+
+
 def spans(text: Column, kind: str, pattern: str, least: tuple[int, int] = (0, 1)) -> Column:
     """The pattern's leftmost non-overlapping matches whose group `least[0]` has at least `least[1]` code points."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     asked = F.regexp_extract_all(text, F.lit(pattern), F.lit(least[0]))
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), asked, lambda s, a: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), F.length(a).alias("asked")))
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("found")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["size"]).alias("at"),
-            F.when(p["asked"] < least[1], acc["found"]).otherwise(
-                F.concat(
-                    F.coalesce(acc["found"], F.array().cast(_SPAN)),
-                    F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["size"]).alias("end"))),
-                )
-            ).alias("found"),
-        ),
-    )["found"]
+
+    def found(m: Column) -> Column:
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+        ends = F.zip_with(_sums_before(sizes), sizes, lambda before, own: before + own)
+        placed = F.zip_with(ends, F.arrays_zip(m.alias("m"), asked.alias("a")), lambda end, x: F.struct(F.lit(kind).alias("kind"), (end - F.length(x["m"])).alias("start"), end.alias("end"), F.length(x["a"]).alias("asked")))
+        return F.transform(F.filter(placed, lambda s: s["asked"] >= least[1]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
     none = F.array().cast(_SPAN)
-    return F.when(text.rlike(pattern), F.coalesce(placed, none)).otherwise(none)
+    return F.when(text.rlike(pattern), let(matches, found).cast(_SPAN)).otherwise(none)
 
 
 def _rank(kind: Column) -> Column:
