@@ -43,8 +43,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         _labels(F.col("places")).alias("base_labels"), _labels(F.col("places"), F.col("matches")).alias("labels"),
-        # whole wording counts in full, a phrase by itself half
-        F.when(F.size("matches") > 0, 1.0).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"),
+        # whole terms count in full, a notice less, a phrase by itself half
+        F.when(F.exists("matches", lambda m: m["whole"]), 1.0).when(F.size("matches") > 0, 0.75).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"),
     )
 
 

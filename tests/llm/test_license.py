@@ -78,3 +78,63 @@ def test_query(spark):
         assert r["base_labels"] == ",".join(sorted({label for label, _ in found}))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
         assert (r["first_word"], r["last_word"]) == ((min(i for _, i in found), max(i for _, i in found)) if found else (None, None))
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def spans(text):
+    return Scanner(license.PHRASES, license.TEMPLATES).scan(text)[2]
+
+
+def test_whole_terms():
+    n = len(MIT.replace("/", " ").split())
+    assert spans("The MIT License\n" + MIT) == [("mit", 3, 3 + n, True)]
+    assert spans(MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "Example Inc.").replace('"', "”"))[0][3]
+    # marks that stand alone count as words where words are numbered
+    assert spans("— " + MIT) == [("mit", 1, 1 + n, True)]
+
+
+@pytest.mark.parametrize("change", [("shall be included in all copies", "may be left out of all copies"), ("WITHOUT WARRANTY", "WITH WARRANTY"), ("IN NO EVENT SHALL", "ON ANY EVENT SHALL")])
+def test_changed_terms_do_not_match(change):
+    assert change[0] in MIT and spans(MIT.replace(*change)) == []
+
+
+@pytest.mark.parametrize("name,label", [("apache-2.0", "apache-2.0"), ("gpl-2", "gpl"), ("gpl-3", "gpl")])
+def test_published_terms(name, label):
+    words = license._terms(name).split()
+    assert (label, 0, len(words), True) in spans(" ".join(words))
+    assert not any(s[3] for s in spans(" ".join(words[:-5])))
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("licensed under a Creative Commons Attribution-NonCommercial 4.0 License", {"cc-by-nc"}),
+        ("licensed under a Creative Commons Attribution 4.0 International License", {"cc-by"}),
+        ("licensed under a Creative Commons Attribution 4.0 International (CC BY 4.0) License", {"cc-by"}),
+        ("licensed under a Creative Commons Attribution-Share Alike 3.0 Unported License", {"cc-by-sa"}),
+        ("licensed under CC BY-NC-ND 4.0", {"cc-by-nc-nd"}),
+        ("licensed under CC BY ND", {"cc-by-nd"}),
+        ("licensed under CC BY. No rights are lost", {"cc-by"}),
+        ("licensed under a creative commons attribution but not free license", set()),
+    ],
+)
+def test_creative_commons(text, labels):
+    assert {s[0] for s in spans(text)} == labels
+
+
+def test_notices_score_below_terms(spark, tmp_path):
+    rows = [(1, MIT), (2, "Released under the MIT license"), (3, "all rights reserved"), (4, "none"), (5, MIT.split(", including")[0])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert by_id(queries.op4_license_scan(spark, str(tmp_path)), "score") == {1: [(1.0,)], 2: [(0.75,)], 3: [(0.5,)], 4: [(0.0,)], 5: [(0.0,)]}
