@@ -20,11 +20,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from loadweave.llm.common import stored, values
-from loadweave.llm.sampling import bounded_sample, held_out
+from loadweave.llm.common import bounded_side, stored, values
+from loadweave.llm.sampling import held_out, sample_of_each
 
-#: Documents that the model learns from at most
+#: Documents of each language that the model learns from at most
 MAX_ROWS = 6_000
+#: Rows up to which the sample is broadcast: a document id and a language each
+SIDE_ROWS = 1_000_000
 ROUNDS = 2
 UNKNOWN = "und"
 #: Longer runs of letters are scored in stretches of this length
@@ -38,6 +40,8 @@ STRAY = 1e-7
 SMOOTHING = 0.05
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: The same letters for Spark
+_ANY_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 _START = "▁"
 
 
@@ -124,13 +128,14 @@ def pieces(path: str) -> Pieces:
 
 
 def fit(docs: DataFrame, path: str, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log-free piece probabilities with the stray row last), learned from at most `max_rows` documents.
+    """(languages, log-free piece probabilities with the stray row last), learned from at most `max_rows` documents of each language.
 
-    The documents are outside fold 0 and have a text and a language. What comes to the driver is the model:
+    The documents are outside fold 0 and have a language and a text with a letter; every language with such a document
+    is in the model, with all documents of a rarer one. What comes to the driver is the model:
     a number for each piece and language.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    sample = F.broadcast(bounded_sample(usable.distinct(), max_rows))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(_ANY_LETTER) & ~held_out()).select("doc_id", "lang")
+    sample = bounded_side(sample_of_each(usable.distinct(), "lang", max_rows), SIDE_ROWS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadweave.llm.common import stored
-from loadweave.operators.sampling import sample_at_most
+from loadweave.operators.sampling import hash_fraction, sample_at_most
 
 FOLDS = 5
 
@@ -21,3 +23,16 @@ def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
     The rows are stored and counted, so that only about as many as are wanted are ever sorted.
     """
     return stored(sample_at_most(stored(rows), max_rows, ["doc_id"]))
+
+
+def sample_of_each(rows: DataFrame, group: str, max_rows: int) -> DataFrame:
+    """At most `max_rows` of each group's rows (doc_id, ...), the first in the order of a hash of the id; no group is without a row.
+
+    The rows of a group are counted, so that only about as many as are wanted of each are ever sorted.
+    """
+    hashed = stored(rows.withColumn("u", hash_fraction(["doc_id"])))
+    slack = max_rows + 6.0 * math.sqrt(max_rows) + 10
+    groups = stored(hashed.groupBy(group).agg((F.lit(slack) / F.count("*")).alias("share"), F.min("u").alias("least")))
+    thin = hashed.join(F.broadcast(groups), group).where(F.col("u") <= F.greatest("share", "least"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("u", "doc_id"))
+    return stored(thin.withColumn("place", place).where(F.col("place") <= max_rows).select(*rows.columns))

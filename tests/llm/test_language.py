@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from loadweave.llm import language, queries
+from loadweave.llm import language, queries, sampling
 from tests.llm.frames import by_id, frame, odd_rows
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -87,3 +87,20 @@ def test_nothing_to_learn_from(spark):
     out = by_id(language.language(frame(spark, [(1, "some text", None)]), PATH), "lang_pred", "score")
     assert out == {1: [("und", 0.0)]}
     assert language.language(frame(spark, []), PATH).count() == 0
+
+
+def test_rare_language_beside_a_large_one(spark):
+    """The sample is bounded for each language, so a language with a few documents is learned however many others there are."""
+    rows = [(i, "the river and the stone under the bridge", "en") for i in range(2_000)] + [(5_000 + i, "der fluss und die brücke", "de") for i in range(4)]
+    assert any(zlib.crc32(str(i).encode()) % 5 for i in range(5_000, 5_004))
+    rows += [(6_000 + i, "12 34", "fr") for i in range(100)] + [(7_000 + i, "les pierres de la rivière", "fr") for i in range(4)]
+    docs = frame(spark, rows)
+    assert language.fit(docs, PATH, 10)[0] == ["de", "en", "fr"]
+    out = by_id(language.language(docs, PATH, 10), "lang_pred")
+    assert all(out[i] == [("de",)] for i in range(5_000, 5_004)) and all(out[i] == [("fr",)] for i in range(7_000, 7_004)) and out[0] == [("en",)]
+
+
+def test_sample_of_each_is_bounded(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 100 else "b") for i in range(5_000)], "doc_id long, lang string")
+    for n, expected in [(1, {"a": 1, "b": 1}), (60, {"a": 60, "b": 50})]:
+        assert {r["lang"]: r["count"] for r in sampling.sample_of_each(rows, "lang", n).groupBy("lang").count().collect()} == expected
