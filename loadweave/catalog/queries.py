@@ -18,8 +18,6 @@ CC = ["community_code"]
 D = 2  # decimals of the readings: sums run on whole hundredths
 E = 6  # decimals kept in error sums
 START, END = i.HOLDOUT_START, i.HOLDOUT_END
-# three models of the ensemble at a tenth of the scored rounds: README has the time that the full ones would take
-ENSEMBLE = boosting.BoostingSettings(rounds=100)
 
 
 def _total(s: SparkSession, d: str, out: str = "total_kw") -> DataFrame:
@@ -593,7 +591,7 @@ def gbt_forecast(s, d):
 
 
 def ensemble_forecast(s, d):
-    return fc.forecast(i.meter(s, d), START, END, "gbt", **_exogenous(s, d), settings=ENSEMBLE, seeds=[42, 43, 44], decimals=D)
+    return fc.forecast(i.meter(s, d), START, END, "gbt", **_exogenous(s, d), settings=boosting.SCORED, seeds=[42, 43, 44], decimals=D)
 
 
 def gbt_importance(s, d):

@@ -10,8 +10,10 @@ import re
 import duckdb
 import pytest
 
+from loadweave.catalog import queries
 from loadweave.catalog.oracle import ORACLE
 from loadweave.catalog.queries import QUERIES
+from loadweave.plans import boosting
 from tests.conftest import SF
 
 ROWS_ONLY = {"gbt_forecast", "ensemble_forecast", "gbt_importance", "ols_selection", "next_day_ols", "next_day_ols_scores", "next_day_boosting", "lag_boosting"}
@@ -87,3 +89,12 @@ def test_period_and_columns_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts,", pushed)
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in pushed
     assert "Subquery" in plan
+
+
+def test_ensemble_runs_full_models(monkeypatch):
+    called = {}
+    monkeypatch.setattr(queries, "_exogenous", lambda s, d: {})
+    monkeypatch.setattr(queries.i, "meter", lambda s, d: None)
+    monkeypatch.setattr(queries.fc, "forecast", lambda *a, **named: called.update(named))
+    QUERIES["ensemble_forecast"](None, SF)
+    assert called["settings"] == boosting.SCORED and called["settings"].rounds == 1000 and called["seeds"] == [42, 43, 44]
