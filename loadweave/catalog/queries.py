@@ -599,9 +599,13 @@ def gbt_importance(s, d):
     return boosting.importance(boosting.fit_boosting(train), train)
 
 
-def _candidates(s, d):
+def _candidates(s, d, carried=False):
+    """The candidates; `carried` makes 15-minute feeds of the hourly ones."""
     names = dict(zip(("demand_fc", "pv_fc", "wind_fc"), ft.FEEDS, strict=True))
     feeds = {names[k]: v for k, v in i.feeds(s, d).items() if k != "demand_fc"}
+    if carried:
+        slots = materialize(fd.feeds_slots(feeds))
+        feeds = {n: slots.select(F.col("datetime_15min").alias("datetime_local"), F.col(n).alias("value")).dropna() for n in feeds}
     stations = wx.clean_stations(i.stations(s, d))
     return ft.candidate_matrix(_total(s, d, ft.TARGET), i.weather(s, d), stations, region.degree_hours(i.weather(s, d)), feeds, decimals=D)
 
@@ -612,8 +616,8 @@ def candidate_matrix(s, d):
 
 
 def ols_selection(s, d):
-    # the feeds are joined on their hourly stamps, so the complete rows are those of full hours
-    rows = _candidates(s, d)
+    # 15-minute feeds, so that all slots take part
+    rows = _candidates(s, d, carried=True)
     wanted = [c for c in rows.columns if c not in ("datetime_15min", ft.TARGET)]
     return linear.ols_selection(rows, wanted, ft.TARGET)
 

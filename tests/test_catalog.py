@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loadweave.catalog import queries
 from loadweave.catalog.oracle import ORACLE
@@ -98,3 +99,12 @@ def test_ensemble_runs_full_models(monkeypatch):
     monkeypatch.setattr(queries.fc, "forecast", lambda *a, **named: called.update(named))
     QUERIES["ensemble_forecast"](None, SF)
     assert called["settings"] == boosting.SCORED and called["settings"].rounds == 1000 and called["seeds"] == [42, 43, 44]
+
+
+def test_ols_takes_all_slots(spark):
+    rows = queries._candidates(spark, SF, carried=True).dropna()
+    by_minute = {r["m"]: r["count"] for r in rows.groupBy(F.minute("datetime_15min").alias("m")).count().collect()}
+    full_hours = queries._candidates(spark, SF).dropna().count()
+    assert set(by_minute) == {0, 15, 30, 45} and by_minute[0] >= full_hours
+    fitted = [r["n"] for r in QUERIES["ols_selection"](spark, SF).collect() if r["n"] is not None]
+    assert set(fitted) == {sum(by_minute.values())} and fitted[0] > 3 * full_hours
