@@ -25,6 +25,11 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def version() -> Column:
+    """Tells rows apart that share a doc_id: a hash of the text."""
+    return F.xxhash64(whole())
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else unchanged. Pure ASCII takes the fast built-in."""
     ascii_only = F.octet_length(text) == F.length(text)

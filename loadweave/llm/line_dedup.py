@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadweave.llm.common import BLANKS, lower_ascii, stored, whole
+from loadweave.llm.common import BLANKS, lower_ascii, stored, version, whole
 
 FANOUT = 3
 
@@ -69,10 +69,10 @@ def lines_of(text: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, at, key): every line whose normalised form has `min_chars` code points, by position."""
+    """(doc_id, version, at, key): every line whose normalised form has `min_chars` code points, by position in its row."""
     lines = lines_of(lower_ascii(whole(docs["text"])))
-    line = docs.select("doc_id", F.posexplode(lines).alias("at", "line")).select("doc_id", "at", F.btrim("line", F.lit(BLANKS)).alias("line"))
-    return line.where(F.length("line") >= min_chars).select("doc_id", "at", _line_hash(F.col("line")).alias("key"))
+    line = docs.select("doc_id", version().alias("version"), F.posexplode(lines).alias("at", "line")).select("doc_id", "version", "at", F.btrim("line", F.lit(BLANKS)).alias("line"))
+    return line.where(F.length("line") >= min_chars).select("doc_id", "version", "at", _line_hash(F.col("line")).alias("key"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
@@ -99,9 +99,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     for number in range(batches):
         runs.add(per_key.where(F.col("batch") == number).drop("batch"))
     often = LineRuns.merged(runs.all()).where(F.col("n_docs") >= min_docs).select("key", "owner")
-    lost = lines.join(often, "key").where(F.col("doc_id") != F.col("owner")).select("doc_id", "at").distinct()
-    lost = lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("lost"))
-    held = rows.join(lost, "doc_id", "left").withColumns({"lines": lines_of(whole("text")), "lost": F.coalesce("lost", F.array().cast("array<int>"))})
+    lost = lines.join(often, "key").where(F.col("doc_id") != F.col("owner")).select("doc_id", "version", "at").distinct()
+    lost = lost.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("at")).alias("lost"))
+    held = rows.withColumn("version", version()).join(lost, ["doc_id", "version"], "left").withColumns({"lines": lines_of(whole("text")), "lost": F.coalesce("lost", F.array().cast("array<int>"))})
     # the stretches between lost lines, so the work is linear in the number of lines
     starts = F.concat(F.array(F.lit(1)), F.transform("lost", lambda p: p + 2))
     ends = F.concat(F.transform("lost", lambda p: p + 1), F.array(F.size("lines") + 1))

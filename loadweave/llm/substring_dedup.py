@@ -22,14 +22,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loadweave.llm.common import bounded_side, stored, whole
+from loadweave.llm.common import bounded_side, stored, version, whole
 from loadweave.llm.words import mixed, runs, word_hashes
 
 WINDOW = 20
 PHRASE = 6
 #: Text of a shard
 SHARD_BYTES = 4 << 20
-#: Rows up to which the ids of copies are broadcast: 8 bytes each
+#: Rows up to which the ids of copies are broadcast: 16 bytes each
 SIDE_ROWS = 1_000_000
 
 _STEPS = WINDOW - PHRASE + 1
@@ -141,21 +141,22 @@ def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _located(docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
-    """One row per document with candidate windows: their stretches, and the hashes of those that come first in the shard."""
-    columns = ["doc_id", "starts", "stops", "first", "second"]
+    """One row per row with candidate windows: their stretches, and the hashes of those that come first in the shard."""
+    columns = ["doc_id", "version", "starts", "stops", "first", "second"]
     if docs.empty or recurring.empty:
         return pd.DataFrame(columns=columns)
     docs = docs.sort_values("doc_id", kind="stable")
     shard = Shard(word_hashes([_utf8(t) for t in docs["text"]]), np.unique(recurring["phrase"].to_numpy(np.int64).view(np.uint64)))
-    found = [(doc_id, at, *_window_hashes(shard.texts[i][0], at)) for i, doc_id in enumerate(docs["doc_id"]) if len(at := shard.windows(i))]
+    ids = enumerate(zip(docs["doc_id"], docs["version"]))
+    found = [(row, at, *_window_hashes(shard.texts[i][0], at)) for i, row in ids if len(at := shard.windows(i))]
     if not found:
         return pd.DataFrame(columns=columns)
     keys = _key(np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]))
     lead = np.zeros(len(keys), bool)
     lead[np.unique(keys, return_index=True)[1]] = True
     rows = []
-    for (doc_id, at, first, second), here in zip(found, np.split(lead, np.cumsum([len(f[1]) for f in found])[:-1])):
-        rows.append((doc_id, *_stretches(at), first[here], second[here]))
+    for (row, at, first, second), here in zip(found, np.split(lead, np.cumsum([len(f[1]) for f in found])[:-1])):
+        rows.append((*row, *_stretches(at), first[here], second[here]))
     return pd.DataFrame(rows, columns=columns)
 
 
@@ -201,36 +202,36 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     hashes are.
 
     Defined cases: null and empty texts have no words; texts shorter than a window keep all words; rows that repeat
-    a doc_id count as one document, each row being judged by the places of all; a row without a doc_id keeps its words
+    a doc_id count as one document, whose windows are spared at their first place in each of its rows; a row without a doc_id keeps its words
     and makes no other lose any; other columns are ignored; no rows give no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
-    digests = stored(rows.where("doc_id IS NOT NULL").select("doc_id", F.sha2(whole("text"), 256).alias("digest"), F.octet_length(whole("text")).alias("bytes")))
+    rows = docs.select("doc_id", "text").withColumn("version", version())
+    digests = stored(rows.where("doc_id IS NOT NULL").select("doc_id", "version", F.sha2(whole("text"), 256).alias("digest"), F.octet_length(whole("text")).alias("bytes")))
     shards = max(1, math.ceil((digests.agg(F.sum("bytes")).first()[0] or 0) / SHARD_BYTES))
     # partial sums first, so a text that a third of the rows share is one row per task
     groups = stored(digests.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1"))
-    copies = stored(digests.join(groups, "digest").where("doc_id <> original").select("doc_id").distinct().withColumn("copy", F.lit(True)))
-    lone = rows.where("doc_id IS NOT NULL").join(bounded_side(copies, SIDE_ROWS), "doc_id", "left_anti").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    copies = stored(digests.join(groups, "digest").where("doc_id <> original").select("doc_id", "version").distinct().withColumn("copy", F.lit(True)))
+    lone = rows.where("doc_id IS NOT NULL").join(bounded_side(copies, SIDE_ROWS), ["doc_id", "version"], "left_anti").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
     named = stored(_named(lone))
     often = stored(named.groupBy("phrase").agg(F.sum("places").alias("places")).where("places > 1").select("phrase"))
     recurring = named.select("phrase", "shard").join(often, "phrase").distinct()
-    found = lone.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInPandas(_located, f"doc_id {kind}, starts array<int>, stops array<int>, first array<long>, second array<long>")
+    found = lone.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInPandas(_located, f"doc_id {kind}, version long, starts array<int>, stops array<int>, first array<long>, second array<long>")
     found = stored(found)
 
     windows = found.select("doc_id", F.explode(F.arrays_zip("first", "second")).alias("w")).select("doc_id", "w.*")
     spared = windows.groupBy("first", "second").agg(F.min("doc_id").alias("doc_id"))
     # as `_key`
     spared = spared.select("doc_id", F.col("first").bitwiseXOR(F.col("second")).alias("key")).groupBy("doc_id").agg(F.collect_list("key").alias("spared"))
-    places = found.select("doc_id", "starts", "stops").groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
+    places = found.select("doc_id", "version", "starts", "stops").groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
     judged = places.join(spared, "doc_id", "left").unionByName(copies, allowMissingColumns=True)
     judged = stored(judged)
-    ids = stored(judged.select("doc_id").distinct())
+    ids = stored(judged.select("doc_id", "version").distinct())
     if ids.count() <= SIDE_ROWS:
         # only the texts that lose words are shuffled
-        held = rows.join(F.broadcast(ids), "doc_id", "left_semi").join(judged, "doc_id")
-        held = held.unionByName(rows.join(F.broadcast(ids), "doc_id", "left_anti"), allowMissingColumns=True)
+        held = rows.join(F.broadcast(ids), ["doc_id", "version"], "left_semi").join(judged, ["doc_id", "version"])
+        held = held.unionByName(rows.join(F.broadcast(ids), ["doc_id", "version"], "left_anti"), allowMissingColumns=True)
     else:
-        held = rows.join(judged, "doc_id", "left")
+        held = rows.join(judged, ["doc_id", "version"], "left")
     return held.select("doc_id", "text", "copy", "starts", "stops", "spared").mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept binary")

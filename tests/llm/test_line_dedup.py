@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from loadweave.llm import line_dedup
 from loadweave.llm.line_dedup import LineRuns
-from tests.llm.frames import frame, odd_rows, prose
+from tests.llm.frames import by_id, frame, odd_rows, prose
 
 
 def key(line):
@@ -69,3 +69,12 @@ def test_runs_are_levelled_and_tell_new_keys(spark):
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     total = {bytes(r["key"]): (r["n_docs"], r["owner"]) for r in LineRuns.merged(runs.all()).collect()}
     assert total[bytes([3])] == (4, 100) and total[bytes([7])] == (1, 96)
+
+
+def test_repeated_id_with_another_shorter_text(spark):
+    line = "a line that three documents have"
+    own = [f"a line of its own, number {i:02d}" for i in range(6)]
+    rows = [(1, "\n".join([*own[:5], line])), (1, own[5]), (2, line), (3, line)]
+    out = by_id(line_dedup.line_dedup(frame(spark, rows)), "n_lines", "n_dropped", "kept_text")
+    assert sorted(out[1]) == [(1, 0, own[5]), (6, 1, "\n".join(own[:5]))]
+    assert out[2] == [(1, 1, "")] and out[3] == [(1, 0, line)]

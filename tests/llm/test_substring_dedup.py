@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from loadweave.llm import substring_dedup
-from tests.llm.frames import frame, odd_rows, prose
+from tests.llm.frames import by_id, frame, odd_rows, prose
 
 WINDOW = 20
 
@@ -67,3 +67,12 @@ def test_only_ascii_blanks_part_words(spark):
 
 def test_no_rows(spark):
     assert got(frame(spark, [])) == []
+
+
+def test_repeated_id_with_another_shorter_text(spark):
+    passage, tail, short = prose(201, 30), prose(202, 40), prose(203, 25)
+    rows = [(1, passage), (2, f"{tail} {passage}"), (2, short), (3, short), (4, passage), (4, tail)]
+    out = by_id(substring_dedup.substring_dedup(frame(spark, rows)), "n_words", "n_removed", "kept")
+    assert sorted(out[2]) == [(25, 0, short.encode()), (70, 30, tail.encode())]
+    assert out[1] == [(30, 0, passage.encode())] and out[3] == [(25, 25, b"")]
+    assert sorted(out[4]) == [(30, 30, b""), (40, 40, b"")]
