@@ -8,7 +8,7 @@ from loadweave.llm import decontaminate, exact_dedup, jaccard, quality
 from loadweave.llm.common import bounded_side, stored, table
 from loadweave.llm.queries import token_digests
 
-#: Ids of dropped documents up to which they are broadcast: 8 bytes each
+#: Ids of dropped documents up to which they are broadcast: up to 16 bytes each
 SIDE_ROWS = 1_000_000
 
 
@@ -26,7 +26,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
+    # an id with several texts loses only those that are dropped
+    gone = exact_dedup.exact_dedup(docs).where("NOT kept AND doc_id IS NOT NULL")
+    gone = stored(gone.select("doc_id", F.xxhash64("text_sha256").alias("__text")).distinct())
+    told = docs.withColumn("__text", F.xxhash64(exact_dedup.digest(docs)))
+    return told.join(bounded_side(gone, SIDE_ROWS), ["doc_id", "__text"], "left_anti").select(docs.columns)
 
 
 def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

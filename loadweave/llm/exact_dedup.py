@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loadweave.llm.common import bounded_side, lower_ascii, stored, whole
 
@@ -107,9 +107,14 @@ class BinaryFuse:
         return (a ^ b ^ c) == prints
 
 
+def digest(docs: DataFrame) -> Column:
+    """The digest of each row's text; null texts count as empty."""
+    return F.sha2(lower_ascii(whole(docs["text"])), 256)
+
+
 def with_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256) of every row; null texts count as empty."""
-    return docs.select("doc_id", F.sha2(lower_ascii(whole(docs["text"])), 256).alias("text_sha256"))
+    """(doc_id, text_sha256) of every row."""
+    return docs.select("doc_id", digest(docs).alias("text_sha256"))
 
 
 def _key(digest: str = "text_sha256"):
@@ -153,7 +158,7 @@ class Snapshots:
 
     A bucket row is (snapshot, text_sha256, n, last_id, class_key): how many rows of that
     snapshot have the text, the largest doc_id among them, and the last_id of the snapshot
-    that had the text first, which names the text over all snapshots.
+    that had the text first, which together with the digest names the text over all snapshots.
     """
 
     def __init__(self, docs: DataFrame):
@@ -204,15 +209,17 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 
     Defined cases: rows without a doc_id count in group_size and are never kept, unless all rows
     of the text lack one, when keep_id is null; repeated rows (same doc_id and text) all count and
-    share one decision; extra columns are ignored; an empty table gives an empty result.
+    share one decision; a doc_id with several texts is judged with each of them by itself; extra columns are ignored; an empty table gives an empty result.
     """
     digests = stored(with_digest(docs).withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(batches)).cast("int")))
     store, buckets = Snapshots(docs), None
     for number in range(batches):
         rows = store.add(digests.where(F.col("batch") == number))
         buckets = rows if buckets is None else buckets.unionByName(rows)
-    classes = buckets.groupBy("class_key").agg(F.sum("n").alias("group_size"), F.max("last_id").alias("keep_id"))
-    decided = buckets.join(classes, "class_key").select("text_sha256", F.col("snapshot").alias("batch"), "keep_id", "group_size")
+    # a class has one digest; with it, two texts that share their largest doc_id are two classes
+    one = ["text_sha256", "class_key"]
+    classes = buckets.groupBy(*one).agg(F.sum("n").alias("group_size"), F.max("last_id").alias("keep_id"))
+    decided = buckets.join(classes, one).select("text_sha256", F.col("snapshot").alias("batch"), "keep_id", "group_size")
     return digests.join(decided, ["text_sha256", "batch"]).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 
 from loadweave.llm import exact_dedup
@@ -73,3 +74,18 @@ def test_filters_hold_all_members_and_few_others():
         assert len(made.cells) <= max(256, 1.6 * n)
         others = rng.integers(1 << 60, 1 << 61, 50_000, dtype=np.uint64)
         assert made.passes(others).mean() < 0.001
+
+
+def test_an_id_that_is_the_largest_of_two_texts(spark):
+    rows = [(1, "one"), (50, "one"), (2, "two"), (50, "two"), *[(60 + i, "one") for i in range(6)]]
+    out = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("one", "two")}
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out if r["text_sha256"] == digest["two"]) == [(2, 50, 2, False), (50, 50, 2, True)]
+    assert {(r["keep_id"], r["group_size"]) for r in out if r["text_sha256"] == digest["one"]} == {(65, 8)}
+    left = corpus_pipeline.distinct_texts(spark, frame(spark, rows), "")
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(50, "two"), (65, "one")]
+
+
+def test_two_texts_of_one_id_are_two_classes(spark):
+    out = exact_dedup.exact_dedup(frame(spark, [(50, "one"), (50, "two")])).collect()
+    assert [(r["keep_id"], r["group_size"], r["kept"]) for r in out] == [(50, 1, True)] * 2
