@@ -84,3 +84,14 @@ def values(column: pa.Array, step: int = 256) -> Iterator:
     """The column's Python values, a few at a time."""
     for i in range(0, len(column), step):
         yield from column.slice(i, step).to_pylist()
+
+
+def side_of(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Mark a stored, narrow frame for broadcasting if its values are within the bound, measured by one pass over them.
+
+    Beyond the bound the frame comes back unmarked and the join shuffles.
+    """
+    sizes = [F.octet_length(f.name) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema]
+    size = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(16))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df

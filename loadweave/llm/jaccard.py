@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadweave.llm.cells import all_pairs, by_cell, cells_of, intersections, joined
 from loadweave.llm.common import bounded_side, lean, stored, values
 from loadweave.llm.components import components
 from loadweave.llm.words import WordHashes, mixed, runs
@@ -144,42 +145,6 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("c", F.explode(cells)).select("*", "c.cell", "c.side").drop("c", "n")
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole cells of a sorted partition, several at a time."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        cells = batch.column("cell").to_numpy()
-        # the last cell of the batch may go on in the next one
-        cut = int(np.flatnonzero(cells != cells[-1]).max(initial=-1)) + 1
-        if held and cut == 0 and held[-1].column("cell")[-1].as_py() == cells[0]:
-            held.append(pa.Table.from_batches([batch]))
-            continue
-        if held and held[-1].column("cell")[-1].as_py() != cells[0]:
-            yield pa.concat_tables(held)
-            held = []
-        if cut:
-            yield pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, cut)])])
-            held = []
-        held.append(pa.Table.from_batches([batch.slice(cut)]))
-    if held:
-        yield pa.concat_tables(held)
-
-
-def _cells(table: pa.Table) -> list[tuple[int, int]]:
-    cells = table.column("cell").to_numpy()
-    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]))
-
-
-def _all_pairs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a cell; of a two-sided cell only those across."""
-    i, j = np.triu_indices(len(side), 1)
-    keep = (side[i] < 0) | (side[i] != side[j])
-    return i[keep], j[keep]
-
-
 def _first_here(node: int, lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether this node is the first of the buckets that the two classes share."""
     width = max(map(len, lists))
@@ -198,13 +163,13 @@ def _first_here(node: int, lists: list[np.ndarray], i: np.ndarray, j: np.ndarray
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of each cell that may reach the threshold with another member they first meet there."""
-    for table in _by_cell(batches):
+    for table in by_cell(batches):
         sketch = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, TOKENS)
         sizes, sides, nodes = (table.column(c).to_numpy() for c in ("size", "side", "node"))
         near = table.column("nodes")
         keep = np.zeros(len(table), bool)
-        for start, stop in _cells(table):
-            i, j = _all_pairs(sides[start:stop])
+        for start, stop in cells_of(table):
+            i, j = all_pairs(sides[start:stop])
             own_size = sizes[start:stop]
             could = np.minimum(own_size[i], own_size[j]) >= SIMILAR * np.maximum(own_size[i], own_size[j]) - 1e-9
             i, j = i[could], j[could]
@@ -218,57 +183,26 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.filter(pa.array(keep)).select(["cell", "side", "node", "rep", "nodes"]).combine_chunks().to_batches()
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections, from a product of the incidence matrix in strips."""
-    if len(sets) == 2:
-        n = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
-    every, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
-    # what only one set has is in no intersection
-    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[at]
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    strip = 4096
-    for lo in range(0, int(column.max(initial=-1)) + 1, strip):
-        a, b = np.searchsorted(column, [lo, lo + strip])
-        x = np.zeros((len(sets), strip), np.float32)
-        x[row[a:b], column[a:b] - lo] = 1
-        out += x @ x.T
-    return out
-
-
 def _settle(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(rep, links, root): links of each member that are counted in its cell, and the smallest member it is joined with."""
-        for table in _by_cell(batches):
+        for table in by_cell(batches):
             reps, weights, sides, nodes = (table.column(c).to_numpy() for c in ("rep", "members", "side", "node"))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for start, stop in _cells(table):
+            for start, stop in cells_of(table):
                 if stop - start < 2:
                     continue
                 sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles").slice(start, stop - start)]
                 rep, weight, side = reps[start:stop], weights[start:stop], sides[start:stop]
-                both = _shared(sets)
+                both = intersections(sets)
                 size = np.array(list(map(len, sets)))
-                i, j = _all_pairs(side)
+                i, j = all_pairs(side)
                 joint = both[i, j]
                 similar = joint >= threshold * (size[i] + size[j] - joint) - 1e-6
                 i, j = i[similar], j[similar]
                 if not len(i):
                     continue
-                root = np.arange(stop - start)
-                while True:
-                    low = np.minimum(root[i], root[j])
-                    new = root.copy()
-                    np.minimum.at(new, i, low)
-                    np.minimum.at(new, j, low)
-                    new = new[new]
-                    if (new == root).all():
-                        break
-                    root = new
+                root = joined(stop - start, i, j)
                 lists = [np.array(x) for x in table.column("nodes").slice(start, stop - start).to_pylist()]
                 here = _first_here(int(nodes[start]), lists, i, j)
                 links = np.bincount(i[here], weight[j[here]], stop - start) + np.bincount(j[here], weight[i[here]], stop - start)

@@ -86,4 +86,45 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM (SELECT doc_id, {_LOWER} AS body FROM documents)
 WINDOW same AS (PARTITION BY body)""",
+    "op11_near_dedup": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b USING (s) JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT x AS doc_id, x AS y FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (SELECT doc_id, min(y) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)""",
+    "op13_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+    'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS f
+  FROM texts LEFT JOIN marks USING (doc_id)
+), sets AS (
+  SELECT part, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END, CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS fails,
+    count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM failed GROUP BY 1, 2
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT part, filter_order, step, n, good, toxic, fails, substr(filter_order, step::INT, 1) AS own,
+    contains(fails, substr(filter_order, step::INT, 1)) AS bad, translate(fails, substr(filter_order, 1, (step - 1)::INT), '') <> fails AS gone
+  FROM sets, orders, (SELECT unnest(range(1, 6)) AS step)
+), per AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT bad AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE bad AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM per""",
 }
