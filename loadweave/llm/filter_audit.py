@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadweave.llm.common import lean, stored
-from loadweave.llm.shards import answered, cut, dictionary, join_counted, key_rows, numbered, row_sums, sparse_rows
+from loadweave.llm.common import lean, stored, whole
+from loadweave.llm.shards import answered, coded_words, cut, dictionary, hashes_of, join_counted, numbered, row_sums, sparse_rows
 
 FILTERS = "ABCDE"
 #: A: fewer words than this fail
@@ -35,27 +35,30 @@ SYMBOLS = "#$%&*|"
 _CAPITALS, _SYMBOLS = ascii_uppercase.encode(), SYMBOLS.encode()
 
 
-def _counted(texts: list[str | None]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """The words of some texts in the order of their local codes, and each text's (codes, counts)."""
+def _counted(texts: list[bytes]) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct words of some texts in the order of their hashes, and each text's (places among these, counts)."""
     codes: dict[bytes, int] = {}
     rows = []
     for text in texts:
-        words = Counter((text or "").encode().split())
+        words = Counter(text.split())
         own = [codes.setdefault(w, len(codes)) for w in words]
-        rows.append((np.array(own, np.int64), np.fromiter(words.values(), np.int64, len(words))))
-    return [w.decode() for w in codes], rows
+        rows.append((np.array(own, np.int32), np.fromiter(words.values(), np.int32, len(words))))
+    met = list(codes)
+    order = np.argsort(hashes_of(met), kind="stable")
+    place = np.empty(len(met), np.int32)
+    place[order] = np.arange(len(met))
+    return [met[i] for i in order], [(place[c], n) for c, n in rows]
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = numbered(TaskContext.get().partitionId())
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for part in cut(texts):
-            some = [t or "" for t in texts[part]]
-            words, rows = _counted(some)
-            indptr, indices, data = sparse_rows(rows)
-            raw = [t.encode() for t in some]
+        for part in cut(batch.column("size").to_numpy()):
             here = batch.slice(part.start, part.stop - part.start)
+            some = [t or "" for t in here.column("text").to_pylist()]
+            raw = [t.encode() for t in some]
+            words, rows = _counted(raw)
+            indptr, indices, data = sparse_rows(rows)
             out = {
                 "shard": pa.array([next(numbers)], pa.int64()),
                 "doc_ids": _one_list(here.column("doc_id")),
@@ -66,7 +69,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "indptr": pa.array([indptr.tobytes()], pa.binary()),
                 "indices": pa.array([indices.astype(np.int32).tobytes()], pa.binary()),
                 "counts": pa.array([data.astype(np.int32).tobytes()], pa.binary()),
-                "keys": pa.array([words], pa.list_(pa.string())),
+                "n_keys": pa.array([len(words)], pa.int64()),
+                "words": pa.array([b" ".join(words)], pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(out)
 
@@ -84,15 +88,16 @@ def document_term_matrix(docs: DataFrame, part: str = "lang") -> tuple[DataFrame
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     flags = f"doc_ids array<{kind}>, parts array<string>, capitals array<boolean>, symbols array<boolean>, digests array<binary>"
-    rows = docs.select("doc_id", F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), "text")
-    shards = stored(rows.mapInArrow(lean(_shards), f"shard long, {flags}, indptr binary, indices binary, counts binary, keys array<string>"))
-    words = stored(dictionary(key_rows(shards)))
+    rows = docs.select("doc_id", F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.octet_length(whole()).alias("size"), "text")
+    csr = f"shard long, {flags}, indptr binary, indices binary, counts binary"
+    shards = stored(rows.mapInArrow(lean(_shards), f"{csr}, n_keys long, words binary"))
+    pieces = coded_words(shards)
 
-    def coded(row: dict, found: dict[str, np.ndarray]) -> dict:
-        return row | {"indices": found["id"][np.frombuffer(row["indices"], np.int32)].astype(np.int64).tobytes()}
+    def coded(row: dict, found: dict[str, list]) -> dict:
+        codes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in found["codes"])])
+        return row | {"indices": codes[np.frombuffer(row["indices"], np.int32)].tobytes()}
 
-    codes = key_rows(shards).join(words, "key")
-    return answered(shards, codes, ["id"], coded, f"shard long, {flags}, indptr binary, indices binary, counts binary"), words
+    return answered(shards.drop("n_keys", "words"), pieces.withColumnRenamed("first", "at"), ["codes"], coded, csr), dictionary(pieces)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
