@@ -25,6 +25,14 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free_name(wanted: str, df: DataFrame) -> str:
+    """A name that no column of the frame has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def version() -> Column:
     """Tells rows apart that share a doc_id: a hash of the text."""
     return F.xxhash64(whole())

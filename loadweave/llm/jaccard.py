@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadweave.llm.cells import all_pairs, by_cell, cells_of, intersections, joined
-from loadweave.llm.common import bounded_side, lean, stored, values
+from loadweave.llm.common import lean, side_of, stored, values, version
 from loadweave.llm.components import components
+from loadweave.llm.shards import join_counted
 from loadweave.llm.words import WordHashes, mixed, runs
 
 WORDS = 5
@@ -47,8 +48,6 @@ RUNS_AT_A_TIME = 6
 TWICE = 0.4
 #: Five standard deviations of the sketch's estimate at the threshold
 SLACK = 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / TOKENS)
-#: Rows up to which class ids are broadcast: 8 bytes each
-SIDE_ROWS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _FACTORS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -69,7 +68,7 @@ def tokens(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, size, tokens): a fingerprint of the shingle set, its size and MinHash tokens (4 bytes each)."""
+    """(doc_id, version, print, size, tokens): a fingerprint of the shingle set, its size and MinHash tokens (4 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -78,12 +77,12 @@ def sketched(docs: DataFrame) -> DataFrame:
             rows = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), tokens(s).tobytes()) for s in sets]
             prints, sizes, sketches = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
-                ["doc_id", "print", "size", "tokens"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
+                ["doc_id", "version", "print", "size", "tokens"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, print binary, size int, tokens binary")
+    return docs.select("doc_id", version().alias("version"), "text").mapInArrow(lean(run), f"doc_id {kind}, version long, print binary, size int, tokens binary")
 
 
 def _token(position: Column) -> Column:
@@ -228,11 +227,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(batch), 512):
             part = batch.slice(i, 512)
             sets = [shingle_set(t or "", known).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
 
 def jaccard_join(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """One row per document: (doc_id, class_id, n_links).
+    """One row per document: (doc_id, version, class_id, n_links); the version, a hash of the text, tells rows of one doc_id apart.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles (lower-cased runs of letters
     and digits) is at least `threshold`, which may not be below 0.8. `n_links` counts the other documents linked to
@@ -240,17 +239,16 @@ def jaccard_join(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
 
     Defined cases: a text of one to four words is one shingle of all its words; null and empty texts have none and are
     linked to nothing; a row without a doc_id has a null class and no links; rows that repeat are documents of their
-    own and link to each other; of rows that repeat a doc_id with other words, one is compared with other texts;
+    own and link to each other; rows that repeat a doc_id with other words are told apart by their sets;
     other columns are ignored; no rows give no rows.
     """
     if threshold < SIMILAR:
         raise ValueError("the runs are laid out for similarities from 0.8")
-    kind = docs.schema["doc_id"].dataType.simpleString()
     seen = stored(sketched(docs))
-    usable = seen.where("doc_id IS NOT NULL AND size > 0")
-    classes = usable.groupBy("print").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep"))
-    classes = classes.groupBy("rep").agg(F.min_by("members", "print").alias("members"), F.min("print").alias("print"))
-    classes = stored(classes.join(usable.select(F.col("doc_id").alias("rep"), "print", "size", "tokens").dropDuplicates(["rep", "print"]), ["rep", "print"]))
+    usable = seen.where("doc_id IS NOT NULL AND size > 0").withColumnRenamed("print", "rep")
+    # a class is named by the print of its set, so that texts which share a doc_id stay apart
+    classes = usable.groupBy("rep").agg(F.count("*").alias("members"), F.min("doc_id").alias("first"))
+    classes = stored(classes.join(usable.select("rep", "size", "tokens").dropDuplicates(["rep"]), "rep"))
 
     found, runs_done, need = [], 0, RUNS_AT_A_TIME
     while runs_done < need:
@@ -261,22 +259,25 @@ def jaccard_join(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     buckets = reduce(DataFrame.unionByName, found)
 
     lists = buckets.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.collect_set(F.struct("node", "n")).alias("met"))
-    sketch = classes.select("rep", "size", "tokens").mapInArrow(lean(_low_bytes), f"rep {kind}, size int, bytes binary")
+    sketch = classes.select("rep", "size", "tokens").mapInArrow(lean(_low_bytes), "rep binary, size int, bytes binary")
     placed = _in_blocks(lists.join(sketch, "rep").select("rep", "size", "bytes", "nodes", F.explode("met").alias("m")).select("rep", "size", "bytes", "nodes", "m.*"))
     cells = placed.repartition("cell").sortWithinPartitions("cell")
-    kept = stored(cells.select("cell", "side", "node", "rep", "size", "bytes", "nodes").mapInArrow(lean(_promising), f"cell long, side int, node long, rep {kind}, nodes array<long>"))
+    kept = stored(cells.select("cell", "side", "node", "rep", "size", "bytes", "nodes").mapInArrow(lean(_promising), "cell long, side int, node long, rep binary, nodes array<long>"))
 
-    texts = docs.select("doc_id", "text").join(bounded_side(stored(kept.select(F.col("rep").alias("doc_id")).distinct()), SIDE_ROWS), "doc_id", "left_semi")
-    sets = texts.mapInArrow(lean(_sets), f"rep {kind}, shingles binary").join(classes.select("rep", "print", "members"), "rep")
-    # a doc_id that repeats with other words is told by the print of its set
-    sets = sets.dropDuplicates(["rep"])
+    # one row of each class gives its text
+    wanted = kept.select("rep").distinct().join(usable.select("rep", "doc_id", "version"), "rep").dropDuplicates(["rep"])
+    texts = docs.select("doc_id", version().alias("version"), "text").join(side_of(stored(wanted)), ["doc_id", "version"])
+    sets = texts.mapInArrow(lean(_sets), "rep binary, shingles binary").dropDuplicates(["rep"]).join(classes.select("rep", "members"), "rep")
     full = kept.join(sets.select("rep", "members", "shingles"), "rep").repartition("cell").sortWithinPartitions("cell")
-    settled = stored(full.select("cell", "side", "node", "rep", "members", "nodes", "shingles").mapInArrow(lean(_settle(threshold)), f"rep {kind}, links long, root {kind}"))
+    settled = stored(full.select("cell", "side", "node", "rep", "members", "nodes", "shingles").mapInArrow(lean(_settle(threshold)), "rep binary, links long, root binary"))
 
     links = settled.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(settled.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    judged = classes.select("rep", "print", "members").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    judged = judged.select("print", F.coalesce("component", "rep").alias("class_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = seen.select("doc_id", "print", "size").join(judged, "print", "left")
+    judged = classes.select("rep", "first", "members").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    judged = stored(judged.withColumn("component", F.coalesce("component", "rep")))
+    least = stored(judged.groupBy("component").agg(F.count("*").alias("n"), F.min("first").alias("class_id")))
+    judged = join_counted(judged, least, "component")
+    facts = stored(judged.select(F.col("rep").alias("print"), F.col("members").alias("n"), "class_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    out = join_counted(seen.select("doc_id", "version", "print", "size"), facts, "print")
     usable = F.col("doc_id").isNotNull() & (F.col("size") > 0)
-    return out.select("doc_id", F.when(usable, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(usable, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select("doc_id", "version", F.when(usable, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(usable, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))

@@ -31,7 +31,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("version")
 
 
 def _labels(*lists: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 #: Extra columns, some named like what the operators use inside
-EXTRA = ["batch", "shard", "node", "rep", "tokens", "key", "at", "lines", "body", "digest", "size", "score", "copy", "TEXT_", "print"]
+EXTRA = ["batch", "shard", "node", "rep", "tokens", "key", "at", "lines", "body", "digest", "size", "score", "copy", "TEXT_", "print", "__score", "__text", "version", "first", "members", "class", "hash", "part", "n"]
 
 WORDS = "and the of river stone light under winter garden bridge lantern forest harbour quiet morning copper silver road".split()
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loadweave.llm import jaccard
+from loadweave.llm import cells, jaccard
 from loadweave.llm.components import components
 from tests.llm.frames import frame, odd_rows, prose
 
@@ -111,7 +111,7 @@ def test_tokens_agree_as_often_as_sets_overlap():
 def test_intersections_by_matrix():
     rnd = np.random.default_rng(2)
     sets = [np.unique(rnd.integers(0, 9_000, rnd.integers(1, 6_000), dtype=np.uint64)) for _ in range(9)]
-    both = jaccard._shared(sets)
+    both = cells.intersections(sets)
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             if i != j:
@@ -123,3 +123,12 @@ def test_components_of_a_long_chain_and_a_star(spark):
     star = [(100, 200 + i) for i in range(50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50)) and len(got) == 92
+
+
+def test_texts_that_share_an_id_do_not_take_their_copies_along(spark):
+    rnd = random.Random(9)
+    a, b = prose(1, 80), prose(2, 80)
+    near = edited(b, rnd, 1)
+    rows = [(5, a), (5, b), (77, b), (78, b), (79, near), (80, edited(a, rnd, 1))]
+    out = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(frame(spark, rows)).collect())
+    assert out == [(5, 5, 1), (5, 5, 3), (77, 5, 3), (78, 5, 3), (79, 5, 3), (80, 5, 1)]
