@@ -9,7 +9,6 @@ uses of each piece over all segmentations of the training words, by a forward an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +16,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,9 +39,10 @@ STRAY = 1e-7
 #: Added to each piece's expected count
 SMOOTHING = 0.05
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: The same letters for Spark
-_ANY_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+#: Letters with the marks that follow them
+_LETTERS = regex.compile(r"(?:\p{L}\p{M}*)+")
+#: A letter, for Spark
+_ANY_LETTER = r"\p{L}"
 _START = "▁"
 
 

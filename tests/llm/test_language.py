@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from loadweave.llm import language, queries, sampling
-from tests.llm.frames import by_id, frame, odd_rows
+from tests.llm.frames import by_id, frame, odd_rows, prose
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.01"
@@ -104,3 +104,11 @@ def test_sample_of_each_is_bounded(spark):
     rows = spark.createDataFrame([(i, "a" if i % 100 else "b") for i in range(5_000)], "doc_id long, lang string")
     for n, expected in [(1, {"a": 1, "b": 1}), (60, {"a": 60, "b": 50})]:
         assert {r["lang"]: r["count"] for r in sampling.sample_of_each(rows, "lang", n).groupBy("lang").count().collect()} == expected
+
+
+def test_number_signs_are_no_letters_and_marks_belong_to_words(spark, pieces):
+    assert language.words_of("Über हिन्दी x1y ½ e\u0301t") == ["über", "हिन्दी", "x", "y", "e\u0301t"]
+    rows = [(5 * i + k, prose(k + 10 * i, 30), ("en", "de")[k % 2]) for i in range(10) for k in range(5)]
+    docs = frame(spark, rows + [(1001, "½", None), (1002, "² ³", None), (1003, "①② Ⅷ", None), (1004, "\u0301", None), (1005, "é", None)])
+    out = {r["doc_id"]: r["lang_pred"] for r in language.language(docs, PATH).collect()}
+    assert [out[i] for i in (1001, 1002, 1003, 1004)] == ["und"] * 4 and out[1005] in ("en", "de")
