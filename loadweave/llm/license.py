@@ -20,6 +20,7 @@ from functools import lru_cache
 from importlib import resources
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -207,9 +208,13 @@ class Scanner:
         words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
         line = b" " + b" ".join(words) + b" "
         places = []
+        starts: np.ndarray | None = None
         for label, needle, pattern in self.phrases:
             if needle in line:
-                places += [(label, line.count(b" ", 0, m.start())) for m in pattern.finditer(line)]
+                if starts is None:
+                    starts = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                at = [m.start() for m in pattern.finditer(line)]
+                places += zip([label] * len(at), np.searchsorted(starts, at).tolist())
         n_words, number = len(words), range(len(words))
         if not line.isascii() and _TYPOGRAPHY.search(line):
             words = [_TYPOGRAPHY.sub(b"", w) for w in words]

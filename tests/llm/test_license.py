@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 
 import pytest
 
@@ -138,3 +140,69 @@ def test_notices_score_below_terms(spark, tmp_path):
     rows = [(1, MIT), (2, "Released under the MIT license"), (3, "all rights reserved"), (4, "none"), (5, MIT.split(", including")[0])]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     assert by_id(queries.op4_license_scan(spark, str(tmp_path)), "score") == {1: [(1.0,)], 2: [(0.75,)], 3: [(0.5,)], 4: [(0.0,)], 5: [(0.0,)]}
+
+
+def test_many_phrases_in_one_text_take_seconds():
+    n = 500_000
+    scanner = license._scanner()
+    start = time.perf_counter()
+    n_words, places, _ = scanner.scan("cc by all rights reserved " * n)
+    assert time.perf_counter() - start < 60
+    assert n_words == 5 * n and len(places) == 2 * n
+    assert sorted(places, key=lambda p: p[1])[-2:] == [("cc-by", 5 * n - 5), ("reserved", 5 * n - 3)]
+
+
+def as_regex(template):
+    """A template as a regular expression over words that are each followed by a space."""
+    barred = "|".join(sorted(w.decode() for w in license.BARRED))
+    end = rf"(?!(?:{barred}) )(?!(?:{'|'.join(w.decode()[:k] + ' ' + w.decode()[k:] for w in license.BARRED for k in range(1, len(w)))}) )" if template.split()[-1] == "!" else ""
+    out = []
+    for token in template.split():
+        if token == "[[":
+            out.append("(?:")
+        elif token == "]]":
+            out.append(")?")
+        elif token == "!":
+            continue
+        elif token.startswith("<<"):
+            n, version = token[2:-2].rstrip("#"), token.endswith("#>>")
+            out.append(rf"(?:{'[0-9]+' if version else '[^ ]+'} ){{0,{n}}}")
+        elif token == "#":
+            out.append("[0-9]+ ")
+        else:
+            out.append(f"(?:{token}) ")
+    return re.compile("".join(out) + end)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_automata_equal_regular_expressions(seed):
+    rnd = random.Random(seed)
+    alphabet = ["a", "b", "c", "1", "22"]
+
+    def region(depth):
+        out = []
+        for _ in range(rnd.randint(1, 3)):
+            kind = rnd.random()
+            if kind < 0.15 and depth:
+                out += ["[[", *region(depth - 1), "]]"]
+            elif kind < 0.25:
+                out.append(f"<<{rnd.randint(1, 3)}>>")
+            elif kind < 0.35:
+                out.append(f"<<{rnd.randint(1, 2)}#>>")
+            elif kind < 0.45:
+                out.append("#")
+            elif kind < 0.6:
+                out.append("a|b")
+            else:
+                out.append(rnd.choice("abc"))
+        return out
+
+    template = " ".join(["b", *region(2), "c"])
+    automaton, pattern = license.Automaton(template), as_regex(template)
+    for _ in range(60):
+        words = [rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))]
+        line = " ".join(words) + " "
+        for at in range(len(words)):
+            ends = [k for k in range(at + 1, len(words) + 1) if pattern.fullmatch(" ".join(words[at:k]) + " ")]
+            got = automaton.end_of_match([w.encode() for w in words], at)
+            assert got == (max(ends) if ends else None), (template, line, at)
