@@ -4,7 +4,8 @@ Strong patterns are reported wherever they match. Weak parts (a long opaque key,
 a service) are everyday text by themselves. They are reported only when linked: a key needs an
 access identifier or a credential assignment in its scope, an address needs an identifier or
 an assignment. Parts are linked by an interval join on (document, stretch of `SCOPE` code points):
-each weak part asks in its own stretch and in the two beside it, and the distance decides.
+each weak part asks in its own stretch and in the two beside it, and the distance decides. Weak parts that
+overlap a strong one are found by the same join and left out.
 
 Everything is built-in expressions. Positions come from the lengths of the pieces between matches.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadweave.llm.common import let, stored, whole
+from loadweave.llm.common import let, stored, version, whole
 
 #: Code points between two parts that belong together
 SCOPE = 200
@@ -88,22 +89,28 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     part of it and not reported again.
 
     Defined cases: null and empty texts have no spans; equal starts come in the order of the kinds; rows that
-    repeat come out as often, each with all its spans; a row without a doc_id has base spans and no linked
+    repeat come out as often; rows of one doc_id with different texts have the spans of their own; a row without a doc_id has base spans and no linked
     ones; other columns are ignored; no rows give no rows.
     """
     text = whole("body")
     base = F.concat(spans(text, "assign", ASSIGN, (2, 6)), spans(text, "access", ACCESS), spans(text, "hex", HEX))
     weak = F.concat(spans(text, "key", KEY), spans(text, "endpoint", ENDPOINT))
-    found = docs.select("doc_id", whole(docs["text"]).alias("body")).select("doc_id", base.alias("base"), weak.alias("weak"))
-    # without a strong part there is nothing to link to; a weak part inside a strong one is the strong one
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    found = stored(found.withColumn("weak", F.when(F.size("base") > 0, apart).otherwise(F.array().cast(_SPAN))))
-    strong = found.select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.*").where(F.col("kind").isin("assign", "access"))
-    strong = strong.select("doc_id", F.col("start").alias("from"), F.col("end").alias("to")).distinct()
-    weak = found.select("doc_id", F.explode("weak").alias("s")).select("doc_id", "s.*").distinct()
-    asked = weak.withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))))
+    found = docs.select("doc_id", version().alias("version"), whole(docs["text"]).alias("body")).select("doc_id", "version", base.alias("base"), weak.alias("weak"))
+    # without a strong part there is nothing to link to
+    found = stored(found.withColumn("weak", F.when(F.size("base") > 0, F.col("weak")).otherwise(F.array().cast(_SPAN))))
+    strong = found.select("doc_id", "version", F.explode("base").alias("s")).select("doc_id", "version", F.col("s.kind").alias("strong"), F.col("s.start").alias("from"), F.col("s.end").alias("to")).distinct()
+    weak = stored(found.select("doc_id", "version", F.explode("weak").alias("s")).select("doc_id", "version", "s.*").distinct())
     held = strong.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / scope), F.floor(F.col("to") / scope))))
-    near = (F.col("from") <= F.col("end") + scope) & (F.col("start") <= F.col("to") + scope)
-    linked = asked.join(held, on=[asked["doc_id"] == held["doc_id"], asked["cell"] == held["cell"], near], how="left_semi")
-    per_doc = linked.select("doc_id", "kind", "start", "end").groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("kind", "start", "end"))).alias("linked"))
-    return found.select("doc_id", "base").join(per_doc, "doc_id", "left").select("doc_id", "base", F.coalesce("linked", F.array().cast(_SPAN)).alias("linked"))
+
+    def meeting(margin: int, kinds: tuple[str, ...]) -> DataFrame:
+        """The weak spans with a strong one of these kinds within the margin: they share a stretch of the text, which has few of either."""
+        asked = weak.withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - margin) / scope), F.floor((F.col("end") + margin) / scope))))
+        near = (F.col("from") <= F.col("end") + margin) & (F.col("start") <= F.col("to") + margin) if margin else (F.col("from") < F.col("end")) & (F.col("start") < F.col("to"))
+        which = held.where(F.col("strong").isin(*kinds))
+        same = [asked[c] == which[c] for c in ("doc_id", "version", "cell")]
+        return asked.join(which, on=[*same, near], how="left_semi").select("doc_id", "version", "kind", "start", "end").distinct()
+
+    # a weak part inside a strong one is the strong one
+    linked = meeting(scope, ("assign", "access")).join(meeting(0, ("assign", "access", "hex")), ["doc_id", "version", "kind", "start", "end"], "left_anti")
+    per_doc = linked.groupBy("doc_id", "version").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
+    return found.select("doc_id", "version", "base").join(per_doc, ["doc_id", "version"], "left").select("doc_id", "base", F.coalesce("linked", F.array().cast(_SPAN)).alias("linked"))

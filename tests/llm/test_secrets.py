@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import hashlib
 import random
 import re
@@ -82,3 +83,17 @@ def test_query(spark):
         found = base(texts[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for x, _, _ in found) for k in KINDS[:3]]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+
+
+def test_many_pairs_in_one_text_take_seconds(spark):
+    n = 20_000
+    text = " ".join(f"token=abcdef{i:05d} https://h{i}.example.org" for i in range(n))
+    start = time.perf_counter()
+    (row,) = secrets.secrets(frame(spark, [(1, text)])).select(F.size("base"), F.size("linked")).collect()
+    assert tuple(row) == (n, n) and time.perf_counter() - start < 120
+
+
+def test_rows_of_one_id_keep_their_own_spans(spark):
+    a, b = "token=abcdefgh " + "Q1w" * 13, "nothing here " + "Q1w" * 13
+    check(spark, [(1, a), (1, b), (2, b)])
+    assert {tuple(r) for r in secrets.secrets(frame(spark, [(1, a), (1, b)])).select(F.size("linked")).collect()} == {(1,), (0,)}
