@@ -27,21 +27,18 @@ MISS = 1e-5
 SIDE_ROWS = 1_000_000
 
 
-def _shingles(words: Column, form) -> Column:
-    """`form` of every five consecutive words; none if there are fewer."""
-    return F.when(F.size(words) < WORDS, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - WORDS + 1), lambda i: form(F.slice(words, i, F.lit(WORDS)))))
+def _runs(words: Column, length: int | Column, form) -> Column:
+    """`form` of every run of so many consecutive words; none if there are fewer."""
+    n = F.lit(length) if isinstance(length, int) else length
+    return F.when((F.size(words) < n) | (n < 1), F.array()).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: form(F.slice(words, i, n))))
 
 
-def _hashes(text: Column) -> Column:
-    none = F.array().cast("array<bigint>")
-    return let(
-        word_array(text),
-        lambda w: F.when(F.size(w) < WORDS, none).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(WORDS))))),
-    )
+def _hashes(words: Column, length: int) -> Column:
+    return _runs(words, length, lambda s: F.xxhash64(s)).cast("array<bigint>")
 
 
-def _texts(text: Column) -> Column:
-    return F.array_distinct(let(word_array(text), lambda w: _shingles(w, lambda s: F.array_join(s, " "))))
+def _texts(words: Column, length: int | Column) -> Column:
+    return F.array_distinct(_runs(words, length, lambda s: F.array_join(s, " ")).cast("array<string>"))
 
 
 def bins_per_shingle(smallest: int) -> int | None:
@@ -54,6 +51,11 @@ def bins_per_shingle(smallest: int) -> int | None:
     return None
 
 
+def _fewest() -> int:
+    """The least number of shingles that a sketch keeps well enough."""
+    return next(n for n in range(1, 1000) if bins_per_shingle(n) is not None)
+
+
 def _sketch(hashes: Column, bins: int | None) -> Column:
     """The smallest hash of each bin. The number of bins is that of the size partition times `bins`."""
     if bins is None:
@@ -73,24 +75,43 @@ def _sketch(hashes: Column, bins: int | None) -> Column:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): every item of which a document has `threshold` of the shingles.
 
-    Shingles are five consecutive words (lower-cased runs of letters and digits), counted once each.
+    Shingles are five consecutive words (lower-cased runs of letters and digits), counted once each; an item of one to four words
+    is one shingle of all its words, sought as a whole run of words.
 
-    Defined cases: items and documents of fewer than five words have no shingles and are in no result, so null and
-    empty texts are not either; rows that repeat an id are one document (or item) with the shingles of all of them;
-    rows without an id are ignored; ties cannot occur, all items that reach the threshold are returned; other columns
-    are ignored; an empty table on either side gives no rows.
+    Defined cases: null and empty texts have no shingles and are in no result; rows that repeat an id are one document (or item) with the
+    shingles of all of them; rows without an id are ignored; ties cannot occur, all items that reach the threshold are returned; other
+    columns are ignored; an empty table on either side gives no rows.
     """
-    items = items.where("item_id IS NOT NULL").select("item_id", F.explode(_texts(whole(items["text"]))).alias("shingle")).distinct()
+    split = items.where("item_id IS NOT NULL").select("item_id", word_array(whole(items["text"])).alias("words")).withColumn("length", F.least(F.size("words"), F.lit(WORDS)))
+    items = split.select("item_id", "length", F.explode(_texts(F.col("words"), F.col("length"))).alias("shingle")).distinct()
     items = stored(items.withColumn("hash", F.xxhash64(F.split("shingle", " "))))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    smallest = sizes.agg(F.min("n_item")).first()[0] or 1
+    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_item"), F.min("length").alias("least"))
+    # items of so few shingles that a sketch may miss them are sought among all shingles, the others by sketches laid out for the smallest
+    few = (F.ceil(threshold * F.col("n_item") - 1e-9) < _fewest()) | (F.col("least") < WORDS)
+    classed = stored(items.join(sizes.withColumn("few", few), "item_id").withColumn("class", F.when(F.col("few"), F.col("length")).otherwise(0)))
+    smallest = classed.where("NOT few").agg(F.min("n_item")).first()[0]
+    bins = None if smallest is None else bins_per_shingle(math.ceil(threshold * smallest - 1e-9))
+    classes = sorted(r["class"] for r in classed.select("class").distinct().collect())  # of 0 to WORDS
+
+    def sketches(words: Column) -> Column:
+        def of(c: int) -> Column:
+            return F.transform(_sketch(_hashes(words, c or WORDS), None if c else bins), lambda h: F.struct(F.lit(c).alias("class"), h.alias("hash")))
+
+        parts = [of(c) for c in classes]
+        return F.concat(*parts) if parts else F.array().cast("array<struct<class:int,hash:bigint>>")
+
     named = docs.where("doc_id IS NOT NULL")
-    sketches = named.select("doc_id", F.explode(_sketch(_hashes(whole(named["text"])), bins_per_shingle(math.ceil(threshold * smallest - 1e-9)))).alias("hash"))
-    sought = bounded_side(stored(items.select("hash").distinct()), SIDE_ROWS)
-    candidates = stored(sketches.join(sought, "hash", "left_semi").select("doc_id").distinct())
+    hashes = named.select("doc_id", F.explode(let(word_array(whole(named["text"])), sketches)).alias("s")).select("doc_id", "s.*")
+    sought = bounded_side(stored(classed.select("class", "hash").distinct()), SIDE_ROWS)
+    candidates = stored(hashes.join(sought, ["class", "hash"], "left_semi").select("doc_id").distinct())
     near = named.join(bounded_side(candidates, SIDE_ROWS), "doc_id", "left_semi")
-    theirs = near.select("doc_id", F.explode(_texts(whole(near["text"]))).alias("shingle"))
-    known = items.join(sizes, "item_id").select("item_id", "n_item", "shingle")
+    lengths = sorted({c or WORDS for c in classes})
+
+    def texts(words: Column) -> Column:
+        return F.concat(*[_texts(words, n) for n in lengths]) if lengths else F.array().cast("array<string>")
+
+    theirs = near.select("doc_id", F.explode(let(word_array(whole(near["text"])), texts)).alias("shingle"))
+    known = classed.select("item_id", "n_item", "shingle")
     shared = theirs.join(bounded_side(stored(known), SIDE_ROWS), "shingle").groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
     found = shared.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
     return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")

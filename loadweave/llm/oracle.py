@@ -29,14 +29,16 @@ _FORM = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY s
 
 ORACLE = {
     "op2_decontaminate": r"""
-WITH words AS (
-  SELECT doc_id, NULL AS item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
-  UNION ALL SELECT NULL, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark
-), shingles AS (
-  SELECT DISTINCT doc_id, item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words
-), items AS (SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS n_item FROM shingles WHERE item_id IS NOT NULL)
+WITH items AS (
+  SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL)
+), asked AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM items WHERE k > 0
+), sizes AS (SELECT item_id, count(*) AS n_item FROM asked GROUP BY item_id), held AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), (SELECT DISTINCT k FROM asked) WHERE len(w) >= k
+)
 SELECT d.doc_id, i.item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
-FROM shingles d JOIN items i USING (s) WHERE d.doc_id IS NOT NULL
+FROM held d JOIN asked i USING (s) JOIN sizes USING (item_id) WHERE d.doc_id IS NOT NULL
 GROUP BY d.doc_id, i.item_id, n_item HAVING count(*) >= 0.8 * n_item""",
     "op5_substring_dedup": r"""
 WITH docs AS (

@@ -16,12 +16,17 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
+def runs(text, n):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
 def expected(docs, items):
     out = set()
     for doc_id, text in docs:
-        own = shingles(text)
         for item_id, item in items:
-            want = shingles(item)
+            n = min(5, max(1, len(re.findall(r"[^\W_]+", (item or "").lower()))))
+            own, want = runs(text, n), runs(item, n)
             if doc_id is not None and item_id is not None and want and len(own & want) >= 0.8 * len(want):
                 out.add((doc_id, item_id, len(own & want), len(want)))
     return sorted(out)
@@ -60,6 +65,14 @@ def test_odd_rows(spark):
     assert got(spark, docs, items) == expected(set(docs), set(items))
 
 
+def test_items_of_few_words_are_sought_as_whole_runs(spark):
+    items = [(1, "Lantern river"), (2, "stone"), (3, "quiet morning copper, silver"), (4, prose(3, 6)), (5, prose(4, 40)), (6, ""), (7, None), (8, "a b c d e")]
+    docs = [(1, "the lantern river flows"), (2, "stone-cold"), (3, "Quiet Morning copper silver road"), (4, "quiet morning and copper silver"), (5, "x " + prose(3, 6)), (6, prose(4, 40)), (7, "lantern"), (8, "z a b c d e f"), (9, None)]
+    want = expected(docs, items)
+    assert {(1, 1), (2, 2), (3, 3), (5, 4), (6, 5), (8, 8)} <= {r[:2] for r in want}
+    assert got(spark, docs, items) == want
+
+
 def test_empty_tables(spark):
     assert got(spark, [], [(1, prose(1, 30))]) == [] and got(spark, [(1, prose(1, 30))], []) == []
 
