@@ -137,10 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """Every row of `docs` with one more column, `__score` (0 to 1)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
+    """Every row of `docs` with one more column, `out` (0 to 1), whose name must be free."""
     w, bias = model
     columns = list(docs.columns)
+    if out in columns:
+        raise ValueError(f"there is a column {out} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -150,9 +152,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 for text in values(part.column("text")):
                     slots, x = features(text or "", known)
                     found.append(1 / (1 + np.exp(-np.clip(float(w[slots] @ x) + bias, -35, 35))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*columns, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*columns, out])
 
-    return docs.mapInArrow(lean(run), f"{docs._jdf.schema().toDDL()}, __score double")
+    return docs.mapInArrow(lean(run), f"{docs._jdf.schema().toDDL()}, `{out}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -163,4 +165,4 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Dat
     other than doc_id and quality are ignored; without labels every score is 0.5.
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, max_rows))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
