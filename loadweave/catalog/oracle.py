@@ -682,3 +682,58 @@ where lag_7d is not null and rolling_std_7d is not null and demand_fc is not nul
 # the same rows by way of text
 for _text, _plain in (("hourly_from_json", "hourly_flatten"), ("stations_from_json", "station_daily_mean"), ("statistics_from_csv", "latest_year")):
     ORACLE[_text] = ORACLE[_plain]
+
+
+# fixed values: the candidates in the order of the regression
+CANDIDATES = (
+    "dew_point_2m", "temperature_2m", "cloud_cover", "relative_humidity_2m", "tmed", "prec", "velmedia", "hdd_hourly", "cdd_hourly",
+    "pv_forecast", "wind_forecast", "hour", "day_of_week", "month", "is_weekend", "hour_sin", "hour_cos",
+)
+
+
+def _selection() -> str:
+    """Normal equations of the standardised candidates, swept column by column; p-values through the quantiles of t."""
+    rows = ORACLE["candidate_matrix"].replace("pv_fc as pv_forecast, wind_fc as wind_forecast", "pv15.pv_forecast, wind15.wind_forecast")
+    rows = rows.replace("left join feeds on feeds.datetime_local = t.datetime_15min", "left join pv15 using (datetime_15min) left join wind15 using (datetime_15min)")
+    series = "".join(
+        f"{n}1 as (select datetime_local, {n}_fc from feeds where {n}_fc is not null), {n}15 as ({_carry(n + '1', f'x.{n}_fc as {n}_forecast')}), " for n in ("pv", "wind")
+    )
+    at = rows.rindex("\nselect t.datetime_15min")
+    ctes, body = rows[:at], rows[at:]
+    columns = [*CANDIDATES, "demand_kw"]
+    k = len(columns)
+    z = ", ".join(f"coalesce(({c} - avg({c}) over ()) / nullif(stddev_pop({c}) over (), 0), 0)" for c in columns)
+    sums = ", ".join("[" + ", ".join(f"sum(z[{i}] * z[{j}]) / count(*)" for j in range(1, k + 1)) + "]" for i in range(1, k + 1))
+    whole = " and ".join(f"{c} is not null" for c in columns)
+    swept = "list_transform(m, lambda r, i: list_transform(r, lambda v, j: case when i = k + 1 and j = k + 1 then 1 / v when i = k + 1 then v / p when j = k + 1 then -v / p else v - r[k + 1] * m[k + 1][j] / p end))"
+    names = "[" + ", ".join(f"'{c}'" for c in CANDIDATES) + "]"
+
+    def quantile(z0: float) -> str:
+        return f"({z0} + ({z0 ** 3 + z0}) / (4 * df) + ({5 * z0 ** 5 + 16 * z0 ** 3 + 3 * z0}) / (96 * df * df))"
+
+    stars = "case " + " ".join(f"when t > {quantile(q)} then '{s}'" for q, s in ((3.2905267314918945, "***"), (2.5758293035489004, "**"), (1.959963984540054, "*"))) + " else '' end"
+    return f"""{ctes.replace("with ", "with recursive ", 1)}, {series}candidates as ({body}),
+complete as (select * from candidates where {whole}),
+zs as (select [{z}] as z, stddev_pop(demand_kw) over () as spread from complete),
+g as (select [{sums}] as m, count(*) as n, any_value(spread) as spread from zs),
+sw as (
+  select 0 as k, m, m[1][1] as p, []::integer[] as kept, n, spread from g
+  union all
+  select k + 1, case when p > 1e-6 then {swept} else m end as m2,
+    case when p > 1e-6 then m[k + 2][k + 2] - m[k + 2][k + 1] * m[k + 1][k + 2] / p else m[k + 2][k + 2] end,
+    case when p > 1e-6 then list_append(kept, k + 1) else kept end, n, spread
+  from sw where k < {k - 1}),
+done as (select m, kept, n, spread, n - len(kept) - 1 as df from sw where k = {k - 1}),
+terms as (select unnest(kept) as i, m, n, spread, df from done),
+fitted as (
+  select {names}[i] as feature, m[i][{k}] * spread as coefficient, n, df,
+    abs(m[i][{k}]) / sqrt(m[{k}][{k}] * m[i][i] / df) as t
+  from terms),
+starred as (select *, {stars} as significance from fitted)
+select feature, round(coefficient, 4) as coefficient, significance,
+  significance <> '' and abs(coefficient) >= (select quantile_cont(abs(coefficient), 0.5) from starred where significance <> '') as selected
+from starred
+union all select feature, null, null, false from (select unnest({names}) as feature) where feature not in (select feature from fitted)"""
+
+
+ORACLE["ols_selected"] = _selection()

@@ -622,6 +622,11 @@ def ols_selection(s, d):
     return linear.ols_selection(rows, wanted, ft.TARGET)
 
 
+def ols_selected(s, d):
+    """What the selection decides, without the p-values themselves."""
+    return ols_selection(s, d).select("feature", F.round("coefficient", 4).alias("coefficient"), "significance", "selected")
+
+
 def kept_codes(s, d):
     return region.keep_codes(i.meter(s, d), "community_code", ["click", "view"], {"client_id": "7", "not_there": "x"})
 
@@ -825,6 +830,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_split": time_split,
     "view_query": view_query,
     "ols_selection": ols_selection,
+    "ols_selected": ols_selected,
     "next_day_ols": next_day_ols,
     "next_day_ols_coefficients": next_day_ols_coefficients,
     "next_day_ols_scores": next_day_ols_scores,

@@ -245,3 +245,31 @@ def test_boosting_under_the_contract_reads_only_before_the_end(spark):
     assert out.count() == 192 and out.where("prediction is null or prediction < 0").count() == 0
     demand = ft.demand_series(fc.before(i.meter(spark, SF), "2024-01-26T00:00:00"), 2)
     assert "LessThan(ts," in demand._jdf.queryExecution().executedPlan().toString()
+
+
+def test_p_values_are_those_of_the_t_distribution():
+    # quantiles of Student's t from published tables
+    for t, freedom, p in ((12.7062, 1, 0.05), (2.2281, 10, 0.05), (2.7500, 30, 0.01), (3.3905, 100, 0.001), (1.9623, 1000, 0.05)):
+        assert linear.two_sided(t, freedom) == pytest.approx(p, rel=2e-4)
+    assert linear.two_sided(0.0, 5) == 1.0 and linear.two_sided(1e9, 50) < 1e-200
+
+
+def test_statistics_of_least_squares_against_numpy(regression):
+    df, x, y = regression
+    got = {r.feature: r for r in linear.fit_ols(df, ["a", "b", "c"], "y").collect()}
+    full = np.column_stack([x, np.ones(len(x))])
+    beta = np.linalg.lstsq(full, y, rcond=None)[0]
+    left = y - full @ beta
+    errors = np.sqrt(left @ left / (len(y) - 4) * np.diag(np.linalg.inv(full.T @ full)))
+    assert [got[n].std_error for n in ("a", "b", "c", "intercept")] == pytest.approx(list(errors))
+    assert [got[n].t_value for n in ("a", "b", "c", "intercept")] == pytest.approx(list(beta / errors))
+    assert got["a"].r2 == pytest.approx(1 - left @ left / ((y - y.mean()) ** 2).sum())
+
+
+def test_regression_of_few_or_constant_rows(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 4.0, 5.0), (None, 1.0, 1.0)], "a double, b double, y double")
+    got = {r.feature: r for r in linear.fit_ols(rows, ["a", "b"], "y").collect()}
+    assert set(got) == {"b", "intercept"} and got["b"].coefficient == pytest.approx(1.0) and got["b"].n == 2
+    flat = spark.createDataFrame([(float(i), 7.0) for i in range(5)], "a double, y double")
+    assert linear.fit_ols(flat, ["a"], "y").where("feature = 'a'").first().coefficient == 0.0
+    assert linear.fit_ols(flat.limit(0), ["a"], "y").count() == 1
