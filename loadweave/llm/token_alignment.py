@@ -18,6 +18,7 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -101,8 +102,9 @@ def linked_pairs(groups: list[Group], links: list[tuple[int, int]], a: np.ndarra
 def _outside(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
     """The places that lie in none of the ranges, which are apart and rising."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, stops, -1)
+    # starts, and stops, are distinct
+    step[starts] += 1
+    step[stops] -= 1
     return np.cumsum(step[:n]) == 0
 
 
@@ -194,9 +196,11 @@ def _portions(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 def _shard(number: int, doc_ids: list[pa.Array], rows: list[dict], links: list[np.ndarray]) -> pa.RecordBatch:
-    keys, local = np.unique(np.concatenate(links), return_inverse=True)
+    local, keys = pd.factorize(np.concatenate(links))
     row = np.repeat(np.arange(len(links)), [len(x) for x in links])
-    entries, counts = np.unique(row * max(1, len(keys)) + local, return_counts=True)
+    # in the order of their first places, so row by row
+    code, entries = pd.factorize(row * max(1, len(keys)) + local)
+    counts = np.bincount(code, minlength=len(entries))
     row, local = np.divmod(entries, max(1, len(keys)))
     indptr = np.searchsorted(row, np.arange(len(links) + 1)).astype(np.int64)
     ids = pa.concat_arrays(doc_ids)
