@@ -737,3 +737,11 @@ union all select feature, null, null, false from (select unnest({names}) as feat
 
 
 ORACLE["ols_selected"] = _selection()
+
+ORACLE["submission_written"] = ORACLE["submission"].replace("select 'spark_team' as team_name, *", "select 'spark_team' as team_name, *, true as in_this_run")
+ORACLE["grains_written"] = f"""select s.*, h.total_active_kw as hour_kw from ({ORACLE['community_15min']}) s
+join ({ORACLE['community_hour']}) h on h.community_code = s.community_code and h.datetime_hour = date_trunc('hour', s.datetime_15min)"""
+ORACLE["temporal_partitions"] = f"""select * replace (case when nuts2_code = 'NATION_0' then temperature_2m + 1.0::double else temperature_2m end as temperature_2m), cast(year(date) * 100 + month(date) as integer) as month
+from ({ORACLE['temporal_with_static']}) where population_density > 100 and year(date) * 100 + month(date) = 202401"""
+WEATHER_COLUMNS = ("datetime_local", "community_code", "temperature_2m", "dew_point_2m", "cloud_cover", "relative_humidity_2m", "date")
+ORACLE["weather_written"] = f"""with {WEATHER} {' union all '.join(f"select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as null_count, min(datetime_local) as min_time, max(datetime_local) as max_time from weather" for c in WEATHER_COLUMNS)}"""

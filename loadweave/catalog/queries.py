@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,13 +11,14 @@ from ..functions import timeparts as t
 from ..operators import calendar as cal
 from ..operators import encode, feeds as fd, grid, lags, profile, quality, region, rollup as ru, sampling, scale, weather as wx
 from ..plans import boosting, evaluate as ev, features as ft, forecast as fc, linear
-from ..session import materialize
+from ..session import ensure_checkpoint_dir, materialize, store
 from ..sources import dimensions, readers, sinks
 from . import inputs as i
 
 CC = ["community_code"]
 D = 2  # decimals of the readings: sums run on whole hundredths
 E = 6  # decimals kept in error sums
+BUCKETS = 8
 START, END = i.HOLDOUT_START, i.HOLDOUT_END
 
 
@@ -286,11 +288,14 @@ def region_static(s, d):
     return region.static_features(density(s, d, population), population, tourism(s, d, totals, population), gdp, shares, degrees)
 
 
-def temporal_with_static(s, d):
+def _nation_hours(s, d):
     codes = dict(zip(i.COMMUNITIES, ["NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_7"], strict=True))
-    hours = region.map_codes(_hours(s, d), codes, "community_code", "nuts2_code")
+    return region.temporal_features(region.map_codes(_hours(s, d), codes, "community_code", "nuts2_code"))
+
+
+def temporal_with_static(s, d):
     static = density(s, d).select("nuts2_code", "population_density", "urban_rural_class")
-    return region.with_static(region.temporal_features(hours), static)
+    return region.with_static(_nation_hours(s, d), static)
 
 
 def weather_clean(s, d):
@@ -553,6 +558,47 @@ def submission(s, d):
     return sinks.submission(naive_forecast(s, d), "spark_team").drop("submitted_at")
 
 
+def _own_folder(s: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(s)}/tables-{uuid.uuid4().hex}"
+
+
+def submission_written(s, d):
+    """The submission table as it was written; every row has the time of this run."""
+    before, target = F.lit(s.sql("select current_timestamp()").first()[0]), f"{_own_folder(s)}/submission"
+    sinks.write_submission(naive_forecast(s, d), "spark_team", target)
+    stamp = F.col("submitted_at")
+    return s.read.parquet(target).withColumn("in_this_run", stamp.isNotNull() & (stamp >= before) & (stamp <= F.current_timestamp())).drop("submitted_at")
+
+
+def grains_written(s, d):
+    """Slots and hours as bucketed tables, read back and joined without a shuffle."""
+    keys, name = ["community_code", "datetime_hour"], f"loadweave_{uuid.uuid4().hex}"
+    slots = _community(s, d).withColumn("datetime_hour", t.slot_start("datetime_15min", 60))
+    hours = ru.rollup(i.meter(s, d), "hour", CC, out="hour_kw", decimals=D)
+    folder = _own_folder(s)
+    left = sinks.write_bucketed(slots, f"{name}_slots", keys, BUCKETS, f"{folder}/slots")
+    right = sinks.write_bucketed(hours, f"{name}_hours", keys, BUCKETS, f"{folder}/hours")
+    return left.join(right, keys).drop("datetime_hour")
+
+
+def temporal_partitions(s, d):
+    """Hourly features by region and month; one region comes again, a degree warmer, and replaces its own partitions only."""
+    parts = ["nuts2_code", "month"]
+    hours = _nation_hours(s, d).withColumn("month", F.year("date") * 100 + F.month("date"))
+    path = f"{_own_folder(s)}/temporal"
+    sinks.overwrite_partitions(hours, path, parts)
+    sinks.overwrite_partitions(hours.where("nuts2_code = 'NATION_0'").withColumn("temperature_2m", F.col("temperature_2m") + 1.0), path, parts)
+    back = s.read.schema(hours.schema).parquet(path)
+    # stored, so that Spark knows its size, broadcasts it and skips the partitions of other regions
+    dense = store(density(s, d)).where("population_density > 100").select("nuts2_code", "population_density", "urban_rural_class")
+    return region.with_static(back.where("month = 202401"), dense)
+
+
+def weather_written(s, d):
+    """Rows, nulls and time range of the weather, measured while it is written."""
+    return sinks.overwrite_measured(i.weather(s, d), f"{_own_folder(s)}/weather", "datetime_local")
+
+
 def profile_rows(s, d):
     return profile.profile_rows(profile.daily_arrays(_community(s, d), CC, fill=0.0))
 
@@ -594,6 +640,11 @@ def ensemble_forecast(s, d):
     return fc.forecast(i.meter(s, d), START, END, "gbt", **_exogenous(s, d), settings=boosting.SCORED, seeds=[42, 43, 44], decimals=D)
 
 
+def gbt_recursive(s, d):
+    """Ten days, each predicted on the days predicted before."""
+    return fc.forecast(i.meter(s, d), "2024-01-21 00:00:00", END, "gbt_recursive", **_exogenous(s, d), decimals=D)
+
+
 def gbt_importance(s, d):
     train = materialize(ft.training_rows(matrix(s, d), START))
     return boosting.importance(boosting.fit_boosting(train))
@@ -643,8 +694,8 @@ def calendar_full(s, d):
 
 def view_query(s, d):
     """A rollup registered as a view and queried by SQL."""
-    ru.rollup(i.meter(s, d), "day", CC, decimals=D).createOrReplaceTempView("daily_by_community")
-    return s.sql("select community_code, count(*) as days, max(total_active_kw) as highest from daily_by_community group by community_code")
+    (name,) = sinks.register_views({"day": ru.rollup(i.meter(s, d), "day", CC, decimals=D)})
+    return s.sql("select community_code, count(*) as days, max(total_active_kw) as highest from identifier(:view) group by community_code", args={"view": name})
 
 
 def _next_day_rows(s, d):
@@ -819,11 +870,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_head": table_head,
     "density_ranked": density_ranked,
     "submission": submission,
+    "submission_written": submission_written,
+    "grains_written": grains_written,
+    "temporal_partitions": temporal_partitions,
+    "weather_written": weather_written,
     "profile_rows": profile_rows,
     "profile_matrix": profile_matrix,
     "feeds_for_days": feeds_for_days,
     "gbt_forecast": gbt_forecast,
     "ensemble_forecast": ensemble_forecast,
+    "gbt_recursive": gbt_recursive,
     "gbt_importance": gbt_importance,
     "candidate_matrix": candidate_matrix,
     "kept_codes": kept_codes,

@@ -46,6 +46,8 @@ SEASONAL_FEATURES = (
     "month_sin",
     "month_cos",
 )
+#: The features that look back on the demand itself
+DEMAND_LAGS = ("demand_lag_7d", "demand_lag_1d", "rolling_mean_7d")
 ALL_FEATURES = CORE_FEATURES + SEASONAL_FEATURES
 TARGET = "demand_kw"
 

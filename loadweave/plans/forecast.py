@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,10 +12,12 @@ from ..functions import timeparts as t
 from ..functions.numeric import mean
 from ..operators import profile as p
 from ..operators.grid import slot_grid
-from ..operators.lags import source_slot
+from ..operators.lags import lagged_demand, source_slot
+from ..operators.quality import impute_medians
 from ..operators.rollup import rollup
-from .boosting import SCORED, BoostingSettings, boosted_forecast
-from .features import demand_series, feature_matrix
+from ..session import materialize, store
+from .boosting import SCORED, BoostingSettings, boosted_forecast, fit_boosting, predict_boosting
+from .features import ALL_FEATURES, DEMAND_LAGS, TARGET, demand_series, feature_matrix, prediction_rows, training_rows
 
 
 def _minus_days(stamp: str, days: int) -> str:
@@ -94,7 +97,43 @@ def gbm_forecast(
     return boosted_forecast(matrix, start, end, settings, seeds=seeds)
 
 
-MODELS: dict[str, Callable[..., DataFrame]] = {"naive": naive_forecast, "median": median_forecast, "gbt": gbm_forecast}
+def recursive_forecast(
+    meter: DataFrame,
+    start: str,
+    end: str,
+    weather: DataFrame,
+    degrees: DataFrame,
+    feeds: Mapping[str, DataFrame],
+    calendar: DataFrame,
+    settings: BoostingSettings = SCORED,
+    decimals: int | None = None,
+) -> DataFrame:
+    """Boosted trees day by day: what is predicted for a day is the demand that the lags of later days look back on.
+
+    No reading from `start` on is used. The model is fitted once, on the slots before `start`; each day then takes its
+    lags from the readings and the days predicted so far, which are stored, so a lost executor costs no day anew. Slots with a lag that
+    is missing take its training median.
+    """
+    start, end = t.stamp_text(start), t.stamp_text(end)
+    demand = materialize(demand_series(before(meter, start), decimals))
+    matrix = materialize(feature_matrix(demand, weather, degrees, feeds, calendar, start, end, decimals=decimals))
+    train = materialize(training_rows(matrix, start))
+    model = fit_boosting(train, settings=settings)
+    known = prediction_rows(matrix, start, end).drop(TARGET, *DEMAND_LAGS)
+    series, days = demand.select("datetime_15min", TARGET), []
+    first = start
+    while first < end:
+        last = min(end, _minus_days(f"{first[:10]} 00:00:00", -1))
+        grid = slot_grid(meter.sparkSession, first, last)
+        lags = lagged_demand(series, grid).where(t.in_period("datetime_15min", first, last)).drop(TARGET)
+        rows = known.where(t.in_period("datetime_15min", first, last)).join(lags, "datetime_15min")
+        days.append(store(predict_boosting(model, impute_medians(rows, train, ALL_FEATURES))))
+        series = series.unionByName(days[-1].withColumnRenamed("prediction", TARGET))
+        first = last
+    return reduce(DataFrame.unionByName, days) if days else slot_grid(meter.sparkSession, start, end).withColumn("prediction", F.lit(0.0))
+
+
+MODELS: dict[str, Callable[..., DataFrame]] = {"naive": naive_forecast, "median": median_forecast, "gbt": gbm_forecast, "gbt_recursive": recursive_forecast}
 
 
 def forecast(meter: DataFrame, start: str, end: str, model: str | Callable[..., DataFrame] = "naive", **options) -> DataFrame:

@@ -17,7 +17,7 @@ from loadweave.catalog.queries import QUERIES
 from loadweave.plans import boosting
 from tests.conftest import SF
 
-ROWS_ONLY = {"gbt_forecast", "ensemble_forecast", "gbt_importance", "ols_selection", "next_day_ols", "next_day_ols_scores", "next_day_boosting", "lag_boosting"}
+ROWS_ONLY = {"gbt_forecast", "ensemble_forecast", "gbt_importance", "gbt_recursive", "ols_selection", "next_day_ols", "next_day_ols_scores", "next_day_boosting", "lag_boosting"}
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,41 @@ def test_ols_takes_all_slots(spark):
     assert set(by_minute) == {0, 15, 30, 45} and by_minute[0] >= full_hours
     fitted = [r["n"] for r in QUERIES["ols_selection"](spark, SF).collect() if r["n"] is not None]
     assert set(fitted) == {sum(by_minute.values())} and fitted[0] > 3 * full_hours
+
+
+def test_bucketed_grains_join_without_a_shuffle(spark):
+    # as of tables too large for a broadcast
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = executed(QUERIES["grains_written"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def test_partitions_of_other_regions_and_months_are_not_read(spark):
+    df = QUERIES["temporal_partitions"](spark, SF)
+    assert df.count() > 0
+    plan = executed(df)
+    assert "dynamicpruning" in plan and re.search(r"PartitionFilters: \[isnotnull\(month", plan)
+
+
+def test_measures_come_out_of_the_write(spark):
+    """One job writes and measures: the readings are scanned once."""
+    tracker = spark.sparkContext.statusTracker()
+    weather = queries.i.weather(spark, SF)
+    spark.sparkContext.setJobGroup("measured", "measured")
+    out = queries.sinks.overwrite_measured(weather, queries._own_folder(spark) + "/w", "datetime_local").collect()
+    spark.sparkContext.setJobGroup("none", "none")
+    stages = {s for j in tracker.getJobIdsForGroup("measured") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 4 and {r["row_count"] for r in out} == {weather.count()}
+
+
+def test_a_second_write_replaces_its_own_partitions_only(spark, tmp_path):
+    sinks, path = queries.sinks, str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 1)], "v int, k string, m int")
+    sinks.overwrite_partitions(rows, path, ["k", "m"])
+    sinks.overwrite_partitions(spark.createDataFrame([(9, "a", 2), (8, "c", 1)], "v int, k string, m int"), path, ["k", "m"])
+    sinks.overwrite_partitions(rows.limit(0), path, ["k", "m"])
+    assert sorted(tuple(r) for r in spark.read.schema(rows.schema).parquet(path).collect()) == [(1, "a", 1), (3, "b", 1), (8, "c", 1), (9, "a", 2)]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadweave.operators import calendar as cal, region
-from loadweave.plans import boosting, evaluate as ev, features as ft, forecast as fc, linear
+from loadweave.plans import boosting, evaluate as ev, features as ft, forecast as fc, linear, trees
 from loadweave.sources import schemas, sinks
 
 START = dt.datetime(2024, 1, 1)
@@ -273,3 +273,32 @@ def test_regression_of_few_or_constant_rows(spark):
     flat = spark.createDataFrame([(float(i), 7.0) for i in range(5)], "a double, y double")
     assert linear.fit_ols(flat, ["a"], "y").where("feature = 'a'").first().coefficient == 0.0
     assert linear.fit_ols(flat.limit(0), ["a"], "y").count() == 1
+
+
+def test_recursive_forecast_equals_a_plain_loop(spark, meter):
+    """Slot by slot in Python, with a dictionary of what is known or predicted."""
+    start, end = "2024-01-18 00:00:00", "2024-01-27 12:00:00"
+    settings = boosting.BoostingSettings(rounds=6, depth=3)
+    inputs = inputs_of(spark, meter)
+    got = {r.datetime_15min: r.prediction for r in fc.recursive_forecast(meter, start, end, *inputs, settings=settings).collect()}
+    assert len(got) == 9 * 96 + 48
+
+    matrix = ft.feature_matrix(ft.demand_series(fc.before(meter, start)), *inputs, start, end)
+    train = ft.training_rows(matrix, start)
+    forest = trees.Forest(boosting.fit_boosting(train, settings=settings).nodes.collect())
+    medians = {c: float(np.median([r[c] for r in train.select(c).collect()])) for c in ft.ALL_FEATURES}
+    demand = {r.datetime_15min: r.demand_kw for r in ft.demand_series(fc.before(meter, start)).collect()}
+    rows = {r.datetime_15min: r.asDict() for r in ft.prediction_rows(matrix, start, end).collect()}
+    day = dt.timedelta(days=1)
+
+    def rolling(at):
+        if at not in demand:
+            return None
+        last = [demand[k] for k in sorted(k for k in demand if k <= at)[-672:]]
+        return sum(last) / len(last) if len(last) >= 96 else None
+
+    for at in sorted(rows):
+        x = rows[at] | {"demand_lag_7d": demand.get(at - 7 * day), "demand_lag_1d": demand.get(at - day), "rolling_mean_7d": rolling(at - day)}
+        values = [medians[c] if x[c] is None else float(x[c]) for c in ft.ALL_FEATURES]
+        demand[at] = max(0.0, float(forest.predict(np.array([values]))[0, 0]))
+        assert got[at] == pytest.approx(demand[at], rel=1e-9)
