@@ -34,7 +34,7 @@ PERCENT = 85
 BANDS = 32
 ROWS = 6
 #: Classes that are compared by brute force
-SMALL = 512
+SMALL = 1024
 #: Two sets that differ can only be linked if both have so many shingles
 LEAST = math.ceil(PERCENT / (100 - PERCENT))
 #: Five standard deviations of the signature's estimate at the threshold
@@ -195,7 +195,7 @@ def _large_buckets(docs: DataFrame, seen: DataFrame, classes: DataFrame, large:
     """The links of buckets beyond `SMALL`: along a star first, then of the strays with all."""
     leads = stored(large.groupBy("key").agg(F.min("print").alias("lead"), F.count("*").alias("n")))
     led = stored(join_counted(large.drop("n"), leads, "key"))
-    rest = led.where("print <> lead").withColumn("blocks", F.lit(0)).drop("blocks")
+    rest = led.where("print <> lead")
     one = leads.join(large.select("key", "band").distinct(), "key").select("key", "band", F.col("lead").alias("print"), F.lit(1).alias("one"), "n")
     star = _across(rest.withColumn("one", F.lit(1)), "n", "one", 1).unionByName(_across(one, "one", "n", 0))
     first = _links(docs, seen, classes, star, first_only=False)

@@ -164,8 +164,10 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     The facts of hot keys are broadcast, so that their rows stay where they are: a fact is hot if it holds over 1 / MOST_HOT of all
     counted rows, so there are fewer than MOST_HOT of them at any size.
     """
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > max(HOT_ROWS, total // MOST_HOT)
-    heads = F.broadcast(stored(facts.where(hot)))
+    total, most = facts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // MOST_HOT)
+    if (most or 0) <= limit:
+        return rows.join(facts, key, "left")
+    heads = F.broadcast(stored(facts.where(F.col("n") > limit)))
     warm = rows.join(heads, key)
-    return rows.join(heads.select(key), key, "left_anti").join(facts.where(~hot), key, "left").unionByName(warm)
+    return rows.join(heads.select(key), key, "left_anti").join(facts.where(F.col("n") <= limit), key, "left").unionByName(warm)

@@ -111,7 +111,9 @@ def test_minima_agree_as_often_as_sets_overlap():
     assert abs((x == y).mean() - 0.85) < near_dedup.SLACK
 
 
-def test_stars_of_a_chain_a_star_and_a_ring(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_stars_of_a_chain_a_star_and_a_ring(spark, monkeypatch, few):
+    monkeypatch.setattr(stars, "FEW", few)
     monkeypatch.setattr(shards, "HOT_ROWS", 20)
     monkeypatch.setattr(shards, "MOST_HOT", 5)
     rnd = random.Random(1)
