@@ -12,7 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadweave.llm.common import BLANKS, lower_ascii, stored, version, whole
+from loadweave.llm.common import BLANKS, lower_ascii, side_of, stored, version, whole
+from loadweave.llm.shards import join_counted
 
 FANOUT = 3
 
@@ -98,10 +99,16 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     runs = LineRuns()
     for number in range(batches):
         runs.add(per_key.where(F.col("batch") == number).drop("batch"))
-    often = LineRuns.merged(runs.all()).where(F.col("n_docs") >= min_docs).select("key", "owner")
-    lost = lines.join(often, "key").where(F.col("doc_id") != F.col("owner")).select("doc_id", "version", "at").distinct()
-    lost = lost.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("at")).alias("lost"))
-    held = rows.withColumn("version", version()).join(lost, ["doc_id", "version"], "left").withColumns({"lines": lines_of(whole("text")), "lost": F.coalesce("lost", F.array().cast("array<int>"))})
+    often = stored(LineRuns.merged(runs.all()).where(F.col("n_docs") >= min_docs).select("key", "owner", F.col("n_docs").alias("n")))
+    # the lines of a key that very many documents hold stay where they are
+    lost = join_counted(lines, often, "key").where(F.col("doc_id") != F.col("owner")).select("doc_id", "version", "at").distinct()
+    lost = stored(lost.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("at")).alias("lost")))
+    # only the texts that lose lines meet their places
+    told = rows.withColumn("version", version())
+    ids = side_of(stored(lost.select("doc_id", "version")))
+    whole_ones = told.join(ids, ["doc_id", "version"], "left_anti").withColumn("lost", F.array().cast("array<int>"))
+    held = told.join(ids, ["doc_id", "version"], "left_semi").join(lost, ["doc_id", "version"]).unionByName(whole_ones)
+    held = held.withColumn("lines", lines_of(whole("text")))
     # the stretches between lost lines, so the work is linear in the number of lines
     starts = F.concat(F.array(F.lit(1)), F.transform("lost", lambda p: p + 2))
     ends = F.concat(F.transform("lost", lambda p: p + 1), F.array(F.size("lines") + 1))
