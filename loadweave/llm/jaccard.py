@@ -111,20 +111,20 @@ def together(depth: int) -> float:
 def _buckets(classes: DataFrame, first_run: int, n_runs: int) -> tuple[DataFrame, int]:
     """(rep, node, n): the final buckets of some runs, and the deepest split. Buckets of one are gone."""
     roots = classes.select("rep", "tokens", F.explode(F.array(*[F.lit(r).cast("long") for r in range(first_run, first_run + n_runs)])).alias("run"))
-    level = _split(roots, F.xxhash64(F.lit("run"), F.col("run"))).select("rep", "node").withColumn("above", F.lit(1 << 60))
+    level = _split(roots, F.xxhash64(F.lit("run"), F.col("run"))).select("rep", "tokens", "node").withColumn("above", F.lit(1 << 60))
     done, depth = [], 1
     while True:
         # counted with partial sums and joined back, so that no bucket has to fit into a task; stored in
         # between, so that the join is a stage of its own and a large bucket can be split
-        counts = stored(level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
-        level = stored(level.join(counts, "node"))
+        counts = stored(level.groupBy("node").agg(F.count("*").alias("n"), F.max("above").alias("above")).where("n > 1"))
         large = (F.col("n") > SMALL) & (F.col("n") < DENSE * F.col("above")) & F.lit(depth < DEEPEST)
-        done.append(level.where(~large).select("rep", "node", "n"))
-        left = level.where(large)
-        if left.isEmpty():
+        done.append(stored(level.select("rep", "node").join(counts.where(~large).select("node", "n"), "node").select("rep", "node", "n")))
+        split = stored(counts.where(large).select("node", F.col("n").alias("above")))
+        if split.isEmpty():
             return reduce(DataFrame.unionByName, done), depth
-        with_tokens = left.join(classes.select("rep", "tokens"), "rep")
-        level = _split(with_tokens, F.col("node")).select("rep", "node", F.col("n").alias("above"))
+        # large buckets are few, one for `SMALL` rows at most: they go to the classes, each of which finds its path
+        # anew, so that the tokens stay where they are
+        level = _split(level.drop("above").join(side_of(split), "node"), F.col("node")).select("rep", "tokens", "node", "above")
         depth += 1
 
 

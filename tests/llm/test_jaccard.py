@@ -132,3 +132,30 @@ def test_texts_that_share_an_id_do_not_take_their_copies_along(spark):
     rows = [(5, a), (5, b), (77, b), (78, b), (79, near), (80, edited(a, rnd, 1))]
     out = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(frame(spark, rows)).collect())
     assert out == [(5, 5, 1), (5, 5, 3), (77, 5, 3), (78, 5, 3), (79, 5, 3), (80, 5, 1)]
+
+
+def test_splitting_shuffles_no_tokens(spark, monkeypatch):
+    """Large buckets go to the classes; the classes and their tokens do not go to the buckets."""
+    monkeypatch.setattr(jaccard, "SMALL", 40)
+    rnd = random.Random(6)
+    common = prose(3, 60)
+    docs = frame(spark, [(i, f"{common} {prose(100 + i, rnd.randint(10, 60))}") for i in range(120)])
+    seen = jaccard.stored(jaccard.sketched(docs).withColumnRenamed("print", "rep"))
+    plans, stored = [], jaccard.stored
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return stored(df)
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, depth = jaccard._buckets(seen, 0, 2)
+        assert depth > 1 and rows.columns == ["rep", "node", "n"]
+        sizes = {r["node"]: (r["n"], r["count"]) for r in rows.groupBy("node", "n").count().collect()}
+        assert sizes and all(n == count > 1 for n, count in sizes.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    shuffled = [m for p in plans for m in re.findall(r"\) Exchange.*\nInput \[\d+\]: (.*)", p)]
+    assert shuffled and not [m for m in shuffled if "tokens" in m]
