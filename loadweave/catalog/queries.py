@@ -79,10 +79,11 @@ def day_conditioned_profiles(s, d):
 
 def client_scaled_profiles(s, d):
     """Each client's loads in the scale of the client's own days before the cut, slot by slot."""
-    days = profile.daily_arrays(ru.rollup(i.meter(s, d), "15min", ["client_id"], decimals=D), ["client_id"], fill=0.0)
-    rows, keys = profile.to_long(days, value="kw"), ["client_id", "interval_idx"]
-    stats = scale.fit_groups(rows.where(F.col("date") < "2024-01-24"), keys, "kw", decimals=D)
-    return scale.scale_groups(rows, stats, keys, "kw")
+    # the filled slots go to their client once; grouping, fitting and joining find them there, and no row of a zero moves
+    slots = ru.rollup(i.meter(s, d), "15min", ["client_id"], decimals=D).repartition("client_id")
+    days, keys = profile.daily_arrays(slots, ["client_id"], fill=0.0), ["client_id", "interval_idx"]
+    stats = scale.fit_groups(days.where(F.col("date") < "2024-01-24"), keys, "kw", decimals=D, profile="profile")
+    return scale.scale_groups(days, stats, keys, "kw", profile="profile")
 
 
 def baseline_scaled(s, d):

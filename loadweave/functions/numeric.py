@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.window import WindowSpec
 
 
-def _fixed(value: Column, decimals: int) -> Column:
+def fixed(value: Column, decimals: int) -> Column:
     """The value as a whole number of 10^-decimals units."""
     return F.rint(value * F.lit(10.0**decimals)).cast("long")
 
@@ -20,7 +20,7 @@ def total(value: Column | str, decimals: int | None = None, over: WindowSpec | N
     run and every cluster size.
     """
     value = F.col(value) if isinstance(value, str) else value
-    agg = F.sum(value if decimals is None else _fixed(value, decimals))
+    agg = F.sum(value if decimals is None else fixed(value, decimals))
     agg = agg if over is None else agg.over(over)
     return agg if decimals is None else agg.cast("double") / F.lit(10.0**decimals)
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from loadweave.operators import encode, quality, sampling, scale
+from loadweave.catalog import queries
+from loadweave.operators import encode, profile, quality, sampling, scale
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +91,23 @@ def test_quantiles_of_a_skewed_column(spark):
     sketch = quality.describe(df, ["v"], accuracy=100_000).first()
     assert sketch.p50 == pytest.approx(exact[3], abs=1.0)
     assert quality.describe(df.where("v is null"), ["v"]).first().p50 is None
+
+
+@pytest.mark.parametrize("log", [False, True])
+def test_days_scaled_as_arrays_equal_their_rows(spark, log):
+    """Zeros, nulls, missing training, a null key and slots that are always zero."""
+    rows = [("a", 1, [0.0, 1.25, None]), ("a", 2, [0.0, 3.5, 2.0]), ("a", 3, [7.0, -1.0, None]), ("b", 1, [5.0, 0.0, None]), ("b", 9, [1.0, 1.0, 1.0]), ("c", 9, [2.0, 0.0, None]), (None, 1, [1.0, 2.0, 3.0])]
+    days = spark.createDataFrame(rows, "entity string, date int, profile array<double>")
+    keys, long = ["entity", "interval_idx"], profile.to_long(days)
+    want = scale.scale_groups(long, scale.fit_groups(long.where("date < 9"), keys, "kw", log, 2), keys, "kw", log=log)
+    stats = scale.fit_groups(days.where("date < 9"), keys, "kw", log, 2, "profile")
+    out = scale.scale_groups(days, stats, keys, "kw", log=log, profile="profile")
+    assert out.columns == want.columns and out.count() == 21
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+
+
+def test_client_scaled_profiles_shuffles_filled_slots_only(spark):
+    out = queries.client_scaled_profiles(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().explainString(out.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) Exchange.*\nInput \[\d+\]: (.*)", plan)
+    assert moved and not [m for m in moved if "interval_idx" in m or "profile" in m]
