@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,22 +30,28 @@ from loadweave.llm.shards import answered, key_rows, numbered, row_sums
 
 #: Code points of text that are encoded in one call
 PORTION = 1 << 18
+#: Words remembered by one worker, and the longest that are; beyond that the memory starts anew
+WORDS_KEPT = 200_000
+LONGEST_KEPT = 400
 #: Links after which a shard is closed
 SHARD_LINKS = 1 << 20
 #: Fixed value: how a byte-level tokenizer splits a text
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_WORD = re.compile(" +[^ ]*")
+#: After a token inside a group, the last one of A, the last one of B
+_MARKS = np.array([",", "|", ";"], object)
 #: (first A, past the last A, first B, past the last B) of a group
 Group = tuple[int, int, int, int]
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[Group], list[tuple[int, int]]]:
-    """The irregular groups of two token sequences over the same bytes, and the places of their overlapping pairs.
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[Group], list[int]]:
+    """The irregular groups of two token sequences over the same bytes, and the places of their overlapping pairs: A, B, A, B and so on.
 
     The arrays hold the offsets where tokens end, rising, with the same last one. The tokens between irregular groups correspond one to one.
     """
     groups: list[Group] = []
-    links: list[tuple[int, int]] = []
+    links: list[int] = []
     i, j, n, m = 0, 0, len(ends_a), len(ends_b)
     while True:
         # jumps double while the ends agree at this shift ...
@@ -60,7 +68,7 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[Group], list[tuple
             return groups, links
         from_a, from_b = i, j
         a, b = ends_a[i], ends_b[j]
-        links.append((i, j))
+        links += i, j
         while a != b:
             if a < b:
                 i += 1
@@ -68,34 +76,35 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[Group], list[tuple
             else:
                 j += 1
                 b = ends_b[j]
-            links.append((i, j))
+            links += i, j
         i, j = i + 1, j + 1
         groups.append((from_a, i, from_b, j))
 
 
-def groups_text(groups: list[Group], ids_a: list[str], ids_b: list[str]) -> str:
+def groups_text(groups: list[Group], ids_a: list[str] | np.ndarray, ids_b: list[str] | np.ndarray) -> str:
     """All groups as `a1,a2|b1;a3|b2,b3`."""
-    out_a: list[str] = []
-    out_b: list[str] = []
-    past_a = past_b = 0
-    for i, p, j, q in groups:
-        out_a += ids_a[past_a:i]
-        out_a.append(",".join(ids_a[i:p]))
-        out_b += ids_b[past_b:j]
-        out_b.append(",".join(ids_b[j:q]))
-        past_a, past_b = p, q
-    out_a += ids_a[past_a:]
-    out_b += ids_b[past_b:]
-    return ";".join([f"{a}|{b}" for a, b in zip(out_a, out_b, strict=True)])
-
-
-def linked_pairs(groups: list[Group], links: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n, m = len(ids_a), len(ids_b)
+    # a token's place among all is its own index and the number of the other side's tokens before it
+    last_a, last_b = np.ones(n, bool), np.ones(m, bool)
+    if groups:
+        place = np.array(groups, np.int64)
+        last_a, last_b = _outside(place[:, 0], place[:, 1] - 1, n), _outside(place[:, 2], place[:, 3] - 1, m)
+    ends_a, ends_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    at_a = np.arange(n) + np.repeat(np.r_[0, ends_b[:-1]], np.diff(ends_a, prepend=0))
+    at_b = np.arange(m) + np.repeat(ends_a, np.diff(ends_b, prepend=0))
+    out = np.empty(2 * (n + m), object)
+    out[2 * at_a], out[2 * at_b] = ids_a, ids_b
+    out[2 * at_a + 1], out[2 * at_b + 1] = _MARKS[np.where(last_a, 1, 0)], _MARKS[np.where(last_b, 2, 0)]
+    return "".join(out[:-1].tolist())
+
+
+def linked_pairs(groups: list[Group], links: list[int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The pair of ids of every link, the A id in the upper 32 bits."""
     if not groups:
         return a << 32 | b
     place = np.array(groups, np.int64)
     one_a, one_b = _outside(place[:, 0], place[:, 1], len(a)), _outside(place[:, 2], place[:, 3], len(b))
-    at = np.array(links, np.int64)
+    at = np.array(links, np.int64).reshape(-1, 2)
     return np.concatenate([a[one_a] << 32 | b[one_b], a[at[:, 0]] << 32 | b[at[:, 1]]])
 
 
@@ -122,16 +131,22 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = {c: bytes([b]) for b, c in _byte_letters().items()}
-        self.bytes_a = {i: b"".join(byte.get(c, c.encode()) for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode()
-            for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
-        ]
-        self.lengths_a = np.zeros(max(self.bytes_a) + 1, np.int64)
-        self.lengths_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
-        self.lengths_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.numerals = [*map(str, range(max(len(self.lengths_a), len(self.lengths_b))))]
+        vocab = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = np.full(max(vocab.values()) + 1, b"", object)
+        for t, i in vocab.items():
+            self.bytes_a[i] = b"".join(byte.get(c, c.encode()) for c in t)
+        self.bytes_b = np.array(
+            [
+                bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode()
+                for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
+            ],
+            object,
+        )
+        self.lengths_a, self.lengths_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.numerals = np.array([*map(str, range(max(len(self.lengths_a), len(self.lengths_b))))], object)
         self.ranked = self._ranked(path_a)
+        self.apart = _words_apart(self.b)
+        self.known_b: dict[str, bytes] = {}
 
     def _ranked(self, path: str):
         """A faster encoder with the same result where the file's merges are in the order of the ids; else None."""
@@ -156,18 +171,62 @@ class Tokenizers:
                 pass
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that are not empty. Where no piece goes on past the end of a word, words are encoded by themselves and remembered."""
+        if not self.apart:
+            return [np.array(x, np.int32) for x in self.b.encode(texts, num_threads=1)]
+        words = [_words(t) for t in texts]
+        wanted = set().union(*words)
+        if len(self.known_b) + len(wanted) > WORDS_KEPT:
+            self.known_b = {}
+        fresh = list(wanted.difference(self.known_b))
+        ids = self.b.encode(fresh, num_threads=1)
+        stops = (4 * np.cumsum([0, *map(len, ids)])).tolist()
+        flat = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+        self.known_b.update(zip(fresh, map(flat.__getitem__, map(slice, stops, stops[1:]))))
+        known = self.known_b.__getitem__
+        return [np.frombuffer(b"".join(map(known, w)), np.int32) if w else np.array(self.b.encode(t, num_threads=1), np.int32) for t, w in zip(texts, words)]
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of both, none where a text is empty or the tokens do not give it back."""
         some = [t for t in texts if t]
-        both = zip(self.encode_a([" " + t for t in some]), self.b.encode(some, num_threads=1))
+        both = zip(self.encode_a([" " + t for t in some]), self.encode_b(some))
+        none = np.zeros(0, np.int64)
         for text in texts:
             if not text:
-                yield [], []
+                yield none, none
                 continue
-            a, b = next(both)
+            a, b = (np.array(x, np.int64) for x in next(both))
             raw = b" " + text.encode()
-            whole = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            yield (a, b) if whole else ([], [])
+            whole = b"".join(self.bytes_a[a].tolist()) == raw and b"".join(self.bytes_b[b].tolist()) == raw
+            yield (a, b) if whole else (none, none)
+
+
+def _words_apart(b) -> bool:
+    """Whether the model's tokens of a text are those of its words, each with the spaces before it, one after the other.
+
+    So it is where merges alone cut the text as it stands and no piece has a space after anything else.
+    """
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(b.serialized_model_proto())
+    how, form = model.trainer_spec, model.normalizer_spec
+    plain = how.model_type == how.BPE and how.byte_fallback and not how.treat_whitespace_as_suffix
+    same = form.add_dummy_prefix and form.escape_whitespaces and not form.remove_extra_whitespaces and not form.precompiled_charsmap
+    kinds = {p.type for p in model.pieces} <= {1, 2, 3, 6}  # plain, unknown, control and byte pieces
+    return plain and same and kinds and not any("\u2581" in p.piece.lstrip("\u2581") for p in model.pieces)
+
+
+def _words(text: str) -> list[str]:
+    """The words with the spaces before them but one; none where the text is to be encoded whole."""
+    if "\u2581" in text:
+        return []
+    words = text.split(" ")
+    if "" in words:
+        words = [w[1:] for w in _WORD.findall(" " + text)]
+    # an empty word is a space at the end, which is nothing by itself
+    return [] if not words[-1] or len(max(words, key=len)) > LONGEST_KEPT else words
 
 
 def _byte_letters() -> dict[int, str]:
@@ -221,16 +280,15 @@ def _shard(number: int, doc_ids: list[pa.Array], rows: list[dict], links: list[n
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _ROW = {n: pa.list_(pa.int64()) for n in _COUNTS} | {"groups_sha256": pa.list_(pa.string())}
 
-def _align_text(both: Tokenizers, a: list[int], b: list[int]) -> tuple[dict, np.ndarray]:
+def _align_text(both: Tokenizers, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[dict, np.ndarray]:
     """A document's counts and digest, and the pair of ids of each of its links."""
-    if not a:
+    if not len(ids_a):
         return dict.fromkeys(_COUNTS, 0) | {"groups_sha256": ""}, np.zeros(0, np.int64)
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
     groups, links = align(np.cumsum(both.lengths_a[ids_a]).tolist(), np.cumsum(both.lengths_b[ids_b]).tolist())
-    text = groups_text(groups, [*map(both.numerals.__getitem__, a)], [*map(both.numerals.__getitem__, b)])
+    text = groups_text(groups, both.numerals[ids_a], both.numerals[ids_b])
     pairs = linked_pairs(groups, links, ids_a, ids_b)
-    n_groups = len(a) - sum(p - i - 1 for i, p, _, _ in groups)
-    row = {"n_a": len(a), "n_b": len(b), "n_groups": n_groups, "n_links": len(pairs), "groups_sha256": sha256(text.encode()).hexdigest()}
+    n_groups = len(ids_a) - sum(p - i - 1 for i, p, _, _ in groups)
+    row = {"n_a": len(ids_a), "n_b": len(ids_b), "n_groups": n_groups, "n_links": len(pairs), "groups_sha256": sha256(text.encode()).hexdigest()}
     return row, pairs
 
 

@@ -146,3 +146,30 @@ def test_the_ranked_encoder_equals_the_library(both):
     for i in range(0, len(points), 20_000):
         text = [f" a{chr(c)}{chr(c)}b 1{chr(c)}2 .{chr(c)}! {chr(c)}  {chr(c)}x" for c in points[i : i + 20_000 : 7]]
         assert coders.encode_a(text) == [e.ids for e in both[0].encode_batch_fast(text, add_special_tokens=False)]
+
+
+def test_words_encoded_apart_are_those_of_the_whole_text(monkeypatch):
+    coders = ta.tokenizers(PATH_A, PATH_B)
+    assert coders.apart
+    rnd = random.Random(3)
+    parts = ["a", "the", "Haus", "  ", " ", "   ", "\n", "\t", "é", "中文", "\x00", "▁", "1", "...", "<s>", "</s>", "<0x41>", "😀", " ", "ﬁ", "é", "x" * 500, "don't", " "]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(1, 30))) for _ in range(4_000)] + [" ", "  ", "a ", "a  ", " a", "  a"]
+    monkeypatch.setattr(ta, "WORDS_KEPT", 500)
+    for i in range(0, len(texts), 100):
+        assert [x.tolist() for x in coders.encode_b(texts[i : i + 100])] == coders.b.encode(texts[i : i + 100])
+    assert 0 < len(coders.known_b)
+
+
+def test_words_are_encoded_once():
+    coders = ta.Tokenizers(PATH_A, PATH_B)
+    sent, model = [], coders.b
+
+    class Counted:
+        def encode(self, texts, **more):
+            sent.extend([texts] if isinstance(texts, str) else texts)
+            return model.encode(texts, **more)
+
+    coders.b = Counted()
+    texts = ["the river and the stone"] * 50
+    first, second = ([(a.tolist(), b.tolist()) for a, b in coders.encode(texts)] for _ in range(2))
+    assert first == second and sorted(sent) == ["and", "river", "stone", "the"]
