@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -40,7 +41,7 @@ STRAY = 1e-7
 SMOOTHING = 0.05
 
 #: Letters with the marks that follow them
-_LETTERS = regex.compile(r"(?:\p{L}\p{M}*)+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: A letter, for Spark
 _ANY_LETTER = r"\p{L}"
 _START = "▁"
@@ -49,7 +50,7 @@ _START = "▁"
 def words_of(text: str) -> list[str]:
     """The text's runs of letters in lower case, long ones in stretches."""
     found = _LETTERS.findall(text.lower())
-    if all(len(w) <= LONGEST for w in found):
+    if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
 
@@ -61,9 +62,11 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = dict.fromkeys(sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
         self.names = [n for n in names if len(n) <= LONGEST + 1]
-        self.automaton = ahocorasick.Automaton()
+        # a number for each piece, so that the hits become an array without a Python object of their own
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.sizes = np.array([len(n) for n in self.names], np.int64)
         for i, name in enumerate(self.names):
-            self.automaton.add_word(name, (i, len(name)))
+            self.automaton.add_word(name, i)
         self.automaton.make_automaton()
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, ...]:
@@ -74,8 +77,8 @@ class Pieces:
         joined = "\n".join(_START + w for w in words) + "\n"
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         offsets = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        hits = np.array([(end, i, n) for end, (i, n) in self.automaton.iter(joined)], np.int64).reshape(-1, 3)
-        end, piece, size = hits.T
+        end, piece = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2).T
+        size = self.sizes[piece]
         alone = np.zeros(len(joined), bool)
         alone[end[size == 1]] = True
         alone[offsets + sizes] = True

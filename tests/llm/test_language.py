@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 
 from loadweave.llm import language, queries, sampling
 from tests.llm.frames import by_id, frame, odd_rows, prose
@@ -112,3 +113,14 @@ def test_number_signs_are_no_letters_and_marks_belong_to_words(spark, pieces):
     docs = frame(spark, rows + [(1001, "½", None), (1002, "² ³", None), (1003, "①② Ⅷ", None), (1004, "\u0301", None), (1005, "é", None)])
     out = {r["doc_id"]: r["lang_pred"] for r in language.language(docs, PATH).collect()}
     assert [out[i] for i in (1001, 1002, 1003, 1004)] == ["und"] * 4 and out[1005] in ("en", "de")
+
+
+def test_hits_are_plain_numbers_and_words_are_cut_as_by_letters_with_their_marks(pieces):
+    """No Python object is made for a hit, and one class of characters gives the words of letters followed by marks."""
+    assert all(isinstance(hit, int) for _, hit in pieces.automaton.iter("▁the\n▁river"))
+    word, start, stop, piece, sizes = pieces.lattice(["the", "ñ🜁"])
+    names = [pieces.names[p] if p >= 0 else None for p in piece]
+    assert all(n is None or n == ("▁the", "▁ñ🜁")[w][a:b] for n, w, a, b in zip(names, word, start, stop))
+    old = regex.compile(r"(?:\p{L}\p{M}*)+")
+    text = "".join(chr(c) + "\u0301a" * (c % 3) + ("1", " ", "\u0301", "")[c % 4] for c in range(0x3000))
+    assert [w for x in old.findall(text.lower()) for w in (x[i : i + 48] for i in range(0, len(x), 48))] == language.words_of(text)
